@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from taxolith.llm.bpe import op1_token_counts
+from taxolith.llm.decontamination import op6_decontamination
+from taxolith.llm.packing import op8_packing
 from taxolith.llm.toxicity import op10_toxicity
 
-QUERIES = {"op10_toxicity": op10_toxicity}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_decontamination, op8_packing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
