@@ -6,8 +6,9 @@ from taxolith.llm.bpe import op1_token_counts
 from taxolith.llm.decontamination import op6_decontamination
 from taxolith.llm.fingerprints import op2_fingerprints
 from taxolith.llm.packing import op8_packing
+from taxolith.llm.secrets import op4_secrets
 from taxolith.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op6_decontamination, op8_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op4_secrets, op6_decontamination, op8_packing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
