@@ -1,6 +1,7 @@
 """Token counts: byte-pair merging on ragged numpy arrays, all sequences at once.
 
-Texts are cut into pre-tokens that no merge can cross. The distinct pre-tokens of a batch are held as rows of symbols,
+Texts are cut into pre-tokens that no merge can cross, on arrays of code points. Those of a batch that the worker has
+not met yet (told apart by 64-bit hashes) are held as rows of symbols,
 grouped by their present length; in each round every row applies its own lowest-rank pair (the leftmost of equals)
 and moves to the next shorter group, until no pair of a row has a rank. What survives are its tokens. A pre-token
 longer than `LONG` symbols goes through a heap of pairs instead (same rule, one merge at a time), so a long text
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,8 @@ from taxolith.llm import common
 
 LONG = 64
 NONE = np.iinfo(np.int32).max
-CACHE = 400_000
+#: Pre-tokens that a worker remembers at most.
+CACHE = 1 << 20
 SPACE = "▁"
 LIMIT = 4096
 
@@ -141,63 +143,165 @@ class Pairs:
         return np.array([x for x in s if x is not None], np.int32)
 
 
-class PieceCounter:
-    """Counts of a sentencepiece BPE model with byte fallback: a symbol outside the vocabulary counts its UTF-8 bytes."""
+class Known:
+    """What a worker has learned of pre-tokens: number of tokens, and their ids, by hash; bounded by CACHE."""
+
+    def __init__(self):
+        self.bits = CACHE.bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int32)
+        self.size, self.start, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.at[h]
+        open_ = np.flatnonzero((out > 0) & (self.keys[h] != keys))
+        h = h[open_]
+        while len(open_):
+            h = (h + 1) & ((1 << self.bits) - 1)
+            out[open_] = got = self.at[h]
+            more = (got > 0) & (self.keys[h] != keys[open_])
+            open_, h = open_[more], h[more]
+        return out
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray | None) -> None:
+        number = np.arange(len(keys)) + len(self.size)
+        h = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            _, first = np.unique(h, return_index=True)
+            first = first[self.at[h[first]] == 0]
+            self.keys[h[first]], self.at[h[first]] = keys[first], number[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, number, h = keys[rest], number[rest], (h[rest] + 1) & ((1 << self.bits) - 1)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        if ids is not None:
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
+
+
+class Vocabulary:
+    """Cuts texts into pre-tokens and merges those that are new to the worker."""
+
+    codes: np.ndarray  # of code points, for hashes
+
+    def __init__(self):
+        self.known = Known()
+        self.codes = np.random.default_rng(7).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
+        self.base = 0x5851F42D4C957F2D
+        self.forth, self.back = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def hashes(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.forth) < len(points) + 1:
+            self.forth, self.back = (common.powers(b, len(points) * 5 // 4 + 1) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(self.codes[points] * self.forth[: len(points)], out=sums[1:])
+        return common.mixed((sums[end] - sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+    def numbers(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers in `known` of the pre-tokens at start..end."""
+        keys = self.hashes(points, start, end)
+        out = self.known.find(keys)
+        new = np.flatnonzero(out == 0)
+        if len(new):
+            fresh, first = np.unique(keys[new], return_index=True)
+            if len(self.known.size) + len(fresh) > CACHE:
+                self.known.clear()
+                new = np.arange(len(keys))
+                fresh, first = np.unique(keys, return_index=True)
+            place = new[first]
+            for k in range(0, len(place), CACHE // 2):  # a chunk's own pre-tokens always fit
+                part = place[k : k + CACHE // 2]
+                self.known.add(fresh[k : k + CACHE // 2], *self.learn([text[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)]))
+            out[new] = self.known.find(keys[new])
+        return out
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
+        raise NotImplementedError
+
+
+def joined(texts: list[str], between: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The texts with `between` before each, as one string and as code points; where each text begins, and the end."""
+    text = "".join([between + t for t in texts])
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), starts
+
+
+def sums_by_row(size: np.ndarray, start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of size over the words of each row, and the row bounds among the words."""
+    cuts = np.searchsorted(start, rows)
+    total = np.concatenate([[0], np.cumsum(size)])
+    return np.diff(total[cuts]), cuts
+
+
+class Pieces(Vocabulary):
+    """A sentencepiece BPE model with byte fallback: a symbol outside the vocabulary counts its UTF-8 bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         normal = [i for i in range(n) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
         pieces = {model.id_to_piece(i): i for i in normal}
         scores = sorted({-model.get_score(i) for i in normal})
         place = {x: k for k, x in enumerate(scores)}
-        symbol = dict(pieces)
-        for c in sorted({c for p in pieces for c in p} - symbol.keys()):
-            symbol[c] = n + ord(c)
-        self.size = n
+        inside = {c for p in pieces for c in p}
+        symbol = pieces | {c: n + ord(c) for c in inside - pieces.keys()}
+        self.first = n
         self.chars = np.arange(n, n + 0x110000, dtype=np.int32)
         for c, k in symbol.items():
             if len(c) == 1:
                 self.chars[ord(c)] = k
         self.pairs = Pairs({(symbol[p[:k]], symbol[p[k:]]): (place[-model.get_score(i)], i) for p, i in pieces.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol})
-        inside = {c for p in pieces for c in p}
-        alone = "".join(c for c in "\n\t\r" if c not in inside)
-        assert not any(SPACE in p.lstrip(SPACE) for p in pieces), "a piece spans words"
-        self.find = regex.compile(rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]+" if alone else "")).findall
-
-    def words(self, text: str) -> list[str]:
-        return self.find(SPACE + text.replace(" ", SPACE)) if text else []
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError("a piece spans words: this file needs another cut")
+        self.alone = np.array([ord(c) for c in "\n\t\r" if c not in inside], np.uint32)
 
-    def count(self, words: list[str]) -> list[int]:
+    def learn(self, words: list[str]) -> tuple[np.ndarray, None]:
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out, counts = self.pairs.merge(self.chars[code], lengths)
-        char = out.astype(np.int64) - self.size
+        out, counts = self.pairs.merge(self.chars[code], np.fromiter(map(len, words), np.int64, len(words)))
+        char = out.astype(np.int64) - self.first
         weight = 1 + (char >= 0x80).astype(np.int64) + (char >= 0x800) + (char >= 0x10000)
         sums = np.concatenate([[0], np.cumsum(weight)])
         ends = np.cumsum(counts)
-        return (sums[ends] - sums[ends - counts]).tolist()
+        return sums[ends] - sums[ends - counts], None
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        text, points, rows = joined([t.replace(" ", SPACE) for t in texts], SPACE)
+        space = points == ord(SPACE)
+        alone = np.isin(points, self.alone)
+        before = np.concatenate([[False], space[:-1]]), np.concatenate([[True], alone[:-1]])
+        cut = (space & ~before[0]) | (alone != before[1])
+        cut[rows[:-1]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(points))
+        number = self.numbers(text, points, start, end)
+        got, _ = sums_by_row(self.known.size[number], start, rows)
+        return np.where(np.diff(rows) == 1, 0, got)  # an empty text has not even the leading space
 
-#: Texts of other characters than these go to the library whole: case folding and composition may differ there.
-PLAIN = regex.compile("[\t\n\r\x20-\x7e¡-įĲ-ňŊ-ž‐-‧€]*").fullmatch
 
+class WordIds(Vocabulary):
+    """A tokenizers BPE file with word ends (lower case, white space dropped)."""
 
-class WordIds:
-    """Ids of a tokenizers BPE file with word ends (lower case, white space dropped), two bytes an id."""
+    #: Code points from which texts go to the library whole: composition and case folding may differ there.
+    TABLE = 0x180
+    ODD = (0x130, 0x131, 0x149, 0x17F, *range(9), 11, 12, *range(14, 32), 127, *range(128, 161))
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         end = spec["model"]["end_of_word_suffix"]
         self.library = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.find = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte alphabet shows as themselves
         rest = [b for b in range(256) if b not in shown]
         char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -205,62 +309,80 @@ class WordIds:
         self.last = np.array([vocab[char[b] + end] for b in range(256)], np.int32)
         self.pairs = Pairs({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(merges)])})
         assert max(vocab.values()) < 1 << 16
-
-    def words(self, text: str) -> list[str] | None:
-        """The text's pre-tokens, or None if the library must see the whole text."""
-        if not PLAIN(text) or any(x in text for x in self.special):
-            return None
-        return self.find(text.lower())
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        spelt = [w.encode() for w in words]
+        kinds = [regex.compile(x).match for x in (r"\s", r"\p{L}", r"\p{N}")]
+        self.kind = np.array([next((k for k, m in enumerate(kinds) if m(chr(c))), 3) for c in range(self.TABLE)] + [0], np.uint8)
+        self.odd = np.zeros(self.TABLE + 1, bool)
+        self.odd[[*self.ODD, self.TABLE]] = True
+        self.lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(self.TABLE)] + [32], np.uint32)
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spelt = [w.lower().encode() for w in words]
         data = np.frombuffer(b"".join(spelt), np.uint8)
         lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
         symbols = self.inner[data]
         last = np.cumsum(lengths) - 1
         symbols[last] = self.last[data[last]]
         out, counts = self.pairs.merge(symbols, lengths)
-        body = out.astype(np.uint16).tobytes()
-        ends = 2 * np.cumsum(counts)
-        return [body[e - 2 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-
-
-@lru_cache(maxsize=2)
+        return counts, out
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and their number by text."""
+        text, points, rows = joined(texts, " ")
+        points = np.minimum(points, self.TABLE)
+        odd = np.searchsorted(rows, np.flatnonzero(self.odd[points]), "right") - 1
+        whole = sorted({*odd.tolist(), *(k for k, t in enumerate(texts) if any(x in t for x in self.special))})
+        if whole:
+            points = points.copy()
+            for k in whole:
+                points[rows[k] : rows[k + 1]] = 32
+        low, kind = self.lower[points], self.kind[points]
+        cut = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
+        quote = np.flatnonzero((low[:-2] == 39) & cut[:-2] & (kind[1:-1] == 1)) if len(low) > 2 else np.zeros(0, np.int64)
+        if len(quote):  # 's 't 'm 'd 're 've 'll after another kind of character
+            a, b = low[quote + 1], low[quote + 2]
+            one = np.isin(a, [ord(c) for c in "stmd"])
+            two = np.isin(a.astype(np.uint64) << np.uint64(32) | b, [ord(x[0]) << 32 | ord(x[1]) for x in ("re", "ve", "ll")])
+            for at, n in ((quote[one], 2), (quote[two], 3)):
+                cut[at + 1] = False
+                then = at + n
+                then = then[then < len(cut)]
+                cut[then] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(points))
+        keep = kind[start] != 0
+        start, end = start[keep], end[keep]
+        number = self.numbers(text, low, start, end)
+        size, first = self.known.size[number], self.known.start[number]
+        counts, cuts = sums_by_row(size, start, rows)
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = self.known.ids[np.arange(total[-1]) + np.repeat(first - total[:-1], size)]
+        if whole:
+            parts, at = [], 0
+            for k in whole:
+                stop = total[cuts[k]]
+                own = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.uint16)
+                parts += [flat[at:stop], own]
+                at, counts[k] = stop, len(own)
+            flat = np.concatenate([*parts, flat[at:]])
+        return flat, counts
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        return self.ids(texts)[1]
+
+
+@lru_cache(maxsize=1)
 def loaded(kind: Callable, path: str):
-    """One per worker and path."""
+    """One per worker."""
     return kind(path)
 
 
-class Known:
-    """A bounded memory of pre-tokens already merged by this worker."""
-
-    def __init__(self, learn: Callable[[list[str]], list]):
-        self.learn, self.of = learn, {}
-
-    def __call__(self, lists: Iterable[list[str] | None]) -> dict:
-        new = list(set().union(*(x for x in lists if x)).difference(self.of))
-        if len(self.of) + len(new) > CACHE:
-            self.of = {}
-            new = list(set().union(*(x for x in lists if x)))
-        self.of.update(zip(new, self.learn(new), strict=True))
-        return self.of
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every row, by the sentencepiece BPE model or tokenizers BPE file at path."""
-    pieces = path.endswith(".model")
+    """doc_id, n_bytes, n_tokens of every row, by the sentencepiece BPE model or tokenizers word BPE file at path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = loaded(PieceCounter if pieces else WordIds, path)
-        known = Known(model.count if pieces else lambda words: [len(x) // 2 for x in model.ids(words)])
+        model = loaded(Pieces if path.endswith(".model") else WordIds, path)
         for batch in common.chunks(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            lists = [model.words(t) for t in texts]
-            of = known(lists).__getitem__
-            counts = [len(model.whole(t)) // 2 if x is None else sum(map(of, x)) for x, t in zip(lists, texts, strict=True)]
+            counts = model.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(common.raw(batch.column("text"))[1])), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return common.documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

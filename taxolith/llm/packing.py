@@ -33,16 +33,16 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.loaded(bpe.WordIds, path)
-        known, place, part = bpe.Known(model.ids), 0, TaskContext.get().partitionId()
+        place, part = 0, TaskContext.get().partitionId()
         for batch in common.chunks(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            lists = [model.words(t) for t in texts]
-            of = known(lists).__getitem__
-            ids = [model.whole(t) if x is None else b"".join(map(of, x)) for x, t in zip(lists, texts, strict=True)]
-            n = [len(x) // 2 + 1 for x in ids]
-            places = list(accumulate(n, initial=place))
-            place = places.pop()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * len(n), pa.int64()), pa.array(places, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n", "ids"])
+            flat, counts = model.ids(batch.column("text").to_pylist())
+            n = counts + 1
+            places = place + np.cumsum(n) - n
+            place += int(n.sum())
+            cuts = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
+            columns = [batch.column("doc_id"), pa.array([part] * len(n), pa.int64()), pa.array(places, pa.int64()), pa.array(n, pa.int64()), ids]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "place", "n", "ids"])
 
     return common.written(common.documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, part long, place long, n long, ids binary"), "ids")
 
