@@ -5,11 +5,12 @@ from __future__ import annotations
 from taxolith.llm.bpe import op1_token_counts
 from taxolith.llm.decontamination import op6_decontamination
 from taxolith.llm.fingerprints import op2_fingerprints
+from taxolith.llm.html_text import op3_html_text
 from taxolith.llm.near_duplicates import op9_near_duplicates
 from taxolith.llm.packing import op8_packing
 from taxolith.llm.secrets import op4_secrets
 from taxolith.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op4_secrets, op6_decontamination, op8_packing, op9_near_duplicates, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_html_text, op4_secrets, op6_decontamination, op8_packing, op9_near_duplicates, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
