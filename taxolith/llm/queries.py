@@ -9,9 +9,10 @@ from taxolith.llm.html_text import op3_html_text
 from taxolith.llm.language import op7_language
 from taxolith.llm.near_duplicates import op9_near_duplicates
 from taxolith.llm.packing import op8_packing
+from taxolith.llm.repeats import op5_repeats
 from taxolith.llm.secrets import op4_secrets
 from taxolith.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_html_text, op4_secrets, op6_decontamination, op7_language, op8_packing, op9_near_duplicates, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_html_text, op4_secrets, op5_repeats, op6_decontamination, op7_language, op8_packing, op9_near_duplicates, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
