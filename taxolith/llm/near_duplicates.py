@@ -6,11 +6,13 @@ points above w are passed over (that is how a weight within a step takes its sha
 point, so two bags agree on a register with the probability of their weighted Jaccard similarity. Processes stop
 once they are later than every register of their document, which keeps the work near the number of shingles.
 
-Documents of one bag are one node. `BANDS` keys of `ROWS` registers each put nodes into buckets. Within a bucket every
-node is held against one pivot, by the exact similarity of the bags; linked nodes get one class. Whatever is left in
-a bucket after that (nodes of other classes than their pivot's) gets more pivots in the next round, four times as
-many each, until nothing is left: no link within a bucket is lost, and no bucket is paired with itself as a whole
-unless all its members differ. Buckets are counted by partial aggregation, so a group of copies is no hot task.
+Documents of one bag are one node. `BANDS` keys of `ROWS` registers each put nodes into buckets. Every node is
+held against the pivot that it meets most often, by the exact similarity of the bags, and linked nodes get one class.
+In buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
+blocks of `SIDE` by `SIDE` rows: pairs whose signatures agree on a share of `CLOSE` registers (nearly five standard
+deviations below the threshold) go to the exact test. So no link within a bucket is lost, blocks bound the memory, and
+a bucket of copies costs one comparison a member. Buckets are counted by partial aggregation, so a group of copies is
+no hot task.
 
 To fetch the bags of candidate nodes without moving all texts, a bitmap of hashed keys of bounded size goes to the
 tasks as a first filter; the join behind it is exact.
@@ -32,7 +34,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxolith.llm import common
@@ -45,6 +46,8 @@ REGISTERS = 256
 BANDS = 40
 ROWS = 8
 MOST_BITS = 27
+SIDE = 4096
+CLOSE = 0.68
 SUBSETS = np.stack([np.random.default_rng(100 + k).choice(REGISTERS, ROWS, replace=False) for k in range(BANDS)])
 FACTORS = np.random.default_rng(3).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -121,8 +124,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.chunks(batches, "text"):
         n = batch.num_rows
         row, shingle, weight, bag = bags(*shingles(*common.raw(batch.column("text"))), n)
-        keys = band_keys(signatures(row, shingle, weight, n))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bag.view(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary())], ["doc_id", "node", "bands"])
+        signature = signatures(row, shingle, weight, n)
+        short = (common.mixed(signature.view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bag.view(np.int64)), *(pa.array([k.tobytes() for k in x], pa.binary()) for x in (band_keys(signature), short))], ["doc_id", "node", "bands", "short"])
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +198,41 @@ def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long")
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block -> pairs of a row that asks and a row that answers, of different roots and near signatures."""
+
+    def block(rows: list[tuple]) -> pa.RecordBatch:
+        _, nodes, roots, asks, answers, shorts = zip(*rows, strict=True)
+        node, root = np.array(nodes, np.int64), np.array(roots, np.int64)
+        table = np.frombuffer(b"".join(shorts), np.uint16).reshape(len(rows), -1)
+        answer = np.flatnonzero(np.array(answers))
+        left, right = [], []
+        for k in np.flatnonzero(np.array(asks)).tolist():
+            other = answer[root[answer] != root[k]]
+            other = other[(table[other] == table[k]).mean(1) >= CLOSE]
+            left.append(np.full(len(other), node[k]))
+            right.append(node[other])
+        one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "asks", "answers", "short")), strict=True):
+            if rows and row[0] != rows[-1][0]:
+                yield block(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield block(rows)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, class_id) for every row: the least key of its class of near duplicates."""
     texts = common.documents(docs, id_col, text_col)
-    signed = common.written(texts.mapInArrow(_sign, "doc_id long, node long, bands binary"), "signed")
+    signed = common.written(texts.mapInArrow(_sign, "doc_id long, node long, bands binary, short binary"), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc"))
-    first = signed.join(nodes.select("node", F.col("doc").alias("doc_id")), ["node", "doc_id"]).select("node", "bands").dropDuplicates(["node"])
-    rows = first.mapInArrow(_explode, "band long, node long")
+    first = signed.select("node", "bands", "short").dropDuplicates(["node"])
+    rows = first.select("node", "bands").mapInArrow(_explode, "band long, node long")
     order = F.xxhash64("node")
     pivots = rows.groupBy("band").agg(F.min_by("node", order).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
     buckets = common.written(rows.join(pivots, "band"), "buckets")
@@ -212,28 +244,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = maybe_in(texts, "doc_id", bitmap(candidates, "doc_id")).join(candidates, "doc_id")
     blobs = common.written(wanted.select("node", "text").mapInArrow(_bag_blobs, "node long, bag binary").dropDuplicates(["node"]), "bags")
 
-    tried, links, many = pairs, common.written(verified(pairs, blobs), "links"), 1
-    while True:
-        roots = components(links)
-        named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        owner = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-        named = named.join(owner, "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
-        left = common.written(named.where("root <> pivot_root").select("band", "node", "root", "pivot"), "left")
-        own = left.select("node", "pivot").distinct()
-        if many > 1:  # more pivots among those left: the first nodes of each bucket by a hash
-            rank = F.row_number().over(W.partitionBy("band").orderBy(F.xxhash64("node"), "node"))
-            few = left.withColumn("k", rank).where(F.col("k") <= many).select("band", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            own = own.unionByName(left.select("band", "node", "root").join(few, "band").where("root <> pivot_root").select("node", "pivot").distinct())
-        new = own.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).where("a <> b").distinct().join(tried, ["a", "b"], "left_anti")
-        new = common.written(new, "pairs")
-        largest = left.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-        if new.isEmpty():
-            if largest <= many:
-                break
-        else:
-            links = common.written(links.unionByName(verified(new, blobs)), "links")
-            tried = common.written(tried.unionByName(new), "pairs")
-        many *= 4
+    links = common.written(verified(pairs, blobs), "links")
+    roots = components(links)
+    owner = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    named = buckets.join(roots, "node", "left").join(owner, "pivot", "left")
+    named = named.select("band", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot")).alias("asks"))
+    named = common.written(named, "named")
+    sides = named.groupBy("band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("n"), F.ceil(F.count_if("asks") / SIDE).cast("int").alias("m")).where("m > 0")
+    i, j = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in "mn")
+    asking = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.struct(i.alias("i"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    answering = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
+    placed = named.join(sides, "band").withColumn("cell", F.explode(F.array_distinct(F.concat(asking, answering))))
+    placed = placed.select(F.xxhash64("band", "cell").alias("block"), "node", "root", (F.col("asks") & (F.col("cell.i") == i)).alias("asks"), (F.col("cell.j") == j).alias("answers"))
+    placed = placed.join(first.select("node", "short"), "node").repartition("block").sortWithinPartitions("block")
+    more = placed.select("block", "node", "root", "asks", "answers", "short").mapInArrow(_near, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    late = common.written(verified(more, blobs), "links")
+    if not late.isEmpty():
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(stars.unionByName(late))
     member = roots.join(nodes, "node")
     least = member.groupBy("root").agg(F.min("doc").alias("class_id"))
     named = roots.join(least, "root").select("node", "class_id")

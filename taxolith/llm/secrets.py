@@ -29,10 +29,10 @@ HEX = r"([0-9a-f]{24,})"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 1, 20), ("hex", HEX, 1, 24))
 CANDIDATE = r"([A-Za-z0-9+/_-]{20,}={0,2})"
 #: Share of false findings that is accepted among those made.
-RATE = 0.01
+RATE = 0.0001
 BIN = 4.0  # bins of the p-value's negative logarithm, by unit
 # What ordinary names look like: index of coincidence of letters, its third moment's excess, share of class changes, serial correlation.
-COINCIDENCE, EXCESS, CHANGES, SERIAL = 0.066, 0.0012, 0.15, 0.5
+COINCIDENCE, EXCESS, CHANGES, SERIAL = 0.055, 0.0012, 0.28, 0.4
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 SPAN = "array<struct<start:int,kind:int,end:int,name:string>>"
 
