@@ -90,53 +90,57 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     return common.documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * rows short rows
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's texts -> for each feature in them, how many have it by class."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in common.chunks(batches, "text"):
-        data, at = common.raw(batch.column("text"))
-        row, feature = row_features(data, at)
-        cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        sets = [feature[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(sets, pa.binary())], ["toxic", "features"])
+        label = batch.column("toxic").to_numpy() == 1
+        row, feature = row_features(*common.raw(batch.column("text")))
+        for k in (0, 1):
+            counts[k] += np.bincount(feature[label[row] == k], minlength=1 << BITS).astype(np.int32)
+    there = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(c[there]) for c in counts)], ["feature", "n0", "n1"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    got = sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_features, "toxic int, features binary").collect()
-    y = np.array([r.toxic == 1 for r in got], float)
-    none = Model(np.zeros(1 << BITS, np.uint16), np.zeros(1), -40.0)
-    if not len(y) or y.min() == y.max():
-        none.intercept = 40.0 if len(y) and y.min() == 1 else -40.0
-        return none
-    sets = [np.frombuffer(r.features, np.uint32) for r in got]
-    return learned(sets, y)
-
-
-def learned(sets: list[np.ndarray], y: np.ndarray) -> Model:
-    size, positive = 1 << BITS, y.sum()
-    negative = len(y) - positive
-    df1, df0 = np.zeros(size), np.zeros(size)
-    for s, label in zip(sets, y, strict=True):
-        (df1 if label else df0)[s] += 1
-    p, q = (df1 + 1) / (positive + 2), (df0 + 1) / (negative + 2)
-    ratio = np.log(p / q)
-    error = np.sqrt((1 - p) / (p * (positive + 2)) + (1 - q) / (q * (negative + 2)))
-    z = np.where(df1 + df0 >= MIN_DF, np.abs(ratio) / error, 0)
-    best = np.argsort(-z, kind="stable")[:MOST_FEATURES]
-    best = best[z[best] >= MIN_Z]
-    keep = np.zeros(size, np.uint16)
-    keep[best] = np.arange(1, len(best) + 1)
-    if not len(best):
+    """Feature counts stay in Spark; the driver gets the chosen features, and which of them each sampled row has."""
+    chosen = common.written(sample(docs, labels, rows).select("text", F.col("toxic").cast("int").alias("toxic")), "sample")
+    size = chosen.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("positive")).first()
+    if size.positive in (0, size.n):
+        return Model(np.zeros(1 << BITS, np.uint16), np.zeros(1), 40.0 if size.positive else -40.0)
+    positive, negative = size.positive, size.n - size.positive
+    counts = chosen.repartition(8).mapInArrow(_counted, "feature int, n0 int, n1 int").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DF)
+    p, q = (F.col("n1") + 1) / (positive + 2), (F.col("n0") + 1) / (negative + 2)
+    error = F.sqrt((1 - p) / (p * (positive + 2)) + (1 - q) / (q * (negative + 2)))
+    best = counts.select("feature", F.log(p / q).alias("ratio"), (F.abs(F.log(p / q)) / error).alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()
+    keep = np.zeros(1 << BITS, np.uint16)
+    keep[[r.feature for r in best]] = np.arange(1, len(best) + 1)
+    if not best:
         return Model(keep, np.zeros(1), float(np.log(positive / negative)))
-    rows = [keep[s] for s in sets]
-    feature = np.concatenate([r[r > 0].astype(np.int64) - 1 for r in rows])
-    row = np.repeat(np.arange(len(rows)), [int((r > 0).sum()) for r in rows])
-    scale = ratio[best]
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, "text"):
+            row, number = row_features(*common.raw(batch.column("text")), keep)
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            sets = [number[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
+
+    got = sorted((r.toxic, bytes(r.features)) for r in chosen.mapInArrow(kept, "toxic int, features binary").collect())
+    return learned([np.frombuffer(f, np.uint16) for _, f in got], np.array([t == 1 for t, _ in got], float), keep, np.array([r.ratio for r in best]))
+
+
+def learned(sets: list[np.ndarray], y: np.ndarray, keep: np.ndarray, scale: np.ndarray) -> Model:
+    """A logistic regression on the features that each row has, times their log-count ratios; classes weigh the same."""
+    positive, n = y.sum(), len(scale)
+    feature = np.concatenate(sets).astype(np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     value = scale[feature]
-    cost = np.where(y == 1, len(y) / (2 * positive), len(y) / (2 * negative))
-    w, bias, m, v, mb, vb = np.zeros(len(best)), 0.0, 0.0, 0.0, 0.0, 0.0
+    cost = np.where(y == 1, len(y) / (2 * positive), len(y) / (2 * (len(y) - positive)))
+    w, bias, m, v, mb, vb = np.zeros(n), 0.0, 0.0, 0.0, 0.0, 0.0
     for step in range(1, 401):  # Adam on the whole sample
         margin = np.bincount(row, value * w[feature], len(y)) + bias
         gap = cost * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / len(y)
-        grad, gb = np.bincount(feature, value * gap[row], len(best)) + 1e-4 * w, gap.sum()
+        grad, gb = np.bincount(feature, value * gap[row], n) + 1e-4 * w, gap.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         rate = 0.02 / (1 - 0.9**step)
         w -= rate * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
