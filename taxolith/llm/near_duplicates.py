@@ -8,11 +8,13 @@ once they are later than every register of their document, which keeps the work
 
 Documents of one bag are one node. `BANDS` keys of `ROWS` registers each put nodes into buckets. Every node is
 held against the pivot that it meets most often, by the exact similarity of the bags, and linked nodes get one class.
-In buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
+In
+buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
 blocks of `SIDE` by `SIDE` rows: pairs whose signatures agree on a share of `CLOSE` registers (nearly five standard
-deviations below the threshold) go to the exact test. So no link within a bucket is lost, blocks bound the memory, and
-a bucket of copies costs one comparison a member. Buckets are counted by partial aggregation, so a group of copies is
-no hot task.
+deviations below the threshold) get the exact test in their task, nearest ones first, unless they are in one class by
+then. A block sends on only the links that join classes. So no class within a bucket is left apart, blocks bound the
+memory, and neither copies nor documents around one passage make rows by the square of their number. Buckets are
+counted by partial aggregation, so a group of copies is no hot task.
 
 To fetch the bags of candidate nodes without moving all texts, a bitmap of hashed keys of bounded size goes to the
 tasks as a first filter; the join behind it is exact.
@@ -46,7 +48,7 @@ REGISTERS = 256
 BANDS = 40
 ROWS = 8
 MOST_BITS = 27
-SIDE = 4096
+SIDE = 2048
 CLOSE = 0.68
 SUBSETS = np.stack([np.random.default_rng(100 + k).choice(REGISTERS, ROWS, replace=False) for k in range(BANDS)])
 FACTORS = np.random.default_rng(3).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -163,6 +165,14 @@ def maybe_in(docs: DataFrame, column: str, bits: np.ndarray, there: bool = True)
     return marked.mapInArrow(run, docs.schema)
 
 
+def elements(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The bags as sets: the second and later occurrences of a shingle are elements of their own (32 bits each)."""
+    same = np.concatenate([[False], (np.diff(rows) == 0) & (value[1:] == value[:-1])]) if len(rows) else np.zeros(0, bool)
+    place = np.arange(len(rows))
+    again = place - np.maximum.accumulate(np.where(same, 0, place)) if len(rows) else place
+    return (common.mixed(value + again.astype(np.uint64) * FACTORS[13]) >> np.uint64(32)).astype(np.uint32)
+
+
 def _bag_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.chunks(batches, "text"):
         n = batch.num_rows
@@ -170,25 +180,24 @@ def _bag_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *_, bag = bags(rows, value, n)
         same = bag.view(np.int64) == batch.column("node").to_numpy()
         cuts = np.searchsorted(rows, np.arange(n + 1))
-        short = (value >> np.uint64(32)).astype(np.uint32)
-        blobs = [short[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        element = elements(rows, value)
+        blobs = [np.sort(element[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bag.view(np.int64)), pa.array(blobs, pa.binary())], ["node", "bag"]).filter(pa.array(same))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted arrays with repeats."""
-    both = np.concatenate([a, b])
-    side = np.concatenate([np.zeros(len(a), np.int64), np.ones(len(b), np.int64)])
-    value, where = np.unique(both, return_inverse=True)
-    one = np.bincount(where[side == 0], minlength=len(value))
-    two = np.bincount(where[side == 1], minlength=len(value))
-    return float(np.minimum(one, two).sum() / max(np.maximum(one, two).sum(), 1))
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold."""
+    if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+        return False
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    both = np.sort(np.concatenate([a, b]))
+    common_ = int((both[1:] == both[:-1]).sum())
+    return common_ >= THRESHOLD * (len(both) - common_)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist()
-        on = [4 * min(len(x), len(y)) >= 4 * THRESHOLD * max(len(x), len(y)) and similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= THRESHOLD for x, y in zip(left, right, strict=True)]
+        on = [similar(x, y) for x, y in zip(batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist(), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
 
@@ -198,26 +207,49 @@ def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long")
 
 
+def spanning(node: np.ndarray, root: np.ndarray, asks: np.ndarray, answers: np.ndarray, short: np.ndarray, bags_: list[bytes]) -> list[tuple[int, int]]:
+    """Links that join all classes of a block which some pair of an asking and an answering row links: the pairs of near
+    signatures are tested from the nearest on, and those whose classes are joined by then are passed over."""
+    label = np.unique(root, return_inverse=True)[1]
+    ask, answer = np.flatnonzero(asks), np.flatnonzero(answers)
+    width = short.shape[1]
+    level, left, right = [], [], []
+    for k in ask.tolist():
+        other = answer[label[answer] != label[k]]
+        if len(other):
+            score = (short[other] == short[k]).sum(1)
+            other, score = other[score >= CLOSE * width], score[score >= CLOSE * width]
+            level.append(score.astype(np.int16))
+            right.append(other.astype(np.int32))
+            left.append(np.full(len(other), k, np.int32))
+    if not level:
+        return []
+    level, left, right = (np.concatenate(x) for x in (level, left, right))
+    order = np.argsort(-level, kind="stable")
+    left, right = left[order], right[order]
+    out, step = [], 2048
+    for at in range(0, len(left), step):
+        a, b = left[at : at + step], right[at : at + step]
+        on = label[a] != label[b]
+        for i, j in zip(a[on].tolist(), b[on].tolist(), strict=True):
+            if label[i] != label[j] and similar(bags_[i], bags_[j]):
+                out.append((max(node[i], node[j]), min(node[i], node[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block -> pairs of a row that asks and a row that answers, of different roots and near signatures."""
+    """Rows sorted by block -> links (a, b) within each block."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        _, nodes, roots, asks, answers, shorts = zip(*rows, strict=True)
-        node, root = np.array(nodes, np.int64), np.array(roots, np.int64)
+        _, nodes, roots, asks, answers, shorts, bags_ = zip(*rows, strict=True)
         table = np.frombuffer(b"".join(shorts), np.uint16).reshape(len(rows), -1)
-        answer = np.flatnonzero(np.array(answers))
-        left, right = [], []
-        for k in np.flatnonzero(np.array(asks)).tolist():
-            other = answer[root[answer] != root[k]]
-            other = other[(table[other] == table[k]).mean(1) >= CLOSE]
-            left.append(np.full(len(other), node[k]))
-            right.append(node[other])
-        one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], ["a", "b"])
+        found = spanning(np.array(nodes, np.int64), np.array(roots, np.int64), np.array(asks), np.array(answers), table, list(bags_))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "asks", "answers", "short")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "asks", "answers", "short", "bag")), strict=True):
             if rows and row[0] != rows[-1][0]:
                 yield block(rows)
                 rows = []
@@ -256,9 +288,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     answering = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
     placed = named.join(sides, "band").withColumn("cell", F.explode(F.array_distinct(F.concat(asking, answering))))
     placed = placed.select(F.xxhash64("band", "cell").alias("block"), "node", "root", (F.col("asks") & (F.col("cell.i") == i)).alias("asks"), (F.col("cell.j") == j).alias("answers"))
-    placed = placed.join(first.select("node", "short"), "node").repartition("block").sortWithinPartitions("block")
-    more = placed.select("block", "node", "root", "asks", "answers", "short").mapInArrow(_near, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = common.written(verified(more, blobs), "links")
+    placed = placed.join(first.select("node", "short"), "node").join(blobs, "node").repartition("block").sortWithinPartitions("block")
+    late = common.written(placed.select("block", "node", "root", "asks", "answers", "short", "bag").mapInArrow(_near, "a long, b long").distinct(), "links")
     if not late.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(late))

@@ -305,6 +305,8 @@ def test_near_duplicates(spark, empty):
             rows.append((len(rows), " ".join(own)))
     common_passage = " ".join(word() for _ in range(80))
     rows += [(1000 + k, common_passage + " " + " ".join(word() for _ in range(60))) for k in range(40)]
+    hub = [word() for _ in range(200)]  # copies that are near the first one but not near each other
+    rows += [(500, " ".join(hub))] + [(501 + k, " ".join(word() if 12 * k <= i < 12 * k + 12 or 190 < i else w for i, w in enumerate(hub))) for k in range(15)]
     rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "one two"), (2004, "..."), (2005, "a b c d e"), (2006, rows[0][1])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string").repartition(5)
     got = {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()}
