@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLOOR = 1e-12
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once: within a lambda, a plain expression would be worked out again for every element."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def total(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
-def softmax(c: Column, temperature: float | Column = 1.0) -> Column:
-    z = F.transform(c, lambda x: x.cast("double") / temperature)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / total(e))
+def softmax(c: Column, temperature: float = 1.0) -> Column:
+    def shifted(z: Column) -> Column:
+        return bind(F.array_max(z), lambda m: F.transform(z, lambda x: F.exp((x.cast("double") - m) / temperature)))
+
+    return bind(bind(c, shifted), lambda e: bind(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_sum_exp(c: Column) -> Column:
-    return F.array_max(c) + F.log(total(F.transform(c, lambda x: F.exp(x - F.array_max(c)))))
+    return bind(c, lambda z: bind(F.array_max(z), lambda m: m + F.log(total(F.transform(z, lambda x: F.exp(x - m))))))
 
 
 def arg_max(c: Column) -> Column:
     """The first place of the largest value, from 0."""
-    return F.array_position(c, F.array_max(c)).cast("int") - 1
+    return bind(c, lambda z: F.array_position(z, F.array_max(z)).cast("int") - 1)
 
 
 def second(c: Column) -> Column:
@@ -33,7 +41,7 @@ def second(c: Column) -> Column:
 
 
 def margin(c: Column) -> Column:
-    return F.array_max(c) - second(c)
+    return bind(c, lambda z: F.array_max(z) - second(z))
 
 
 def entropy(c: Column) -> Column:
@@ -49,8 +57,7 @@ def top_places(c: Column, k: int) -> Column:
 
 def rank_of(c: Column, place: Column) -> Column:
     """How many values are larger than that at the place, and equal ones before it; null if the place is below 0."""
-    own = F.get(c, place)
-    return F.when(place >= 0, F.size(F.filter(c, lambda x, i: (x > own) | ((x == own) & (i < place)))))
+    return F.when(place >= 0, bind(F.struct(c.alias("c"), F.get(c, place).alias("own"), place.alias("p")), lambda v: F.size(F.filter(v["c"], lambda x, i: (x > v["own"]) | ((x == v["own"]) & (i < v["p"]))))))
 
 
 def mean_of(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taxolith.functions.arrays import bind
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -16,10 +18,11 @@ def tokenize(c: Column, lower: bool = True) -> Column:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams for low <= n <= high, words joined by a space."""
-    parts = []
-    for n in range(low, high + 1):
-        parts.append(tokens if n == 1 else F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), _joined(tokens, n))).otherwise(F.array().cast("array<string>")))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    def all_of(t: Column) -> Column:
+        parts = [t if n == 1 else F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), _joined(t, n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return bind(tokens, all_of)
 
 
 def _joined(tokens: Column, n: int):

@@ -23,12 +23,10 @@ def fit_temperature(df: DataFrame, logits: str, code: str, steps: int = 25) -> f
     log_t = 0.0
     for _ in range(steps):
         t = math.exp(log_t)
-        p = A.softmax(F.col("z"), t)
-        mean = A.total(F.zip_with(p, "z", lambda a, b: a * b))
-        square = A.total(F.zip_with(p, "z", lambda a, b: a * b * b))
-        slope = (F.get("z", F.col("y")) - mean) / t
-        bend = -(F.get("z", F.col("y")) - mean) / t + (square - mean * mean) / (t * t)
-        row = rows.agg(F.avg(slope).alias("g"), F.avg(bend).alias("h")).first()
+        moments = rows.select("z", "y", A.softmax(F.col("z"), t).alias("p")).select(F.get("z", F.col("y")).alias("own"), A.total(F.zip_with("p", "z", lambda a, b: a * b)).alias("mean"), A.total(F.zip_with("p", "z", lambda a, b: a * b * b)).alias("square"))
+        slope = (F.col("own") - F.col("mean")) / t
+        bend = -slope + (F.col("square") - F.col("mean") * F.col("mean")) / (t * t)
+        row = moments.agg(F.avg(slope).alias("g"), F.avg(bend).alias("h")).first()
         if row.g is None:
             return 1.0
         move = row.g / row.h if row.h > 1e-9 else math.copysign(0.5, row.g)
@@ -59,8 +57,8 @@ def with_isotonic(df: DataFrame, probs: str, model: IsotonicRegressionModel) ->
         line = F.lit(values[k - 1]) + (top - bounds[k - 1]) * ((values[k] - values[k - 1]) / width if width > 0 else 0.0)
         steps = F.when(top >= bounds[k], values[k]).when(top >= bounds[k - 1], line).otherwise(steps)
     new = F.greatest(F.lit(A.FLOOR), F.least(F.lit(1 - A.FLOOR), steps))
-    place = A.arg_max(F.col(probs))
-    return df.withColumn("_new", new).withColumn(probs, F.transform(probs, lambda x, i: F.when(i == place, F.col("_new")).otherwise(x.cast("double") * (1 - F.col("_new")) / F.greatest(1 - top, F.lit(A.FLOOR))))).drop("_new")
+    known = F.struct(F.col(probs).alias("p"), new.alias("new"), top.alias("top"), A.arg_max(F.col(probs)).alias("at"))
+    return df.withColumn(probs, A.bind(known, lambda v: F.transform(v["p"], lambda x, i: F.when(i == v["at"], v["new"]).otherwise(x.cast("double") * (1 - v["new"]) / F.greatest(1 - v["top"], F.lit(A.FLOOR))))))
 
 
 def normalised(df: DataFrame, probs: str) -> DataFrame:

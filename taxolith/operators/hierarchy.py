@@ -85,53 +85,63 @@ def _log(p: Column) -> Column:
 def path_scores(df: DataFrame, tree: Tree, probs: Sequence[str], mode: str = "independent", out: str = "scores") -> DataFrame:
     """df with the log score of every path. independent: the sum of the levels' logs. conditional: each level's shares
     are taken among the children of one parent first, so that the paths' probabilities sum to 1."""
-    logs = {f"_log{k}": _log(F.col(c)) for k, c in enumerate(probs)}
-    df = df.withColumns(logs)
-    n = len(tree.paths)
-    if mode == "conditional":
-        under = {}
+    logs = [_log(F.col(c)).alias(f"log{k}") for k, c in enumerate(probs)]
+
+    def with_parents(v: Column) -> Column:
+        """The levels' logs and, for each parent, the log of its children's sum."""
+        out = [v[f"log{k}"].alias(f"log{k}") for k in range(len(probs))]
         for k in range(len(probs)):
             children = [[p[k] for p in tree.prefixes[k + 1] if p[:k] == parent] for parent in tree.prefixes[k]]
-            under[f"_under{k}"] = F.transform(F.lit(children), _sum_exp(f"_log{k}"))
-        df = df.withColumns(under)
-    terms = []
-    for k in range(len(probs)):
-        code, parent = F.lit([p[k] for p in tree.paths]), F.lit(tree.prefix_of_path(k))
-        terms.append(_term(f"_log{k}", code, f"_under{k}" if mode == "conditional" else None, parent))
-    scores = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: reduce(lambda a, b: a + b, (t(i) for t in terms)))
-    return df.withColumn(out, scores).drop(*logs, *[f"_under{k}" for k in range(len(probs))])
+            out.append(F.transform(F.lit(children), _sum_exp(v[f"log{k}"])).alias(f"under{k}"))
+        return F.struct(*out)
 
+    def summed(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(len(tree.paths) - 1)), lambda i: reduce(lambda a, b: a + b, (term(v, k, i) for k in range(len(probs)))))
 
-def _sum_exp(column: str):
-    return lambda codes: A.log_sum_exp(F.transform(codes, lambda c: F.get(F.col(column), c)))
+    def term(v: Column, k: int, i: Column) -> Column:
+        own = F.get(v[f"log{k}"], F.get(F.lit([p[k] for p in tree.paths]), i))
+        return own - F.get(v[f"under{k}"], F.get(F.lit(tree.prefix_of_path(k)), i)) if mode == "conditional" else own
 
+    bound = A.bind(F.struct(*logs), with_parents) if mode == "conditional" else F.struct(*logs)
+    return df.withColumn(out, A.bind(bound, summed))
 
-def _term(column: str, code: Column, under: str | None, parent: Column):
-    def term(i: Column) -> Column:
-        own = F.get(F.col(column), F.get(code, i))
-        return own - F.get(F.col(under), F.get(parent, i)) if under else own
 
-    return term
+def _sum_exp(logs: Column):
+    return lambda codes: A.log_sum_exp(F.transform(codes, lambda c: F.get(logs, c)))
 
 
 def best_paths(df: DataFrame, tree: Tree, k: int = 3, scores: str = "scores") -> DataFrame:
     """df with `paths`: array<struct<path, probability, evidence>> of the k best, ties by path, and `path_probs`."""
-    df = df.withColumn("_lse", A.log_sum_exp(F.col(scores)))
-    df = df.withColumn("path_probs", F.transform(scores, lambda s: F.exp(s - F.col("_lse"))))
-    tops = A.top_places(F.col(scores), min(k, len(tree.paths)))
-    return df.withColumn("paths", F.transform(tops, lambda x: F.struct(x["place"].alias("path"), F.exp(x["value"] - F.col("_lse")).alias("probability"), F.exp(x["value"]).alias("evidence")))).drop("_lse")
+    def with_probabilities(v: Column) -> Column:
+        probs = F.transform(v["s"], lambda x: F.exp(x - v["t"]))
+        tops = F.transform(A.top_places(v["s"], min(k, len(tree.paths))), lambda x: F.struct(x["place"].alias("path"), F.exp(x["value"] - v["t"]).alias("probability"), F.exp(x["value"]).alias("evidence")))
+        return F.struct(probs.alias("probs"), tops.alias("tops"))
+
+    both = A.bind(F.struct(F.col(scores).alias("s"), A.log_sum_exp(F.col(scores)).alias("t")), with_probabilities)
+    return df.withColumn("_both", both).withColumns({"path_probs": F.col("_both.probs"), "paths": F.col("_both.tops")}).drop("_both")
 
 
 def prefix_masses(df: DataFrame, tree: Tree) -> DataFrame:
     """df with, for each depth d, prefix_<d> (the codes of the heaviest prefix), mass_<d> and margin_<d>."""
     for d in range(1, len(tree.levels) + 1):
-        df = df.withColumn("_mass", F.transform(F.lit(tree.members(d)), lambda own: F.aggregate(own, F.lit(0.0), lambda a, i: a + F.get(F.col("path_probs"), i))))
-        many = len(tree.prefixes[d]) > 1
-        best = F.get(F.lit([list(p) for p in tree.prefixes[d]]), A.arg_max(F.col("_mass")))
-        df = df.withColumns({f"prefix_{d}": best, f"mass_{d}": F.array_max("_mass"), f"margin_{d}": A.margin(F.col("_mass")) if many else F.array_max("_mass")}).drop("_mass")
+        mass = A.bind(F.col("path_probs"), _masses(tree.members(d)))
+        df = df.withColumn("_mass", A.bind(mass, _heaviest(tree.prefixes[d])))
+        df = df.withColumns({f"{name}_{d}": F.col(f"_mass.{name}") for name in ("prefix", "mass", "margin")}).drop("_mass")
     return df
 
 
+def _masses(members: list[list[int]]):
+    return lambda p: F.transform(F.lit(members), lambda own: F.aggregate(own, F.lit(0.0), lambda a, i: a + F.get(p, i)))
+
+
+def _heaviest(prefixes: list[tuple[int, ...]]):
+    def best(m: Column) -> Column:
+        margin = A.margin(m) if len(prefixes) > 1 else F.array_max(m)
+        return F.struct(F.get(F.lit([list(p) for p in prefixes]), A.arg_max(m)).alias("prefix"), F.array_max(m).alias("mass"), margin.alias("margin"))
+
+    return best
+
+
 def level_argmax(df: DataFrame, tree: Tree, probs: Sequence[str]) -> DataFrame:
     """Each level for itself: predicted_<level>, confidence_<level>, margin_<level>. Levels may disagree."""
     new = {}

@@ -31,9 +31,11 @@ class Linear:
     temperature: float = 1.0
 
     def margins(self, features: str) -> Column:
-        table = F.lit([list(w) for w in self.weights])
-        scores = F.transform(table, lambda w: A.total(F.zip_with(w, F.col(features), lambda a, b: a * b.cast("double"))))
-        return F.zip_with(scores, F.lit(list(self.bias)), lambda a, b: a + b)
+        def scores(x: Column) -> Column:
+            return F.transform(F.lit([list(w) for w in self.weights]), lambda w: A.total(F.zip_with(w, x, lambda a, b: a * b)))
+
+        own = A.bind(F.transform(features, lambda v: v.cast("double")), scores)
+        return F.zip_with(own, F.lit(list(self.bias)), lambda a, b: a + b)
 
     def probabilities(self, features: str) -> Column:
         return A.softmax(self.margins(features), self.temperature)
@@ -48,14 +50,20 @@ class Centroids:
     temperature: float = 0.1
 
     def margins(self, features: str) -> Column:
-        own = F.transform(features, lambda x: x.cast("double"))
         table = F.lit([list(m) for m in self.means])
-        if self.metric == "cosine":
-            size = F.sqrt(A.total(F.transform(own, lambda x: x * x)))
-            norms = F.lit([float(np.linalg.norm(m)) for m in self.means])
-            dots = F.transform(table, lambda m: A.total(F.zip_with(m, own, lambda a, b: a * b)))
-            return F.zip_with(dots, norms, lambda d, n: F.when((n > 0) & (size > 0), d / (n * size)).otherwise(0.0))
-        return F.transform(table, lambda m: -A.total(F.zip_with(m, own, lambda a, b: (a - b) * (a - b))))
+        norms = F.lit([float(np.linalg.norm(m)) for m in self.means])
+
+        def cosine(x: Column) -> Column:
+            def sized(size: Column) -> Column:
+                dots = F.transform(table, lambda m: A.total(F.zip_with(m, x, lambda a, b: a * b)))
+                return F.zip_with(dots, norms, lambda d, n: F.when((n > 0) & (size > 0), d / (n * size)).otherwise(0.0))
+
+            return A.bind(F.sqrt(A.total(F.transform(x, lambda v: v * v))), sized)
+
+        def euclidean(x: Column) -> Column:
+            return F.transform(table, lambda m: -A.total(F.zip_with(m, x, lambda a, b: (a - b) * (a - b))))
+
+        return A.bind(F.transform(features, lambda v: v.cast("double")), cosine if self.metric == "cosine" else euclidean)
 
     def probabilities(self, features: str) -> Column:
         return A.softmax(self.margins(features), self.temperature)

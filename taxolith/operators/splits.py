@@ -44,7 +44,7 @@ def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.1,
 
 def data_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows, and a sum of row hashes modulo 2^64, the same in any order."""
-    return df.agg(F.count("*").alias("rows"), (F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)) % F.lit(1 << 64).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    return df.agg(F.count("*").alias("rows"), (F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)) % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 def id_fingerprint(ids: DataFrame, column: str = "id") -> DataFrame:

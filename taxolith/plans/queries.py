@@ -297,13 +297,14 @@ def attached_names(spark, sf):
     return taxonomy.attach_names(rows, names, ["l1", "l2"], ["n_name", "r_name"]).select("o_orderkey", "n_name", "r_name")
 
 
-@query("""SELECT o_orderkey, l_suppkey, s_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 WHERE o_orderstatus IN ('F', 'P')""")
+@query("""WITH i AS (SELECT o_orderkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 WHERE o_orderstatus IN ('F', 'P')), s AS (SELECT o_orderkey, min(s_name) AS s_name FROM i JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING max((s_acctbal > 0)::INT) = 1) SELECT o_orderkey, l_suppkey, s_name FROM i LEFT JOIN s USING (o_orderkey)""")
 def items_with_warehouse(spark, sf):
     sku = read(spark, sf, "orders").select(F.col("o_orderkey").alias("product_no"))
-    item = read(spark, sf, "lineitem").where("l_linenumber = 1").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = read(spark, sf, "orders")
+    item = read(spark, sf, "lineitem").where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     item = item.select(F.col("l_orderkey").alias("product_no"), F.lit(1).alias("current"), F.when(F.col("o_orderstatus").isin("F", "P"), 1).otherwise(2).alias("cono"), "l_suppkey")
-    house = read(spark, sf, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") > 0).cast("int").alias("warehouse_current"))
-    stock = item.join(house, item.l_suppkey == house.s_suppkey).select("product_no", "cono", "s_name", "warehouse_current")
+    house = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", (F.col("s_acctbal") > 0).cast("int").alias("warehouse_current"))
+    stock = item.join(house, "l_suppkey").groupBy("product_no", "cono").agg(F.min("s_name").alias("s_name"), F.max("warehouse_current").alias("warehouse_current"))
     return taxonomy.current_items(sku, item, stock).select(F.col("product_no").alias("o_orderkey"), "l_suppkey", "s_name")
 
 
