@@ -31,6 +31,7 @@ MIN_DF = 4
 MIN_Z = 3.5
 MOST_FEATURES = 8000
 FOLDS = 5
+COUNT_BYTES = 1 << 18  # texts at a time where every n-gram is kept
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -93,7 +94,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's texts -> for each feature in them, how many have it by class."""
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for batch in common.chunks(batches, "text"):
+    for batch in common.chunks(batches, "text", COUNT_BYTES):
         label = batch.column("toxic").to_numpy() == 1
         row, feature = row_features(*common.raw(batch.column("text")))
         for k in (0, 1):
