@@ -100,7 +100,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     key, row = common.mixed(shingle[owner] + step.astype(np.uint64) * FACTORS[10]), row[owner]
     time, drawn = np.zeros(len(key)), 0
     while len(key):
-        many = 1 if len(key) > 20_000 else min(64, 40_000 // len(key) + 1)
+        many = 1 if len(key) > 20_000 else min(64, 16_000 // len(key) + 1)
         number = (np.arange(many, dtype=np.uint64) + np.uint64(drawn)) * FACTORS[11]
         drawn += many
         bits = common.mixed(key[:, None] + number)
@@ -300,15 +300,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of near duplicates: that of the least key. All columns stay."""
+    """docs with one row of each class of near duplicates: that of the least key. All columns stay, and so do rows
+    without a key."""
     columns = docs.columns
     found = common.written(classes(docs), "classes")
     gone = common.written(found.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct(), "gone")
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     odd = common.written(gone.unionByName(again).distinct(), "odd")
     bits = bitmap(odd, "doc_id")
-    sure = maybe_in(docs, "doc_id", bits, there=False)
-    checked = maybe_in(docs, "doc_id", bits).join(gone, "doc_id", "left_anti").select(columns)
+    keyed = docs.where("doc_id is not null")
+    sure = maybe_in(keyed, "doc_id", bits, there=False).unionByName(docs.where("doc_id is null"))
+    checked = maybe_in(keyed, "doc_id", bits).join(gone, "doc_id", "left_anti").select(columns)
     return sure.unionByName(checked.dropDuplicates(["doc_id"]))
 
 
