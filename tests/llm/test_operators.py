@@ -329,7 +329,7 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def test_toxicity_on_held_out_rows(spark, odd, empty):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 holds out only six toxic rows
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
     got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
