@@ -204,12 +204,12 @@ def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
 
 
 def with_hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs with n_words, n_hit, items and spans (byte ranges of its UTF-8 text) beside its own columns."""
+    """docs with n_words, n_hit, items and spans (byte ranges of its UTF-8 text); own columns of these names give way."""
     common.tune(docs.sparkSession)
     out = docs
     for k, phrases in enumerate(blocks(bench)):
-        have = {} if k == 0 else {"n_words", "n_hit", "items", "spans"}
-        kept = [c for c in out.columns if c not in have]
+        names = {"n_words", "n_hit", "items", "spans"}
+        have, kept = names if k else {}, [c for c in out.columns if c not in names]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in kept), FOUND])
 
         def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, kept: list[str] = kept, have: set[str] = have) -> Iterator[pa.RecordBatch]:
@@ -258,6 +258,9 @@ def _joined(batch: pa.RecordBatch, n_words: np.ndarray, spans: list[list], items
 def cleaned(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without their benchmark passages: the removal spans are cut out of `text`, and n_chars follows it if it is
     there. A document of which no word is left goes; all others stay."""
+    given = docs.schema
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "n_hit", "items", "spans")}
+    docs = docs.withColumnsRenamed(aside)
     columns = docs.columns
     marked = with_hits(docs, bench)
 
@@ -275,7 +278,9 @@ def cleaned(docs: DataFrame, bench: DataFrame) -> DataFrame:
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type)).select(columns)
 
     left = marked.where("n_hit = 0 or n_hit < n_words").mapInArrow(cut, docs.schema)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(columns) if "n_chars" in columns else left
+    if "n_chars" in columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(columns)
+    return left.withColumnsRenamed({v: k for k, v in aside.items()}).select(given.names)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,7 +154,7 @@ def test_random_strings_are_found_and_names_are_not(spark):
     rnd = random.Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     good = [(k, "see " + "".join(rnd.choice(alphabet) for _ in range(40)) + " there") for k in range(20)]
-    names = ["someVeryLongIdentifierName2023", "2024-report-final-version-two", "InternationalBusinessMachines", "https/path/to/some/Resource_name_here", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
+    names = ["someVeryLongIdentifierName2023", "2024-report-final-version-two", "InternationalBusinessMachines", "https/path/to/some/Resource_name_here", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1"]
     docs = spark.createDataFrame(good + [(100 + k, n) for k, n in enumerate(names)], "doc_id long, text string")
     got = {r.doc_id: [s.name for s in r.spans] for r in secrets.scanned(docs).collect()}
     assert sum(got[k] == ["random"] for k in range(20)) >= 19
@@ -232,6 +232,8 @@ def test_decontamination(spark, odd, empty, monkeypatch, block):
     assert sorted((key(r.doc_id), r.n_words, r.n_hit, ",".join(r["items"])) for r in got) == plain_hits(rows + ROWS, items)
     clean = decontamination.cleaned(docs.withColumn("n_chars", docs.doc_id), bench)
     assert clean.columns == ["doc_id", "text", "n_chars"]
+    clash = docs.withColumn("spans", docs.doc_id)
+    assert decontamination.cleaned(clash, bench).select("spans").schema == clash.select("spans").schema
     short = {len(w) for w in (re.findall(r"\w+", t or "") for i, t in items if i is not None) if 0 < len(w) < 10}
     if not short:
         assert all(h == 0 for _, _, h, _ in plain_hits([(r.doc_id, r.text) for r in clean.collect()], items))
