@@ -105,7 +105,8 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
         drawn += many
         bits = common.mixed(key[:, None] + number)
         gap = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None]
-        times = time[:, None] + np.cumsum(gap, 1)
+        gap[:, 0] += time  # gaps are added one by one, so a time has the same bits however many points are drawn at once
+        times = np.cumsum(gap, 1)
         more = common.mixed(bits ^ FACTORS[12])
         register = (more & np.uint64(m - 1)).astype(np.int64)
         below = (more >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share[:, None]

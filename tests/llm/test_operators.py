@@ -330,6 +330,22 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
+def test_signatures_do_not_depend_on_the_slice():
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    own = [text(n) for n in (3, 12, 60, 150)] + ["again and again " * 40]
+
+    def signed(texts):
+        row, shingle, weight, _ = near_duplicates.bags(*near_duplicates.shingles(*common.raw(pa.array(texts))), len(texts))
+        return near_duplicates.signatures(row, shingle, weight, len(texts))
+
+    alone = np.concatenate([signed([t]) for t in own])
+    for others in ([text(40) for _ in range(30)], [text(9000) for _ in range(4)], [text(300) for _ in range(300)]):
+        together = signed(own + others)[: len(own)]
+        assert (together.view(np.uint64) == alone.view(np.uint64)).all()
+        assert (near_duplicates.band_keys(together) == near_duplicates.band_keys(alone)).all()
+
+
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     sf = "/root/testdata/sf0.1"  # sf0.01 holds out only six toxic rows
     labels = spark.read.parquet(f"{sf}/labels.parquet")
