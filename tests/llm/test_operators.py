@@ -161,6 +161,35 @@ def test_random_strings_are_found_and_names_are_not(spark):
     assert not any(got[100 + k] for k in range(len(names)))
 
 
+def test_rare_random_strings_of_each_encoding_are_found(spark):
+    rnd = random.Random(9)
+    words = "system user report index config service handler request response file path name version final data table export import backup image photo invoice order customer account session manager factory builder client".split()
+    number = lambda: rnd.choice([str(rnd.randint(1990, 2026)), f"{rnd.randint(1990, 2026)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}", f"{rnd.randint(0, 9999):06}", "0000", f"{rnd.randint(0, 10**7):010}"])
+    hex_words = "face cafe bead dead beef fade deed feed added decade facade bad cab dab bed fed ace".split()
+
+    def name(kind):
+        if kind == "hex":
+            return "".join(rnd.choice([number(), number(), rnd.choice(hex_words)]) for _ in range(9))[: rnd.choice([20, 24, 32, 40, 64])].upper()
+        if kind == "base32":
+            return re.sub("[^A-Z2-7]", "", "".join([rnd.choice(words) for _ in range(rnd.randint(3, 8))] + [number()]).upper())
+        own = [rnd.choice([*words, number()]) for _ in range(rnd.randint(3, 8))]
+        return rnd.choice([rnd.choice("-_/").join(own), "".join(w.capitalize() for w in own), "_".join(w.capitalize() for w in own)])
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"hex": "0123456789ABCDEF", "base32": upper + "234567", "base64": upper + upper.lower() + "0123456789+/"}
+    ordinary = [("name", k, 0, name(k)) for k in alphabets for _ in range(3000)]
+    planted = [("planted", k, n, "".join(rnd.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (20, 24, 32, 40, 64) for _ in range(8)]
+    docs = spark.createDataFrame([(k, c, e, n, f"see {t} there") for k, (c, e, n, t) in enumerate(ordinary + planted)], "doc_id long, made string, encoding string, n int, text string")
+    found = collections.defaultdict(list)
+    for r in secrets.scanned(docs).collect():
+        found[r.made, r.encoding, r.n].append(any(s.name == "random" for s in r.spans))
+    shares = {k: float(np.mean(v)) for k, v in found.items()}
+    print(shares)
+    for k in alphabets:
+        assert shares["name", k, 0] < 0.01
+        assert np.mean([shares["planted", k, n] for n in (20, 24, 32)]) >= 0.5 and np.mean([shares["planted", k, n] for n in (40, 64)]) >= 0.8
+
+
 def plain_repeats(rows, length=repeats.LENGTH):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
