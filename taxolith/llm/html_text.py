@@ -1,10 +1,12 @@
 """HTML extraction by line-block distribution: text lengths over sliding windows of lines, from surge to dive.
 
 Markup is stripped to lines, one a block. Scripts, styles, comments, forms and containers that are boilerplate by
-their tag, role, class or id leave no text; outside an article they leave a gap of empty lines instead. Window sums of
-the lines' lengths rise from nothing at a surge and fall to nothing at a dive; the stretches between are the
-candidates. Those within <article> or <main> are kept whole; on pages without these, the stretches whose largest
-window reaches `SURGE` characters, or else the largest one. Pages are worked on where they lie; nothing is shuffled.
+their tag or role leave no text; outside an article they leave a gap of empty lines instead. So do containers with a
+boilerplate word as class or id, unless they hold <article> or <main>, or, on pages without these, more text and a larger
+window than all that shows. Window sums of the lines' lengths rise from nothing at a surge and fall to nothing at a dive;
+the stretches between are the candidates. Those within <article> or <main> are kept whole; on pages without these, the
+stretches whose largest window reaches `SURGE` characters, or else the largest one. Pages are worked on
+where they lie; nothing is shuffled.
 
 Defined cases: null and empty pages give an empty text; unclosed tags are closed by their parents' end; a page without
 block text gives an empty text; repeated rows are extracted one by one; an empty table gives no rows; other columns are
@@ -37,7 +39,9 @@ NAMES = (
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations "
     "comment comments disqus reply replies respond login signup search pagination pager widget toolbar skip copyright"
 ).split()
-NAMED = regex.compile(r"(?:^|[\s_-])(?:" + "|".join(NAMES) + r")(?:$|[\s_-])", regex.I).search
+#: Words that may stand beside these in a class or id: `main-nav`, but not `has-sidebar`.
+PLAIN = "area bar block bottom box button buttons container global inner item items left links list main outer page panel right section site slot top unit widget wrap wrapper".split()
+NAMED = regex.compile(r"(?:^|\s)(?:(?:" + "|".join(PLAIN) + r")[_-])*(?:" + "|".join(NAMES) + r")(?:[_-](?:" + "|".join(NAMES + PLAIN) + r"|\d+))*(?:$|\s)", regex.I).search
 TAG = regex.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"""|<(?:[a-zA-Z/][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+|[a-zA-Z/!?][^>]*+)>""",
@@ -47,25 +51,39 @@ NAME = regex.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)").match
 ATTRIBUTE = regex.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", regex.I).findall
 
 
-def _boilerplate(name: str, tag: str, inside: bool) -> bool:
+def _boilerplate(name: str, tag: str, inside: bool) -> int:
+    """2 for boilerplate by tag or role, 1 by a class or id, else 0."""
     if name in GONE or name == "header" and not inside:
-        return True
+        return 2
     if name in ("article", "main", "body", "html") or "=" not in tag:
-        return False
+        return 0
+    found = 0
     for key, *values in ATTRIBUTE(tag):
         value = "".join(values).strip()
-        if key.lower() == "role" and value.lower() in ROLES or key.lower() != "role" and NAMED(value):
-            return True
-    return False
+        if key.lower() == "role" and value.lower() in ROLES:
+            return 2
+        if key.lower() != "role" and NAMED(value):
+            found = 1
+    return found
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """The page's lines in order (empty ones are gaps), and whether each lies in an article."""
+def _windows(text: list[str]) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum([len(t) for t in text], dtype=np.int64)])
+    return total[np.minimum(np.arange(len(text)) + WINDOW, len(text))] - total[:-1]
+
+
+def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """The page's lines in order (empty ones are gaps), whether each lies in an article, and whether in a headline."""
     out: list[str] = []
     where: list[bool] = []
+    head: list[bool] = []
+    under: list[tuple[int, ...]] = []  # the containers named as boilerplate around a line
+    freed: set[int] = set()  # those of them that hold an article
+    count = 0
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, boilerplate, in an article
+    open_: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, boilerplate by tag, in an article, containers named so
     hidden = inside = False
+    named_in: tuple[int, ...] = ()
 
     def end_line() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -73,11 +91,15 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         if text and not hidden:
             out.append(text)
             where.append(inside)
+            head.append(any(x[0] in ("h1", "h2") for x in open_))
+            under.append(named_in)
 
-    def gap() -> None:
-        if not inside:
+    def gap(always: bool = False) -> None:
+        if always or not inside:
             out.extend([""] * WINDOW)
             where.extend([False] * WINDOW)
+            head.extend([False] * WINDOW)
+            under.extend([()] * WINDOW)
 
     at = 0
     for m in TAG.finditer(page):
@@ -106,44 +128,66 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
         elif name not in VOID and not tag.endswith("/>"):
             while open_ and open_[-1][0] == "p" and name in BLOCK or open_ and open_[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 open_.pop()
-            hidden, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-            bad = hidden or _boilerplate(name, tag, inside)
-            if bad and not hidden:
+            hidden, inside, named_in = open_[-1][1:] if open_ else (False, False, ())
+            bad = 0 if hidden else _boilerplate(name, tag, inside)
+            if bad:
                 end_line()
                 gap()
-            open_.append((name, bad, inside or name in ("article", "main")))
+            own = named_in
+            if bad == 1:
+                count += 1
+                own = (*named_in, count)
+            if name in ("article", "main") and not hidden:
+                freed.update(named_in)
+            open_.append((name, hidden or bad == 2, inside or name in ("article", "main"), own))
         before = inside
-        hidden, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+        hidden, inside, named_in = open_[-1][1:] if open_ else (False, False, ())
         if before and not inside:
             gap()
         elif inside and not before:
-            out.extend([""] * WINDOW)
-            where.extend([False] * WINDOW)
+            gap(True)
     parts.append(page[at:])
     end_line()
-    return out, where
+    if not any(where):
+        while True:
+            shown = [t for t, u in zip(out, under, strict=True) if freed.issuperset(u)]
+            within: dict[int, list[str]] = {}
+            for t, u in zip(out, under, strict=True):
+                if len(left := [c for c in u if c not in freed]) == 1:
+                    within.setdefault(left[0], []).append(t)
+            size, peak = sum(map(len, shown)), max(_windows(shown), default=0)
+            over = [(sum(map(len, v)), c) for c, v in within.items() if sum(map(len, v)) > size and max(_windows(v)) > max(peak, SURGE)]
+            if not over:
+                break
+            freed.add(max(over)[1])
+    on = [freed.issuperset(u) for u in under]
+    return tuple([x for x, k in zip(column, on, strict=True) if k] for column in (out, where, head))
+
+
+def _stretches(text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the window sums surge and dive, and the largest one between."""
+    window = _windows(text)
+    on = window > 0
+    surge = np.flatnonzero(on & ~np.concatenate([[False], on[:-1]]))
+    dive = np.flatnonzero(on & ~np.concatenate([on[1:], [False]])) + 1
+    if not len(surge):
+        return surge, dive, surge
+    return surge, dive, np.maximum.reduceat(window, np.stack([surge, dive], 1).ravel()[: 2 * len(surge) - (dive[-1] == len(window))])[::2]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    text, where = lines(page)
-    if any(w and t for w, t in zip(where, text, strict=True)):
+    text, where, _ = lines(page)
+    least = SURGE
+    if any(where):
         text = [t if w else "" for w, t in zip(where, text, strict=True)]
         least = 0
-    else:
-        least = SURGE
     if not text:
         return ""
-    length = np.array([len(t) for t in text])
-    total = np.concatenate([[0], np.cumsum(length)])
-    window = total[np.minimum(np.arange(len(text)) + WINDOW, len(text))] - total[:-1]
-    on = window > 0
-    surge = np.flatnonzero(on & ~np.concatenate([[False], on[:-1]]))
-    dive = np.flatnonzero(on & ~np.concatenate([on[1:], [False]])) + 1
+    surge, dive, peaks = _stretches(text)
     if not len(surge):
         return ""
-    peaks = np.maximum.reduceat(window, np.stack([surge, dive], 1).ravel()[: 2 * len(surge) - (dive[-1] == len(window))])[::2]
     keep = peaks >= least
     if not keep.any():
         keep = np.arange(len(peaks)) == peaks.argmax()

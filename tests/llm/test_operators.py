@@ -130,6 +130,17 @@ def test_html_text_of_generated_pages(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_html_named_containers_do_not_hide_the_article():
+    long = "word " * 40
+    text = html_text.main_text
+    want = f"{long.strip()}\nend"
+    for wrap in ("class='layout has-sidebar'", "class=no-sidebar", "class='content with-comments'", "id='promo-free-main'", "class='side wrapper'", "id=header"):
+        for tag in ("article", "main", "section"):
+            page = f"<div {wrap}><{tag}><p>{long}</p><p>end</p></{tag}><div class='main-nav'>links</div></div><div class='site-footer'>c</div>"
+            assert text(page) == want, page
+    assert text(f"<p>{long}</p><div class='ad-box'>buy</div><div class='comments-list'>nice</div>") == long.strip()
+
+
 BASE = [(n, re.compile(p), g, m) for n, p, g, m in (("assign", secrets.ASSIGN, 2, 6), ("access", "(AKIA[A-Z0-9]+)", 1, 20), ("hex", "([0-9a-f]+)", 1, 24))]
 
 
