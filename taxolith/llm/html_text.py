@@ -4,8 +4,9 @@ Markup is stripped to lines, one a block. Scripts, styles, comments, forms and c
 their tag or role leave no text; outside an article they leave a gap of empty lines instead. So do containers with a
 boilerplate word as class or id, unless they hold <article> or <main>, or, on pages without these, more text and a larger
 window than all that shows. Window sums of the lines' lengths rise from nothing at a surge and fall to nothing at a dive;
-the stretches between are the candidates. Those within <article> or <main> are kept whole; on pages without these, the
-stretches whose largest window reaches `SURGE` characters, or else the largest one. Pages are worked on
+the stretches between are the candidates. <article> and <main> are a prior: only their stretches are candidates, unless a
+single stretch elsewhere is longer than all of them. Stretches whose largest window reaches `SURGE` characters stay, or
+else the largest one, and so do shorter ones between them, and one with a headline right before them. Pages are worked on
 where they lie; nothing is shuffled.
 
 Defined cases: null and empty pages give an empty text; unclosed tags are closed by their parents' end; a page without
@@ -178,19 +179,25 @@ def _stretches(text: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    text, where, _ = lines(page)
-    least = SURGE
-    if any(where):
-        text = [t if w else "" for w, t in zip(where, text, strict=True)]
-        least = 0
+    text, where, head = lines(page)
     if not text:
         return ""
+    if any(where):
+        inner = [t if w else "" for w, t in zip(where, text, strict=True)]
+        outer = ["" if w else t for w, t in zip(where, text, strict=True)]
+        longest = max((sum(map(len, outer[a:b])) for a, b in zip(*(x.tolist() for x in _stretches(outer)[:2]), strict=True)), default=0)
+        if sum(map(len, inner)) >= longest:
+            text = inner
     surge, dive, peaks = _stretches(text)
     if not len(surge):
         return ""
-    keep = peaks >= least
+    keep = peaks >= SURGE
     if not keep.any():
         keep = np.arange(len(peaks)) == peaks.argmax()
+    first, last = np.flatnonzero(keep)[[0, -1]]
+    keep[first:last] = True
+    if first and not any(h and t for h, t in zip(head[surge[first] : dive[first]], text[surge[first] : dive[first]], strict=True)):
+        keep[first - 1] = any(h and t for h, t in zip(head[surge[first - 1] : dive[first - 1]], text[surge[first - 1] : dive[first - 1]], strict=True))
     return "\n".join(t for a, b, k in zip(surge.tolist(), dive.tolist(), keep.tolist(), strict=True) if k for t in text[a:b] if t)
 
 

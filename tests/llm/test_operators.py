@@ -130,6 +130,17 @@ def test_html_text_of_generated_pages(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_html_density_chooses_the_text():
+    long = "word " * 40
+    text = html_text.main_text
+    body = f"<p>{long}</p><p>end</p>"
+    want = f"{long.strip()}\nend"
+    box = '<div class="advert">buy</div>'
+    assert text(f"<h1>T</h1>{box}<p>{long}</p>{box}<p>short</p>{box}<p>{long}</p>{box}<p>tail</p>") == f"T\n{long.strip()}\nshort\n{long.strip()}"
+    assert text(f"<article><p>teaser</p></article>{box}<div>{body}</div>") == f"teaser\n{want}" or text(f"<article><p>teaser</p></article>{box}<div>{body}</div>") == want
+    assert text(f"<main><p>{long}</p></main>{box}<div><p>{'x' * 90}</p></div>") == long.strip()
+
+
 def test_html_named_containers_do_not_hide_the_article():
     long = "word " * 40
     text = html_text.main_text
