@@ -82,7 +82,8 @@ def read_words(spark: SparkSession, folder: str) -> DataFrame:
 
     A line's place in its file is its start's, so the header is the line at place 0 of a whole-file read."""
     files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.\w+)?$", 1).alias("list"), "value")
-    lines = files.select("list", F.explode(F.slice(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n"), 2, 1_000_000)).alias("term"))
+    files = files.select("list", F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("lines"))
+    lines = files.select("list", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("term"))
     return lines.select("list", T.strip(F.col("term")).alias("term")).where(F.col("term") != "").where(~F.lower("list").isin(*SPECIAL_LISTS))
 
 

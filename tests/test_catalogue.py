@@ -209,3 +209,11 @@ def test_resumable_run(spark, vectors, tmp_path):
     crossval.run(spark, vectors, path, "vec_id", "embedding", queries.LEVELS, k=3)
     assert [r.done for r in crossval.status(spark, path, 3).collect()] == [True] * 3
     assert crossval.collect_folds(spark, path, 3).count() == vectors.count()
+
+
+def test_word_lists_are_read_whole(spark, tmp_path):
+    from taxolith.sources import io
+
+    (tmp_path / "long.csv").write_text("term\n" + "\n".join(f"w{k}" for k in range(1_000_005)))
+    (tmp_path / "bare.csv").write_text("term")
+    assert [(r["list"], r["count"]) for r in io.read_words(spark, str(tmp_path)).groupBy("list").count().collect()] == [("long", 1_000_005)]
