@@ -1,11 +1,11 @@
 """Token counts: byte-pair merging on ragged numpy arrays, all sequences at once.
 
 Texts are cut into pre-tokens that no merge can cross, on arrays of code points. Those of a batch that the worker has
-not met yet (told apart by 64-bit hashes) are held as rows of symbols,
-grouped by their present length; in each round every row applies its own lowest-rank pair (the leftmost of equals)
-and moves to the next shorter group, until no pair of a row has a rank. What survives are its tokens. A pre-token
-longer than `LONG` symbols goes through a heap of pairs instead (same rule, one merge at a time), so a long text
-without spaces costs n log n. Vocabulary files are read at a path parameter; nothing is trained.
+not met yet (told apart by 64-bit hashes) are held as rows of symbols, cut where no merge can reach across, and
+grouped by their present length; in each round every row applies its own lowest-rank pair wherever it occurs (from the
+left, as one by one) and moves to a shorter group, until no pair of a row has a rank. What survives are its tokens. So a
+row of any length takes about as many rounds as it has different merges, not as it has symbols. Vocabulary files are
+read at a path parameter; nothing is trained.
 
 Defined cases: null and empty texts have 0 tokens; repeated rows are counted row by row; strings that look like special
 tokens are treated as the file's library treats them by default; an empty table gives no rows.
@@ -13,7 +13,6 @@ tokens are treated as the file's library treats them by default; an empty table
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 
 from taxolith.llm import common
 
-LONG = 64
 NONE = np.iinfo(np.int32).max
 #: Pre-tokens that a worker remembers at most.
 CACHE = 1 << 20
@@ -37,7 +35,9 @@ LIMIT = 4096
 class Pairs:
     """(left symbol, right symbol) -> rank, merged symbol: an open-addressing table for whole arrays of pairs."""
 
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]], bridges: set[tuple[int, int]] | None = None):
+        """bridges: first symbols that some merge brings together, as the end of its left and the start of its right part."""
+        self.bridges = Pairs(dict.fromkeys(sorted(bridges), (0, 0))) if bridges else None
         n = max(len(pairs), 1)
         self.bits = int(4 * n - 1).bit_length()
         self.keys = np.zeros(1 << self.bits, np.uint64)
@@ -69,78 +69,83 @@ class Pairs:
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge each row of a ragged array as far as it goes: the surviving symbols, and their number by row."""
-        starts = np.concatenate([[0], np.cumsum(lengths)])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        new = np.ones(len(symbols), bool)  # a part begins where a row does, or where no merge can reach across
+        if len(symbols):
+            new[1:] = (owner[1:] != owner[:-1]) | (self.bridges.find(symbols[:-1], symbols[1:]) == 0 if self.bridges else False)
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(symbols)))
         waiting: dict[int, list] = {}
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        order = np.argsort(lengths, kind="stable")
-        cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else []:
-            n = int(lengths[rows[0]])
-            if n > LONG:
-                done += [(rows[i : i + 1], self._long(symbols[starts[r] : starts[r + 1]])[None]) for i, r in enumerate(rows)]
-            elif n:
-                s = symbols[starts[rows][:, None] + np.arange(n)]
-                waiting[n] = [(rows, s, self.find(s[:, :-1], s[:, 1:]))]
-        for n in range(max(waiting, default=0), 0, -1):
-            group = waiting.pop(n, [])
-            if not group:
-                continue
+        order = np.argsort(size, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+            n = int(size[rows[0]])
+            s = symbols[starts[rows][:, None] + np.arange(n)]
+            waiting[n] = [(rows, s, self.find(s[:, :-1], s[:, 1:]))]
+        while waiting:
+            n = max(waiting)
+            group = waiting.pop(n)
             rows, s, p = (np.concatenate([g[k] for g in group]) for k in range(3))
-            if n == 1:
-                done.append((rows, s))
-                continue
             rank = self.rank[p]
-            j = rank.argmin(1)
-            on = rank[np.arange(len(rows)), j] < NONE
+            low = rank.min(1, initial=NONE)
+            on = low < NONE
             if not on.all():
                 done.append((rows[~on], s[~on]))
-                rows, s, p, j = rows[on], s[on], p[on], j[on]
-            if not len(rows):
-                continue
-            line = np.arange(len(rows))
-            s[line, j] = self.merged[p[line, j]]
-            s = s[np.arange(n) != j[:, None] + 1].reshape(len(rows), n - 1)
-            p = p[np.arange(n - 1) != j[:, None]].reshape(len(rows), n - 2)
-            left, right = np.flatnonzero(j > 0), np.flatnonzero(j < n - 2)
-            p[left, j[left] - 1] = self.find(s[left, j[left] - 1], s[left, j[left]])
-            p[right, j[right]] = self.find(s[right, j[right]], s[right, j[right] + 1])
-            waiting.setdefault(n - 1, []).append((rows, s, p))
-        counts = np.zeros(len(lengths), np.int64)
+                rows, s, p, rank, low = rows[on], s[on], p[on], rank[on], low[on]
+            if len(rows):
+                for rows, s, p in self._round(rows, s, p, rank == low[:, None], low):
+                    waiting.setdefault(s.shape[1], []).append((rows, s, p))
+        counts = np.zeros(len(starts), np.int64)
         for rows, s in done:
             counts[rows] = s.shape[1]
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        out = np.zeros(starts[-1], np.int32)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        out = np.zeros(at[-1], np.int32)
         for rows, s in done:
-            out[starts[rows][:, None] + np.arange(s.shape[1])] = s
-        return out, counts
-
-    def _long(self, symbols: np.ndarray) -> np.ndarray:
-        s: list[int | None] = symbols.tolist()
-        n = len(s)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        slots = self.find(symbols[:-1], symbols[1:])
-        heap = [(int(self.rank[k]), i, s[i], s[i + 1], int(self.merged[k])) for i, k in enumerate(slots) if k]
-        heapq.heapify(heap)
-        one = np.zeros(1, np.int32)
-
-        def add(i: int, j: int) -> None:
-            if i >= 0 and j < n:
-                k = int(self.find(one + s[i], one + s[j])[0])
-                if k:
-                    heapq.heappush(heap, (int(self.rank[k]), i, s[i], s[j], int(self.merged[k])))
-
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != a or j >= n or s[j] != b:
-                continue
-            s[i], s[j] = merged, None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            add(before[i], i)
-            add(i, after[i])
-        return np.array([x for x in s if x is not None], np.int32)
+            out[at[rows][:, None] + np.arange(s.shape[1])] = s
+        return out, np.bincount(owner[starts], counts, len(lengths)).astype(np.int64)
+
+    def _round(self, rows: np.ndarray, s: np.ndarray, p: np.ndarray, hit: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Merge every row's lowest-rank pair where it occurs, as merging from the left one by one would.
+
+        Of overlapping occurrences the left ones are taken. After a merge that makes a pair of the same or a lower rank
+        the rest of the row waits for the next round. Rows come back by their new lengths."""
+        n = s.shape[1]
+        if n > 2 and (hit[:, 1:] & hit[:, :-1]).any():
+            place = np.arange(n - 1)
+            begin = hit & ~np.concatenate([np.zeros((len(hit), 1), bool), hit[:, :-1]], 1)
+            hit = hit & ((place - np.maximum.accumulate(np.where(begin, place, 0), 1)) % 2 == 0)
+        r, j = np.nonzero(hit)
+        merged = self.merged[p[r, j]]
+        many = np.bincount(r, minlength=len(rows))
+        if many.max() > 1:
+            again = np.concatenate([[False], (r[1:] == r[:-1]) & (j[1:] == j[:-1] + 2)])
+            before = np.where(again, np.concatenate([[0], merged[:-1]]), s[r, np.maximum(j - 1, 0)])
+            left = np.where(j > 0, self.rank[self.find(before, merged)], NONE)
+            right = np.where(j + 2 < n, self.rank[self.find(merged, s[r, np.minimum(j + 2, n - 1)])], NONE)
+            stop = (np.minimum(left, right) <= low[r]).astype(np.int64)
+            first = np.cumsum(many) - many
+            passed = np.cumsum(stop) - stop
+            keep = passed == passed[first][r]
+            r, j, merged = r[keep], j[keep], merged[keep]
+            many = np.bincount(r, minlength=len(rows))
+        s = s.copy()
+        s[r, j] = merged
+        stay, pairs = np.ones(s.shape, bool), np.ones(p.shape, bool)
+        stay[r, j + 1] = False
+        pairs[r, j] = False
+        number = np.arange(len(r)) - (np.cumsum(many) - many)[r]  # merges to the left in the row
+        for k in np.flatnonzero(np.bincount(many)).tolist():
+            own = many == k
+            whole, size = own.all(), int(own.sum())
+            t = (s[stay] if whole else s[own][stay[own]]).reshape(size, n - k)
+            q = (p[pairs] if whole else p[own][pairs[own]]).reshape(size, n - 1 - k)
+            mine = own[r]
+            line = (np.cumsum(own) - 1)[r[mine]]
+            place = j[mine] - number[mine]
+            left, right = np.flatnonzero(place > 0), np.flatnonzero(place < n - 1 - k)
+            q[line[left], place[left] - 1] = self.find(t[line[left], place[left] - 1], t[line[left], place[left]])
+            q[line[right], place[right]] = self.find(t[line[right], place[right]], t[line[right], place[right] + 1])
+            yield rows[own], t, q
 
 
 class Known:
@@ -257,7 +262,8 @@ class Pieces(Vocabulary):
         for c, k in symbol.items():
             if len(c) == 1:
                 self.chars[ord(c)] = k
-        self.pairs = Pairs({(symbol[p[:k]], symbol[p[k:]]): (place[-model.get_score(i)], i) for p, i in pieces.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol})
+        parts = [(p[:k], p[k:], place[-model.get_score(i)], i) for p, i in pieces.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        self.pairs = Pairs({(symbol[a], symbol[b]): (rank, i) for a, b, rank, i in parts}, {(symbol[a[-1]], symbol[b[0]]) for a, b, *_ in parts})
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece spans words: this file needs another cut")
         self.alone = np.array([ord(c) for c in "\n\t\r" if c not in inside], np.uint32)
@@ -307,7 +313,10 @@ class WordIds(Vocabulary):
         char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.inner = np.array([vocab[char[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[char[b] + end] for b in range(256)], np.int32)
-        self.pairs = Pairs({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(merges)])})
+        self.pairs = Pairs(
+            {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed([*enumerate(merges)])},
+            {(vocab[a[-1]], vocab[b[0] + end] if b == b[0] + end else vocab[b[0]]) for a, b in merges},
+        )
         assert max(vocab.values()) < 1 << 16
         kinds = [regex.compile(x).match for x in (r"\s", r"\p{L}", r"\p{N}")]
         self.kind = np.array([next((k for k, m in enumerate(kinds) if m(chr(c))), 3) for c in range(self.TABLE)] + [0], np.uint8)
@@ -385,7 +394,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             counts = model.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(common.raw(batch.column("text"))[1])), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return common.documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return common.mapped(common.documents(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
