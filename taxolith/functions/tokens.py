@@ -19,14 +19,17 @@ def tokenize(c: Column, lower: bool = True) -> Column:
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams for low <= n <= high, words joined by a space."""
     def all_of(t: Column) -> Column:
-        parts = [t if n == 1 else F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), _joined(t, n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+        parts = [longer(t, n) for n in range(low, high + 1)]
         return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    return bind(tokens, all_of)
-
+    def longer(t: Column, n: int) -> Column:
+        """Each shorter n-gram with the token after it."""
+        if n == 1:
+            return t
+        count = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        return F.zip_with(F.slice(longer(t, n - 1), F.lit(1), count), F.slice(t, F.lit(n), count), lambda a, b: F.concat(a, F.lit(" "), b))
 
-def _joined(tokens: Column, n: int):
-    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
+    return bind(tokens, all_of)
 
 
 def folded(grams: Column) -> Column:

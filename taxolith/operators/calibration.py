@@ -50,12 +50,10 @@ def with_isotonic(df: DataFrame, probs: str, model: IsotonicRegressionModel) ->
     """The largest share replaced by its calibrated value, the others scaled to keep the sum 1. The argmax may change."""
     bounds, values = [float(x) for x in model.boundaries], [float(x) for x in model.predictions]
     top = F.array_max(probs).cast("double")
-    # piecewise linear between the model's steps, constant outside
-    steps = F.lit(values[0])
-    for k in range(1, len(bounds)):
-        width = bounds[k] - bounds[k - 1]
-        line = F.lit(values[k - 1]) + (top - bounds[k - 1]) * ((values[k] - values[k - 1]) / width if width > 0 else 0.0)
-        steps = F.when(top >= bounds[k], values[k]).when(top >= bounds[k - 1], line).otherwise(steps)
+    # piecewise linear between the model's steps, constant outside: the model's steps are arrays, looked up by place
+    slopes = [(values[k + 1] - values[k]) / (bounds[k + 1] - bounds[k]) if bounds[k + 1] > bounds[k] else 0.0 for k in range(len(bounds) - 1)] + [0.0]
+    place = F.greatest(F.size(F.filter(F.lit(bounds), lambda b: b <= top)) - 1, F.lit(0))
+    steps = A.bind(place, lambda k: F.get(F.lit(values), k) + F.greatest(top - F.get(F.lit(bounds), k), F.lit(0.0)) * F.get(F.lit(slopes), k))
     new = F.greatest(F.lit(A.FLOOR), F.least(F.lit(1 - A.FLOOR), steps))
     known = F.struct(F.col(probs).alias("p"), new.alias("new"), top.alias("top"), A.arg_max(F.col(probs)).alias("at"))
     return df.withColumn(probs, A.bind(known, lambda v: F.transform(v["p"], lambda x, i: F.when(i == v["at"], v["new"]).otherwise(x.cast("double") * (1 - v["new"]) / F.greatest(1 - v["top"], F.lit(A.FLOOR))))))
@@ -124,6 +122,15 @@ def confidence_report(df: DataFrame, levels: Sequence[str], target: float = TARG
     return out.join(thresholds(long, "confidence", "correct", target, by=["depth"]), "depth")
 
 
+def path_report(df: DataFrame, levels: Sequence[str], confidence: str = "confidence", target: float = TARGET, n: int = 10) -> DataFrame:
+    """One row: rows, accuracy, ece, threshold of the path's confidence, where right means right at every level."""
+    right = reduce(lambda a, b: a & b, (E.right(c, f"predicted_{c}") for c in levels))
+    own = df.select(F.col(confidence).cast("double").alias("confidence"), right.alias("correct"))
+    bands = own.withColumn("band", E.band(F.col("confidence"), n)).groupBy("band").agg(F.count("*").alias("rows"), F.avg("confidence").alias("m"), F.avg(F.col("correct").cast("int")).alias("a"))
+    out = bands.agg(F.sum("rows").alias("rows"), (F.sum(F.col("rows") * F.col("a")) / F.sum("rows")).alias("accuracy"), (F.sum(F.col("rows") * F.abs(F.col("a") - F.col("m"))) / F.sum("rows")).alias("ece"))
+    return out.join(F.broadcast(thresholds(own, "confidence", "correct", target)), F.lit(True))  # one row each
+
+
 def as_map(table: DataFrame) -> dict[int, float | None]:
     return {r.depth: r.threshold for r in table.collect()}  # one row a depth
 
@@ -157,6 +164,6 @@ def cascade_report(assigned: DataFrame, levels: Sequence[str]) -> DataFrame:
         right = F.when(F.col("assigned_depth") == d, E.right(c, f"predicted_{c}").cast("int")).otherwise(right)
     found = assigned.select("assigned_depth", right.alias("r")).groupBy("assigned_depth").agg(F.count("*").alias("rows"), F.avg("r").alias("accuracy"))
     every = assigned.sparkSession.createDataFrame([(d,) for d in range(len(levels) + 1)], "assigned_depth int")
-    total = assigned.agg(F.greatest(F.count("*"), F.lit(1)).alias("_t"))
+    total = found.agg(F.greatest(F.coalesce(F.sum("rows"), F.lit(0)), F.lit(1)).alias("_t"))
     out = every.join(found, "assigned_depth", "left").join(F.broadcast(total), F.lit(True))
     return out.select("assigned_depth", F.coalesce("rows", F.lit(0)).alias("rows"), (F.coalesce("rows", F.lit(0)) / F.col("_t")).alias("share"), "accuracy")

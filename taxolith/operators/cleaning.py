@@ -52,15 +52,38 @@ def with_first_word_flag(df: DataFrame, text_col: str, vocabulary: DataFrame, fl
 
 def cleaned(df: DataFrame, text_col: str, cleaner: Cleaner, vocabulary: DataFrame | None = None, markers: Mapping[str, Mapping] | None = None, drop_blank: bool = False) -> DataFrame:
     """The text cleaned in place, the given one kept in ORIGINAL; markers {column: {prefix, levels, missing}} in front."""
-    out = df.withColumn(ORIGINAL, F.col(text_col))
+    out = applied(df.withColumn(ORIGINAL, F.col(text_col)), text_col, cleaner, vocabulary, markers)
+    return out.where(T.strip(F.col(text_col)) != "") if drop_blank else out
+
+
+def applied(df: DataFrame, text_col: str, cleaner: Cleaner, vocabulary: DataFrame | None = None, markers: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """The text cleaned in place, for training and for scoring alike; all rows stay."""
     flag = None
     if cleaner.strip_code and vocabulary is not None:
-        out, flag = with_first_word_flag(out, text_col, vocabulary, "_flag"), F.col("_flag")
-    out = out.withColumn(text_col, cleaner.column(F.col(text_col), flag)).drop("_flag")
+        df, flag = with_first_word_flag(df, text_col, vocabulary, "_flag"), F.col("_flag")
+    out = df.withColumn(text_col, cleaner.column(F.col(text_col), flag)).drop("_flag")
     if markers:
         tokens = [T.marker(F.col(c), m.get("prefix", ""), m.get("levels", ()), m.get("missing")) for c, m in markers.items()]
         out = out.withColumn(text_col, T.with_markers(F.col(text_col), tokens))
-    return out.where(T.strip(F.col(text_col)) != "") if drop_blank else out
+    return out
+
+
+def step_counts(df: DataFrame, text_col: str, cleaner: Cleaner, vocabulary: DataFrame | None = None, markers: Mapping[str, Mapping] | None = None, known: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """step, rows, blank, changed of the stand-alone procedure, from one pass: after each step, how many rows there are, how
+    many have no text left, and how many the step changed. With known(token) and a key the token filter is a step too."""
+    rows = df.withColumn("_0", F.coalesce(F.col(text_col), F.lit("")))
+    cleaned_rows = applied(rows.withColumn("_1", F.col("_0")), "_1", cleaner, vocabulary)
+    steps = ["given", "cleaned"]
+    if known is not None:
+        cleaned_rows = keep_known_tokens(cleaned_rows.withColumn(f"_{len(steps)}", F.col(f"_{len(steps) - 1}")), key, f"_{len(steps)}", known, cleaner.least)
+        steps.append("known tokens")
+    if markers:
+        tokens = [T.marker(F.col(c), m.get("prefix", ""), m.get("levels", ()), m.get("missing")) for c, m in markers.items()]
+        cleaned_rows = cleaned_rows.withColumn(f"_{len(steps)}", T.with_markers(F.col(f"_{len(steps) - 1}"), tokens))
+        steps.append("markers")
+    each = [F.struct(F.lit(k).alias("place"), F.lit(name).alias("step"), (T.strip(F.col(f"_{k}")) == "").cast("int").alias("blank"), (F.col(f"_{k}") != F.col(f"_{max(k - 1, 0)}")).cast("int").alias("changed")) for k, name in enumerate(steps)]
+    long = cleaned_rows.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    return long.groupBy("place", "step").agg(F.count("*").alias("rows"), F.sum("blank").alias("blank"), F.sum("changed").alias("changed")).drop("place")
 
 
 def keep_known_tokens(df: DataFrame, key: str, text_col: str, known: DataFrame, least: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxolith.functions import arrays as A
@@ -92,8 +93,8 @@ def weighted_loss(df: DataFrame, probs: Sequence[str], codes: Sequence[str], wei
 
 def score_summary(scored: DataFrame, depth: str = "assigned_depth", confidence: str = "assigned_confidence") -> DataFrame:
     """depth, rows, share, mean confidence."""
-    total = scored.agg(F.count("*").alias("_t"))
     out = scored.groupBy(depth).agg(F.count("*").alias("rows"), F.avg(confidence).alias("mean_confidence"))
+    total = out.agg(F.sum("rows").alias("_t"))  # over the few grouped rows: the scored ones are not read again
     return out.join(F.broadcast(total), F.lit(True)).select(depth, "rows", (F.col("rows") / F.col("_t")).alias("share"), "mean_confidence")
 
 
@@ -104,6 +105,20 @@ def confidence_volume(scored: DataFrame, confidence: str, grid: Sequence[float])
     return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
+def confidence_bands(scored: DataFrame, confidence: str, bounds: Sequence[float]) -> DataFrame:
+    """low, high, rows, share, share_from_top of bands (low, high] closed on the right; the first one holds its low end
+    too. The cumulative share counts from the highest band down, over a table of one row a band."""
+    c = F.col(confidence).cast("double")
+    pairs = list(zip(bounds, bounds[1:], strict=False))
+    place = reduce(lambda rest, kv: F.when((c <= kv[1][1]) & ((c > kv[1][0]) if kv[0] else (c >= kv[1][0])), kv[0]).otherwise(rest), enumerate(pairs), F.lit(None).cast("int"))
+    found = scored.select(place.alias("band")).where("band is not null").groupBy("band").agg(F.count("*").alias("rows"))
+    every = scored.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(pairs)], "band int, low double, high double")
+    out = every.join(found, "band", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    total = F.greatest(F.sum("rows").over(W.partitionBy(F.lit(0))), F.lit(1))
+    down = W.partitionBy(F.lit(0)).orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, 0)
+    return out.select("low", "high", "rows", (F.col("rows") / total).alias("share"), (F.sum("rows").over(down) / total).alias("share_from_top"))
+
+
 def by_fold(oof: DataFrame, correct: Column, fold: str = "fold") -> DataFrame:
     """fold, rows, accuracy, with a fold "all"."""
     rows = oof.select(F.col(fold).cast("string").alias("fold"), correct.cast("int").alias("_r"))

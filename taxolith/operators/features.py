@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import warnings
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizer, SQLTransformer, StandardScaler, Word2Vec
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, SQLTransformer, StandardScaler, Word2Vec
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxolith.functions import tokens as N
@@ -62,8 +65,9 @@ def weighted(counts: DataFrame, chosen: DataFrame, n_rows: int, key: str, how: F
     rows = rows.select(key, "feature", (tf * idf).alias("weight"))
     if not how.norm:
         return rows
-    size = F.sqrt(F.sum(F.col("weight") ** 2)) if how.norm == "l2" else F.sum(F.abs("weight"))
-    return rows.join(rows.groupBy(key).agg(size.alias("_size")), key).select(key, "feature", (F.col("weight") / F.col("_size")).alias("weight"))
+    own = W.partitionBy(key)  # one row's features: a few thousand at most
+    size = F.sqrt(F.sum(F.col("weight") ** 2).over(own)) if how.norm == "l2" else F.sum(F.abs("weight")).over(own)
+    return rows.select(key, "feature", (F.col("weight") / size).alias("weight"))
 
 
 def fit_transform(train: DataFrame, others: Sequence[DataFrame], key: str, text_col: str, how: Features) -> tuple[DataFrame, list[DataFrame], DataFrame]:
@@ -107,17 +111,43 @@ def marker_survival(chosen: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     return chosen.agg(F.array(*hits).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def marker_share(weights: DataFrame, n_rows: int, key: str, prefixes: Sequence[str]) -> DataFrame:
+    """prefix, rows, share: how many rows carry a feature of each marker."""
+    words = F.split("feature", " ")
+    hits = weights.select(key, F.explode(F.array(*[F.when(F.exists(words, _begins(p.lower())), p) for p in prefixes])).alias("prefix")).where("prefix is not null").distinct()
+    found = hits.groupBy("prefix").agg(F.count("*").alias("rows"))
+    every = weights.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string")
+    return every.join(found, "prefix", "left").select("prefix", F.coalesce("rows", F.lit(0)).alias("rows"), (F.coalesce("rows", F.lit(0)) / max(n_rows, 1)).alias("share"))
+
+
+def _begins(prefix: str) -> Callable[[Column], Column]:
+    return lambda w: w.startswith(prefix)
+
+
+def _grams_sql(how: Features, text_col: str) -> str:
+    """Features.grams as SQL text, which a saved pipeline can hold."""
+    tokens = f"regexp_extract_all(lower(coalesce(`{text_col}`, '')), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0)"
+    if how.stop_words:
+        listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in how.stop_words)
+        tokens = f"filter({tokens}, w -> w NOT IN ({listed}))"
+    each = ["t" if n == 1 else f"if(size(t) >= {n}, transform(sequence(1, size(t) - {n - 1}), i -> array_join(slice(t, i, {n}), ' ')), cast(array() AS array<string>))" for n in range(how.low, how.high + 1)]
+    grams = f"transform(array({tokens}), t -> concat({', '.join(each)}))[0]"
+    return f"transform({grams}, g -> if(size(split(g, ' ')) = 2, array_join(array_sort(split(g, ' ')), ' '), g))" if how.fold else grams
+
+
 def vectorizer(how: Features, text_col: str, n_rows: int, out: str = "features") -> Pipeline:
-    """The same counts as sparse vectors, for models and for scoring row by row."""
-    step = CountVectorizer(inputCol="_grams", outputCol=out, minDF=float(how.min_df), maxDF=float(how.max_df if how.max_df > 1 else max(1.0, how.max_df * n_rows)), vocabSize=how.most or 1 << 18, binary=how.binary)
-    text = f"regexp_extract_all(lower(coalesce(`{text_col}`, '')), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0)"
-    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {text} AS _grams FROM __THIS__"), step])
+    """The same counts as sparse vectors, for models and for scoring row by row. Without `most` all features stay."""
+    step = CountVectorizer(inputCol="_grams", outputCol=out, minDF=float(how.min_df), maxDF=float(how.max_df if how.max_df > 1 else max(1.0, how.max_df * n_rows)), vocabSize=how.most or (1 << 31) - 1, binary=how.binary)
+    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {_grams_sql(how, text_col)} AS _grams FROM __THIS__"), step])
 
 
 def standardised(train: DataFrame, others: Sequence[DataFrame], column: str, out: str) -> list[DataFrame]:
-    """Features with the training rows' means and sample deviations taken out."""
-    model = StandardScaler(inputCol=column, outputCol=out, withMean=True, withStd=True).fit(train)
-    return [model.transform(d) for d in (train, *others)]
+    """Features with the training rows' means and population deviations taken out; constant ones become 0."""
+    model = StandardScaler(inputCol=column, outputCol="_sample", withMean=True, withStd=True).fit(train)
+    n = train.count()
+    width = model.mean.size
+    step = ElementwiseProduct(inputCol="_sample", outputCol=out, scalingVec=Vectors.dense([(n / (n - 1)) ** 0.5 if n > 1 else 1.0] * width))
+    return [step.transform(model.transform(d)).drop("_sample") for d in (train, *others)]
 
 
 def word2vec(df: DataFrame, tokens_col: str, size: int = 150, window: int = 5, min_count: int = 2, epochs: int = 5, partitions: int = 4, step: float = 0.025, seed: int = 42) -> DataFrame:
@@ -129,7 +159,8 @@ def word2vec(df: DataFrame, tokens_col: str, size: int = 150, window: int = 5, m
 
 
 def saved_or_trained(df: DataFrame, tokens_col: str, path: str, size: int, **how) -> DataFrame:
-    """Word vectors read at path if they are there and as wide as asked for, else trained and written."""
+    """Word vectors read at path if they are there and as wide as asked for, else trained and written; vectors of another
+    width are told of before they are replaced."""
     spark = df.sparkSession
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
@@ -137,6 +168,7 @@ def saved_or_trained(df: DataFrame, tokens_col: str, path: str, size: int, **how
         first = found.select(F.size("vector").alias("n")).first()
         if first and first.n == size:
             return found
+        warnings.warn(f"{path} holds vectors of width {first.n if first else None}, not {size}: they are trained anew", stacklevel=2)
     word2vec(df, tokens_col, size, **how).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -156,13 +188,23 @@ def document_vectors(df: DataFrame, key: str, text_col: str, vectors: DataFrame,
     return out
 
 
-def embedding_matrix(index: DataFrame, vectors: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """index, token, vector, hit: known tokens have theirs, others normal noise of deviation 1 / sqrt(width) by hash."""
+def embedding_matrix(index: DataFrame, vectors: DataFrame, width: int, seed: int = 0, padding: int | None = 0) -> DataFrame:
+    """index, token, vector, hit: known tokens have theirs, others normal noise of deviation 1 / sqrt(width) by hash. The
+    row of the padding index, which stands for no token, is zero."""
     draws = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: (F.pmod(F.xxhash64("token", k, F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30))
     again = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: (F.pmod(F.xxhash64("token", k, F.lit(seed + 1)), F.lit(1 << 30)) + 0.5) / (1 << 30))
     noise = F.zip_with(draws, again, lambda u, v: F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v) / width**0.5)
     out = index.select("index", "token").join(vectors.select("token", F.col("vector").cast("array<double>").alias("vector")), "token", "left")
-    return out.select("index", "token", F.coalesce("vector", noise).alias("vector"), F.col("vector").isNotNull().alias("hit"))
+    out = out.select("index", "token", F.coalesce("vector", noise).alias("vector"), F.col("vector").isNotNull().alias("hit"))
+    if padding is None:
+        return out
+    pad = index.sparkSession.createDataFrame([(padding,)], "index int").select("index", F.lit(None).cast("string").alias("token"), F.array_repeat(F.lit(0.0), width).alias("vector"), F.lit(False).alias("hit"))
+    return pad.unionByName(out)
+
+
+def hit_rate(matrix: DataFrame) -> DataFrame:
+    """One row: the share of tokens that have a vector of their own; the padding row does not count."""
+    return matrix.where("token is not null").agg(F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.count("*").alias("tokens"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxolith.functions import text as T
@@ -94,4 +93,7 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def with_group_size(df: DataFrame, columns: Sequence[str], name: str = "group_size") -> DataFrame:
-    return df.withColumn(name, F.count(F.lit(1)).over(W.partitionBy(*columns)))
+    """Every row with the number of rows that have its values; counts are summed before they are joined back."""
+    key = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    keyed = df.withColumn("_group", key)
+    return keyed.join(keyed.groupBy("_group").agg(F.count("*").alias(name)), "_group").drop("_group")

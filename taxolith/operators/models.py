@@ -70,11 +70,15 @@ class Centroids:
 
 
 def class_means(df: DataFrame, features: str, code: str) -> DataFrame:
-    """code, n, mean: by partial sums of every dimension."""
-    width = df.select(F.size(features).alias("n")).first()
-    n = width.n if width else 0
-    own = df.where(F.col(code) >= 0).groupBy(code).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col(features)[k].cast("double")) for k in range(n)]).alias("mean"))
-    return own.select(F.col(code).alias("code"), "n", "mean")
+    """code, n, mean: by partial sums of (class, place) cells, whatever the number of places."""
+    return means_by(df.where(F.col(code) >= 0).withColumnRenamed(code, "code"), ["code"], features)
+
+
+def means_by(df: DataFrame, keys: Sequence[str], features: str) -> DataFrame:
+    """The keys, n and mean of an array column."""
+    cells = df.select(*keys, F.posexplode(features).alias("_k", "_x")).groupBy(*keys, "_k").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count("*").alias("_n"))
+    mean = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_m"))), lambda x: x["_m"])
+    return cells.groupBy(*keys).agg(F.max("_n").alias("n"), mean.alias("mean"))
 
 
 def moments(df: DataFrame, features: str, code: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,8 +244,7 @@ def with_platt(margin: Column, curve: Mapping[str, float]) -> Column:
 def per_parent(df: DataFrame, parent: str, features: str, label: str) -> DataFrame:
     """parent, label, mean, n: a model for the children of each parent, as class means by aggregation: a hot parent is
     summed in the tasks like any other."""
-    width = df.select(F.size(features).alias("w")).first().w
-    return df.groupBy(parent, label).agg(F.count("*").alias("n"), F.array(*[F.avg(F.col(features)[k].cast("double")) for k in range(width)]).alias("mean"))
+    return means_by(df, [parent, label], features)
 
 
 def check_levels(models: Sequence[LevelModels]) -> None:

@@ -23,8 +23,22 @@ def id_hash_fold(df: DataFrame, id_col: str, n: int = 5, seed: int = 0, out: str
 
 def stratified_fold(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 0, out: str = "fold") -> DataFrame:
     """Folds dealt in turn within each class, in the order of a hash of the key."""
-    order = W.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
-    return df.withColumn(out, ((F.row_number().over(order) - 1) % k).cast("int"))
+    return ranked(df, label, key, seed).withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
+
+
+def ranked(df: DataFrame, label: str, key: str, seed: int, bits: int = 12) -> DataFrame:
+    """df with _rank, the place of a row among those of its label by the hash of its key, from 1, and _size, their number.
+
+    A label may have a large share of the rows, so none is sorted as a whole: the hash's first bits cut it into ranges,
+    whose rows are counted, and a row's place is that in its range after the rows of the ranges before."""
+    place = F.xxhash64(F.col(key), F.lit(seed))
+    rows = df.withColumns({"_label": F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")), "_place": place, "_range": F.shiftright(place, 64 - bits).cast("int")})
+    counts = rows.groupBy("_label", "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_label").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_label", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy("_label")).alias("_size"))
+    own = W.partitionBy("_label", "_range").orderBy("_place", F.col(key))
+    out = rows.withColumn("_own", F.row_number().over(own)).join(starts, ["_label", "_range"])
+    return out.withColumn("_rank", F.col("_before") + F.col("_own")).drop("_label", "_place", "_range", "_own", "_before")
 
 
 def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.1, seed: int = 42, lone_to_train: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -34,11 +48,9 @@ def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.1,
     if label is None:
         marked = df.withColumn("_held", F.pmod(place, F.lit(1_000_000)) < int(share * 1_000_000))
     else:
-        own = W.partitionBy(label)
         lone = F.lit(0) if lone_to_train else F.raise_error(F.concat(F.lit("a class has one row: "), F.col(label).cast("string"))).cast("int")
-        size = F.count(F.lit(1)).over(own)
-        many = F.when(size == 1, lone).otherwise(F.greatest(F.lit(1), F.round(size * share)).cast("int"))
-        marked = df.withColumn("_held", F.row_number().over(own.orderBy(place, F.col(key))) <= many)
+        many = F.when(F.col("_size") == 1, lone).otherwise(F.greatest(F.lit(1), F.round(F.col("_size") * share)).cast("int"))
+        marked = ranked(df, label, key, seed).withColumn("_held", F.col("_rank") <= many).drop("_rank", "_size")
     return marked.where(~F.col("_held")).drop("_held"), marked.where("_held").drop("_held")
 
 

@@ -4,31 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolith.functions import arrays as A
 from taxolith.functions import text as T
 from taxolith.functions import tokens as N
-from taxolith.operators import calibration, hierarchy, taxonomy
-from taxolith.operators.cleaning import Cleaner
+from taxolith.operators import calibration, cleaning, hierarchy, taxonomy
 from taxolith.operators.filters import check_columns
 from taxolith.sources.bundle import Bundle
 
 DEFAULT_CUT = 0.6
 
 
-def readability(df: DataFrame, text_col: str, known: Column | None = None, vector: str | None = None) -> DataFrame:
-    """n_tokens, n_known_tokens, known_share: by an array of known tokens, or by the counts of a vectorizer's features."""
+def readability(df: DataFrame, text_col: str, known: Column | Sequence[str]) -> DataFrame:
+    """n_tokens, n_known_tokens (tokens that are known, each time they occur), known_share. known: an array column, or the
+    features of a vectorizer, of which the single words count; they are looked up by hash."""
     tokens = N.tokenize(F.col(text_col))
-    if vector:
-        from pyspark.ml.functions import vector_to_array
-
-        n_known = A.total(vector_to_array(vector)).cast("int")
-    else:
+    if isinstance(known, Column):
         n_known = F.size(F.filter(tokens, lambda t: F.array_contains(known, t)))
+    elif words := [w for w in known if " " not in w]:
+        counter = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_known")
+        df, n_known = counter.transform(df.withColumn("_tokens", tokens)), A.total(vector_to_array("_known")).cast("int")
+    else:
+        n_known = F.lit(0)
     out = df.withColumns({"n_tokens": F.size(tokens), "n_known_tokens": n_known})
-    return out.withColumn("known_share", F.when(F.col("n_tokens") > 0, F.col("n_known_tokens") / F.col("n_tokens")).otherwise(0.0))
+    return out.withColumn("known_share", F.when(F.col("n_tokens") > 0, F.col("n_known_tokens") / F.col("n_tokens")).otherwise(0.0)).drop("_tokens", "_known")
 
 
 def limits_of(bundle: Bundle, given: Mapping[int, float | None] | None) -> tuple[str, Mapping[int, float | None]] | None:
@@ -47,16 +50,17 @@ def score(
 ) -> DataFrame:
     """Every row of df with predictions, confidences, assigned depth, review flag and reason, and names by path.
 
-    With text_col the text is cleaned and vectorised as in training; without, `features` is there already."""
+    With text_col the text is cleaned and vectorised as in training (the bundle's table `vocabulary`, if it has one, says
+    which leading words are codes); without, `features` is there already."""
     tree = bundle.models.tree
     if text_col:
         check_columns(df, [text_col, *(markers or {}), *(carry or [])])
-        record = dict(bundle.cleaner or {})
-        text = Cleaner(**record).column(F.col(text_col)) if record else F.coalesce(F.col(text_col), F.lit(""))
-        if markers:
-            text = T.with_markers(text, [T.marker(F.col(c), m.get("prefix", ""), m.get("levels", ()), m.get("missing")) for c, m in markers.items()])
-        df = bundle.vectorizer.transform(df.withColumn("_clean", text))
-        df = readability(df, "_clean", vector=features)
+        df = df.withColumn("_clean", F.coalesce(F.col(text_col), F.lit("")))
+        if bundle.cleaner:
+            df = cleaning.applied(df, "_clean", cleaning.Cleaner(**bundle.cleaner), bundle.tables.get("vocabulary"), markers)
+        elif markers:
+            df = df.withColumn("_clean", T.with_markers(F.col("_clean"), [T.marker(F.col(c), m.get("prefix", ""), m.get("levels", ()), m.get("missing")) for c, m in markers.items()]))
+        df = readability(bundle.vectorizer.transform(df), "_clean", bundle.vectorizer.stages[-1].vocabulary)
     else:
         check_columns(df, [features, *(carry or [])])
     df, probs = bundle.models.probabilities(df, features)
