@@ -44,6 +44,13 @@ def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return df.withColumn("_id", T.strip(F.col(id_col).cast("string"))).join(listed, "_id", "left_anti").drop("_id")
 
 
+def scoped(train: DataFrame, held: DataFrame, ids: DataFrame, id_col: str, scope: str = "train") -> tuple[DataFrame, DataFrame]:
+    """Both splits without the listed keys: of the training rows only ("train"), or of all rows ("all")."""
+    if scope not in ("train", "all"):
+        raise ValueError(f"no scope {scope!r}: train or all")
+    return drop_ids(train, ids, id_col), drop_ids(held, ids, id_col) if scope == "all" else held
+
+
 def drop_report(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """One row: rows removed, ids that match some row, ids that match none."""
     listed = ids.select(T.strip(F.col("id").cast("string")).alias("_id")).distinct()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolith.functions import arrays as A
@@ -129,12 +129,27 @@ def fit_centroids(df: DataFrame, features: str, code: str, n: int, metric: str =
     return Centroids(tuple(tuple(found.get(k, [0.0] * width)) for k in range(n)), metric, temperature)
 
 
-def fit_lda(df: DataFrame, features: str, code: str, n: int, shrinkage: float = 0.1) -> Linear:
-    """One covariance for all classes, drawn towards a multiple of the identity."""
+def ledoit_wolf(df: DataFrame, features: str, code: str, means: np.ndarray, codes: np.ndarray, cov: np.ndarray, rows: float) -> float:
+    """The share of the identity that Ledoit and Wolf's rule gives a covariance within classes: a second pass sums the
+    fourth powers of the rows' distances from their class means."""
+    table = F.lit([list(map(float, means[np.flatnonzero(codes == k)[0]])) if k in codes else [0.0] * means.shape[1] for k in range(int(codes.max()) + 1)])
+    distance = A.total(F.zip_with(F.transform(features, lambda v: v.cast("double")), F.get(table, F.col(code).cast("int")), lambda x, m: (x - m) * (x - m)))
+    fourth = df.where(F.col(code) >= 0).agg(F.sum(distance * distance).alias("b")).first().b
+    d = len(cov)
+    spread = float((cov**2).sum())
+    delta = (spread - np.trace(cov) ** 2 / d) / d
+    beta = (fourth / rows - spread) / (d * rows)
+    return float(min(max(beta, 0.0), delta) / delta) if delta > 0 else 0.0
+
+
+def fit_lda(df: DataFrame, features: str, code: str, n: int, shrinkage: float | None = None) -> Linear:
+    """One covariance for all classes, drawn towards a multiple of the identity: by the share given, or Ledoit-Wolf's."""
     counts, sums, gram, codes = moments(df, features, code)
     means = sums / counts[:, None]
     cov = (gram - (sums.T / counts) @ sums) / max(counts.sum(), 1)
     d = len(cov)
+    if shrinkage is None:
+        shrinkage = ledoit_wolf(df, features, code, means, codes, cov, counts.sum())
     cov = (1 - shrinkage) * cov + shrinkage * np.trace(cov) / d * np.eye(d)
     w = np.linalg.solve(cov, means.T).T
     b = -0.5 * (w * means).sum(1) + np.log(counts / counts.sum())
@@ -187,6 +202,12 @@ REGISTRY: dict[str, tuple[Callable, str]] = {
 }
 
 
+def register(name: str, fit: Callable, cost: str = "") -> None:
+    """Add a model of one's own: fit(df, features, code, n classes) gives an object with probabilities(features) -> Column,
+    or an MLlib model."""
+    REGISTRY[name] = (fit, cost)
+
+
 def describe() -> list[tuple[str, str]]:
     return [(name, cost) for name, (_, cost) in REGISTRY.items()]
 
@@ -202,12 +223,16 @@ class LevelModels:
     tree: Tree
     models: list
 
-    def probabilities(self, df: DataFrame, features: str) -> tuple[DataFrame, list[str]]:
-        """df with an array column p_<level> of class probabilities for each level."""
+    def probabilities(self, df: DataFrame, features: str, logits: bool = False) -> tuple[DataFrame, list[str]]:
+        """df with an array column p_<level> of class probabilities for each level; with logits also logits_<level>, what
+        the probabilities are the softmax of, for calibration (MLlib's raw predictions; logs where a model has none)."""
         names = [f"p_{c}" for c in self.tree.levels]
         for name, model, n in zip(names, self.models, self.tree.sizes, strict=True):
+            raw = f"logits_{name[2:]}"
             if hasattr(model, "probabilities"):
                 df = df.withColumn(name, model.probabilities(features))
+                if logits:
+                    df = df.withColumn(raw, F.transform(model.margins(features), lambda x: x / model.temperature) if hasattr(model, "margins") else F.transform(name, lambda x: F.log(F.greatest(x, F.lit(A.FLOOR)))))
                 continue
             column = array_to_vector(F.col(features).cast("array<double>")) if dict(df.dtypes)[features].startswith("array") else F.col(features)
             kept = df.columns
@@ -216,17 +241,30 @@ class LevelModels:
                 p = vector_to_array("probability")
             else:  # one-vs-rest has raw margins only: their logistic, made to sum to 1
                 p = A.softmax(F.transform(vector_to_array("rawPrediction"), lambda x: 2 * x))
-            df = out.select(*kept, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), _padded(p)).alias(name))
+            own = [F.transform(F.sequence(F.lit(0), F.lit(n - 1)), _padded(p)).alias(name)]
+            if logits:
+                own.append(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), _padded(vector_to_array("rawPrediction"), -60.0)).alias(raw))
+            df = out.select(*kept, *own)
         return df, names
 
 
-def _padded(p: Column) -> Callable[[Column], Column]:
-    return lambda i: F.coalesce(F.get(p, i), F.lit(0.0))
+def _padded(p: Column, rest: float = 0.0) -> Callable[[Column], Column]:
+    return lambda i: F.coalesce(F.get(p, i), F.lit(rest))
+
+
+def history(models: LevelModels, spark: SparkSession) -> DataFrame:
+    """level, step, objective: how the fit of each level went, for models that are fitted in steps."""
+    rows = []
+    for level, model in zip(models.tree.levels, models.models, strict=True):
+        if getattr(model, "hasSummary", False):
+            own = model.summary() if callable(model.summary) else model.summary
+            rows += [(level, k, float(x)) for k, x in enumerate(own.objectiveHistory)]
+    return spark.createDataFrame(rows, "level string, step int, objective double")
 
 
-def fit_levels(df: DataFrame, tree: Tree, features: str, name: str = "centroid", **how) -> LevelModels:
-    """One model a level on the rows whose label the tree has."""
-    own, fit = tree.encode(df), fitter(name)
+def fit_levels(df: DataFrame, tree: Tree, features: str, name: str | Callable = "centroid", **how) -> LevelModels:
+    """One model a level on the rows whose label the tree has. name: of the registry, or a factory with its signature."""
+    own, fit = tree.encode(df), fitter(name) if isinstance(name, str) else name
     return LevelModels(tree, [fit(own, features, f"code_{c}", n, **how) for c, n in zip(tree.levels, tree.sizes, strict=True)])
 
 

@@ -2,33 +2,87 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolith.operators import evaluation, filters, hierarchy, models, splits
+from taxolith.operators import evaluation, features, filters, hierarchy, models, splits, tokens
 from taxolith.sources.bundle import read_text, there, write_text
 
 #: Settings that may differ when a run goes on.
 VOLATILE = ("path", "partitions", "comment")
 
 
-def out_of_fold(df: DataFrame, key: str, features: str, levels: Sequence[str], k: int = 5, model: str = "centroid", fold: str | None = None) -> DataFrame:
+def out_of_fold(df: DataFrame, key: str, column: str, levels: Sequence[str], k: int = 5, model: str = "centroid", fold: str | None = None) -> DataFrame:
     """Every row with its fold and the probabilities of a model that has not seen it."""
     tree = hierarchy.Tree.fit(df, levels)
     rows = df.withColumnRenamed(fold, "fold") if fold else splits.stratified_fold(df, levels[-1], key, k)
     parts = []
     for f in range(k):
-        own = models.fit_levels(rows.where(F.col("fold") != f), tree, features, model)
-        parts.append(own.probabilities(rows.where(F.col("fold") == f), features)[0])
+        own = models.fit_levels(rows.where(F.col("fold") != f), tree, column, model)
+        parts.append(own.probabilities(rows.where(F.col("fold") == f), column)[0])
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def recipe_fold(
+    rows: DataFrame, held: int, key: str, text_col: str, levels: Sequence[str], how: features.Features, model: str = "multinomial_nb", blacklist: DataFrame | None = None, scope: str = "train",
+    min_count: int = 1, keep_unwinnable: bool = True, fold: str = "fold",
+) -> tuple[DataFrame, models.LevelModels, dict]:
+    """One fold's whole recipe: excluded keys, rare tokens, the tree, the vectorizer and the models are all learned from the
+    other folds' rows alone; then the held-out rows are scored. Returns their scores, the models, and what was learned.
+
+    Held-out rows of a class that the training rows lack can't be won: they stay, marked `winnable`, or go."""
+    train, own = rows.where(F.col(fold) != held), rows.where(F.col(fold) == held)
+    if blacklist is not None:
+        train, own = filters.scoped(train, own, blacklist, key, scope)
+    train, (own,), _ = tokens.drop_rare_tokens(train, [own], key, text_col, min_count)
+    tree = hierarchy.Tree.fit(train, levels)
+    coded = tree.encode(own)
+    own = coded.withColumn("winnable", F.least(*[F.col(f"code_{c}") for c in levels], F.lit(0)) >= 0).drop(*[f"code_{c}" for c in levels])
+    if not keep_unwinnable:
+        own = own.where("winnable")
+    vectorizer = features.fitted(how, train, text_col)
+    fitted = models.fit_levels(vectorizer.transform(train), tree, "features", model)
+    scored, probs = fitted.probabilities(vectorizer.transform(own), "features")
+    out = hierarchy.predictions(scored, tree, probs, prefixes=False).drop(*probs, "features", "_grams", "alternatives", *[f"predicted_code_{c}" for c in levels])
+    return out, fitted, {"features": len(vectorizer.stages[-1].vocabulary), "paths": len(tree.paths)}
+
+
+def run_recipe(
+    spark: SparkSession, df: DataFrame, path: str, key: str, text_col: str, levels: Sequence[str], how: features.Features, k: int = 5, seed: int = 0, only: Sequence[int] | None = None,
+    blacklist: DataFrame | None = None, config: Mapping | None = None, **recipe,
+) -> None:
+    """run() for texts: every fold learns its own vocabulary, tree and models (recipe_fold) and is written when it is done."""
+    settings = {"k": k, "seed": seed, "levels": list(levels), "text": text_col, "features": dataclasses.asdict(how), **{n: v for n, v in recipe.items() if isinstance(v, str | int | float | bool)}, **(config or {})}
+    started(spark, df, path, key, identity(df, key, [text_col, *levels], settings, blacklist))
+    rows = splits.id_hash_fold(df, key, k, seed)
+    for f in only if only is not None else range(k):
+        if there(spark, f"{path}/done_{f}.json"):
+            continue
+        scored, _, learned = recipe_fold(rows, f, key, text_col, levels, how, blacklist=blacklist, **recipe)
+        scored.drop("fold").write.mode("overwrite").parquet(f"{path}/fold={f}")
+        done = spark.read.parquet(f"{path}/fold={f}")
+        stats = done.agg(F.count("*").alias("rows"), F.avg((~F.col("winnable")).cast("int")).alias("unseen_share")).first().asDict()
+        write_text(spark, f"{path}/done_{f}.json", json.dumps(stats | learned | {"accuracy": evaluation.path_accuracy(done, levels).first().accuracy}))
+
+
+def started(spark: SparkSession, df: DataFrame, path: str, key: str, record: Mapping) -> None:
+    """Write the run's record, or hold it against the one that is there."""
+    if there(spark, f"{path}/run.json"):
+        if bad := differences(json.loads(read_text(spark, f"{path}/run.json")), record):
+            raise ValueError("the folder holds another run: " + "; ".join(bad))
+    else:
+        if filters.duplicate_ids(df, key).first().n_duplicates:
+            raise ValueError("keys are not unique")
+        write_text(spark, f"{path}/run.json", json.dumps(record))
+
+
 def identity(df: DataFrame, key: str, columns: Sequence[str], config: Mapping, blacklist: DataFrame | None = None) -> dict:
     """What makes two runs the same: settings, data, excluded keys."""
     record = {"config": {k: v for k, v in config.items() if k not in VOLATILE}, "data": splits.data_fingerprint(df, [key, *columns]).first().asDict()}
@@ -47,18 +101,12 @@ def differences(a: Mapping, b: Mapping, at: str = "") -> list[str]:
     return out
 
 
-def run(spark: SparkSession, df: DataFrame, path: str, key: str, features: str, levels: Sequence[str], k: int = 5, seed: int = 0, model: str = "centroid", config: Mapping | None = None, only: Sequence[int] | None = None, blacklist: DataFrame | None = None) -> None:
+def run(spark: SparkSession, df: DataFrame, path: str, key: str, column: str, levels: Sequence[str], k: int = 5, seed: int = 0, model: str = "centroid", config: Mapping | None = None, only: Sequence[int] | None = None, blacklist: DataFrame | None = None) -> None:
     """Score each fold by a model of the others. Finished folds are skipped; another run's folder is refused.
 
     Excluded keys are kept out of training but scored; held-out classes that the training rows lack are recorded."""
     record = identity(df, key, levels, {"k": k, "seed": seed, "model": model, "levels": list(levels), **(config or {})}, blacklist)
-    if there(spark, f"{path}/run.json"):
-        if bad := differences(json.loads(read_text(spark, f"{path}/run.json")), record):
-            raise ValueError("the folder holds another run: " + "; ".join(bad))
-    else:
-        if filters.duplicate_ids(df, key).first().n_duplicates:
-            raise ValueError("keys are not unique")
-        write_text(spark, f"{path}/run.json", json.dumps(record))
+    started(spark, df, path, key, record)
     rows = splits.id_hash_fold(df, key, k, seed)
     for f in only if only is not None else range(k):
         if there(spark, f"{path}/done_{f}.json"):
@@ -66,25 +114,30 @@ def run(spark: SparkSession, df: DataFrame, path: str, key: str, features: str,
         train = rows.where(F.col("fold") != f)
         train = filters.drop_ids(train, blacklist, key) if blacklist is not None else train
         tree = hierarchy.Tree.fit(train, levels)
-        own = models.fit_levels(train, tree, features, model)
-        held, probs = own.probabilities(rows.where(F.col("fold") == f), features)
-        scored = tree.encode(hierarchy.predictions(held, tree, probs)).drop(*probs, features, "alternatives")
+        own = models.fit_levels(train, tree, column, model)
+        held, probs = own.probabilities(rows.where(F.col("fold") == f), column)
+        scored = tree.encode(hierarchy.predictions(held, tree, probs)).drop(*probs, column, "alternatives")
         scored.write.mode("overwrite").parquet(f"{path}/fold={f}")
         done = spark.read.parquet(f"{path}/fold={f}")
         unseen = F.least(*[F.col(f"code_{c}") for c in levels]) < 0 if len(levels) > 1 else F.col(f"code_{levels[0]}") < 0
         stats = done.agg(F.count("*").alias("rows"), F.avg(unseen.cast("int")).alias("unseen_share")).first().asDict()
-        stats |= {"paths": len(tree.paths), "accuracy": evaluation.path_accuracy(done, levels).first().accuracy}
+        stats |= {"paths": len(tree.paths), "features": _width(train, column), "accuracy": evaluation.path_accuracy(done, levels).first().accuracy}
         write_text(spark, f"{path}/done_{f}.json", json.dumps(stats))  # last: a fold without it is done again
 
 
+def _width(df: DataFrame, column: str) -> int | None:
+    row = df.select(F.size(column).alias("n")).first() if dict(df.dtypes)[column].startswith("array") else None
+    return row.n if row else None
+
+
 def status(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """fold, done, rows, accuracy."""
+    """fold, done, rows, features, paths, accuracy, unseen_share."""
     rows = []
     for f in range(k):
         done = there(spark, f"{path}/done_{f}.json")
         stats = json.loads(read_text(spark, f"{path}/done_{f}.json")) if done else {}
-        rows.append((f, done, stats.get("rows"), stats.get("accuracy")))
-    return spark.createDataFrame(rows, "fold int, done boolean, rows long, accuracy double")
+        rows.append((f, done, *(stats.get(c) for c in ("rows", "features", "paths", "accuracy", "unseen_share"))))
+    return spark.createDataFrame(rows, "fold int, done boolean, rows long, features int, paths int, accuracy double, unseen_share double")
 
 
 def collect_folds(spark: SparkSession, path: str, k: int, partial: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,19 @@ ID_NAMES = ("id", "item id", "item_id", "itemid", "product id", "product_id", "s
 SPECIAL_LISTS = ("abbrevs_to_expand", "to_normalize", "good_tokens")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share. Where none is set, a temporary folder
+    serves a local session; a cluster's executors would not see each other's files there, so that is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 

@@ -11,7 +11,7 @@ from taxolith.functions import text as T
 from taxolith.functions import tokens as N
 from taxolith.functions import word_lists
 from taxolith.operators import calibration, cleaning, evaluation, features, filters, hierarchy, lookup, models, splits, tokens
-from taxolith.plans import crossval, queries
+from taxolith.plans import crossval, queries, recipes
 from taxolith.plans.score import readability, score
 from taxolith.sources import bundle, io
 from taxolith.streaming import score as streaming
