@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+from taxolith.sources.io import shared_folder
+
+CHUNK_BYTES = 1 << 18
 BATCH_ROWS = 1000
+#: Tasks that a hot key's rows are dealt to by `spread_join`.
+SALTS = 64
 
 
 def tune(spark: SparkSession) -> None:
@@ -24,21 +29,49 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a temporary folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow; a worker gives the memory of its arrays back when a task ends, as it lives on for other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """rows.join(table, key, "left") for a table of one row a key, where a key may hold a large share of the rows: they
+    are dealt to SALTS tasks by a hash of the column `by`, and a table row goes only to those that have rows of its key."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    places = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(places, [key, "_salt"], "left").drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +131,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, np.uint64)
+    return _powers(base, 2 * CHUNK_BYTES)[: max(n, 1)] if n <= 2 * CHUNK_BYTES else _powers.__wrapped__(base, n)
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -108,13 +146,21 @@ class SpanHash:
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) | 5
-        codes = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        n = len(data)
-        self.back = powers(pow(self.base, -1, 1 << 64), n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[data] * powers(self.base, n)[:n], out=sums[1:])
-        self.sums = sums
+        base = int(rng.integers(1 << 40, 1 << 62)) | 5
+        self._sum(rng.integers(1, 1 << 63, 256, dtype=np.uint64)[data], base)
+
+    @classmethod
+    def of_codes(cls, codes: np.ndarray, base: int = 0x3C6EF372FE94F82D):
+        """The same over an array of 64-bit codes."""
+        own = cls.__new__(cls)
+        own._sum(codes, base)
+        return own
+
+    def _sum(self, codes: np.ndarray, base: int) -> None:
+        n = len(codes)
+        self.back = powers(pow(base, -1, 1 << 64), n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes * powers(base, n)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))

@@ -138,13 +138,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     order = [F.desc_nulls_last("doc_id"), F.asc("text")]
     ranged = common.documents(docs, id_col, text_col).repartitionByRange(order[0]).sortWithinPartitions(*order)
-    found = common.written(ranged.mapInArrow(_local, FIELDS + ", kind int, part long, text string"), "digests")
+    found = common.written(common.mapped(ranged, _local, FIELDS + ", kind int, part long, text string"), "digests")
     parts = sorted(r.part for r in found.where("kind = 1").select("part").collect())  # one row a task
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part long, after long")
     heads = found.where("kind = 1").select(F.col("part").alias("after"), F.col("text").alias("following"))
     open_ = found.where("kind = 2").select("doc_id", "part", "text").join(after, "part").join(heads, "after")
     columns = [x.split()[0] for x in FIELDS.split(", ")]
-    return found.where("kind = 0").select(columns).unionByName(open_.select("doc_id", "text", "following").mapInArrow(_close, FIELDS))
+    return found.where("kind = 0").select(columns).unionByName(common.mapped(open_.select("doc_id", "text", "following"), _close, FIELDS))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,19 +12,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of its component, for every node of links (a, b).
 
     Each round hangs the larger neighbours of every node, then the smaller ones, on the least of them; rounds go on
-    until the links are stars. A link (x, x) does no harm.
+    until the links are stars. A link (x, x) does no harm. A node with many neighbours has them dealt to several tasks.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = common.written(edges, "links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        large = common.spread_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             both.where("a = b").select("a", "b")
         ).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").distinct()
-        edges = common.written(small, "links")
+        small = common.spread_join(large, low, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").distinct()
+        old, edges = edges, common.written(small, "links")
+        common.discard(old)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -162,7 +162,7 @@ def fit(docs: DataFrame) -> Network | None:
     common.tune(docs.sparkSession)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, FIT_ROWS / n))])
     chosen = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    got = chosen.select("text", "lang").mapInArrow(_sample_windows, "lang string, piece binary").collect()
+    got = common.mapped(chosen.select("text", "lang"), _sample_windows, "lang string, piece binary").collect()
     languages = sorted({r.lang for r in got})
     if not languages:
         return None
@@ -177,7 +177,7 @@ def identified(docs: DataFrame, network: Network | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables() if network else []
-        for batch in common.chunks(batches, "text", 1 << 20):
+        for batch in common.chunks(batches, "text"):
             n = batch.num_rows
             predicted, score = [UNKNOWN] * n, np.zeros(n)
             if network:
@@ -194,7 +194,7 @@ def identified(docs: DataFrame, network: Network | None) -> DataFrame:
                         predicted[k], score[k] = network.languages[best[k]], min(1.0, total[k, best[k]])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(predicted), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return common.documents(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.mapped(common.documents(docs), run, "doc_id long, lang_pred string, score double")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,7 @@ once they are later than every register of their document, which keeps the work
 
 Documents of one bag are one node. `BANDS` keys of `ROWS` registers each put nodes into buckets. Every node is
 held against the pivot that it meets most often, by the exact similarity of the bags, and linked nodes get one class.
-In
-buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
+In buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
 blocks of `SIDE` by `SIDE` rows: pairs whose signatures agree on a share of `CLOSE` registers (nearly five standard
 deviations below the threshold) get the exact test in their task, nearest ones first, unless they are in one class by
 then. A block sends on only the links that join classes. So no class within a bucket is left apart, blocks bound the
@@ -48,7 +47,8 @@ REGISTERS = 256
 BANDS = 40
 ROWS = 8
 MOST_BITS = 27
-SIDE = 2048
+PAGE = 1 << 12
+SIDE = 512
 CLOSE = 0.68
 SUBSETS = np.stack([np.random.default_rng(100 + k).choice(REGISTERS, ROWS, replace=False) for k in range(BANDS)])
 FACTORS = np.random.default_rng(3).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -141,13 +141,48 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A bitmap of bounded size (2 ** MOST_BITS bits) in which the slot of every key of the column is set."""
-    count = keys.count()
-    bits = min(MOST_BITS, max(10, int(16 * count).bit_length()))
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits))
-    rows = keys.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v")).collect()
-    out = np.zeros(1 << bits - 6, np.uint64)
-    for r in rows:
-        out[r.w] = r.v & 0xFFFFFFFFFFFFFFFF
+    bits = min(MOST_BITS, max(10, int(16 * keys.count()).bit_length()))
+    return _bits(keys.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits)).alias("s")), bits)
+
+
+def one_value(*values: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit value for each row of some columns of numbers."""
+    out = np.zeros(len(values[0]), np.uint64)
+    for v in values:
+        out = common.mixed(out ^ v.view(np.uint64))
+    return out
+
+
+def value_bitmap(keys: DataFrame, *columns: str) -> np.ndarray:
+    """The same with slots that tasks can work out for arrays of values (repeats.slot_in)."""
+    bits = min(MOST_BITS, max(10, int(16 * keys.count()).bit_length()))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = one_value(*(c.to_numpy() for c in batch.columns)) & np.uint64((1 << bits) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64))], ["s"])
+
+    return _bits(common.mapped(keys.select(*columns), slots, "s long"), bits)
+
+
+def _bits(slots: DataFrame, bits: int) -> np.ndarray:
+    """Tasks put the words together, so the driver gets them in blocks of PAGE words, a few hundred binary rows at most."""
+    size = 1 << bits - 6
+    page = min(PAGE, size)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, value = batch.column("w").to_numpy(), batch.column("v").to_numpy().view(np.uint64)
+            for k in np.unique(word // page).tolist():
+                own = word // page == k
+                found.setdefault(k, np.zeros(page, np.uint64))[word[own] % page] = value[own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["page", "words"])
+
+    words_ = slots.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
+    out = np.zeros(size, np.uint64)
+    for r in common.mapped(words_.repartition(F.expr(f"w div {page}")), pages, "page long, words binary").collect():
+        out[r.page * page : (r.page + 1) * page] = np.frombuffer(r.words, np.uint64)
     return out
 
 
@@ -163,15 +198,15 @@ def maybe_in(docs: DataFrame, column: str, bits: np.ndarray, there: bool = True)
 
     common.tune(docs.sparkSession)
     marked = docs.withColumn("_slot", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(n)))
-    return marked.mapInArrow(run, docs.schema)
+    return common.mapped(marked, run, docs.schema)
 
 
 def elements(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The bags as sets: the second and later occurrences of a shingle are elements of their own (32 bits each)."""
+    """The bags as sets: the second and later occurrences of a shingle are elements of their own (64 bits each)."""
     same = np.concatenate([[False], (np.diff(rows) == 0) & (value[1:] == value[:-1])]) if len(rows) else np.zeros(0, bool)
     place = np.arange(len(rows))
     again = place - np.maximum.accumulate(np.where(same, 0, place)) if len(rows) else place
-    return (common.mixed(value + again.astype(np.uint64) * FACTORS[13]) >> np.uint64(32)).astype(np.uint32)
+    return common.mixed(value + again.astype(np.uint64) * FACTORS[13])
 
 
 def _bag_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +225,7 @@ def similar(x: bytes, y: bytes) -> bool:
     """Whether the Jaccard similarity of two sorted sets reaches the threshold."""
     if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
         return False
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     both = np.sort(np.concatenate([a, b]))
     common_ = int((both[1:] == both[:-1]).sum())
     return common_ >= THRESHOLD * (len(both) - common_)
@@ -203,9 +238,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags are similar enough."""
-    one, two = (blobs.select(F.col("node").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long")
+    """Links (a, b): the pairs (node, pivot) whose bags are similar enough. A pivot may be that of many nodes."""
+    one = pairs.join(blobs.withColumnRenamed("bag", "bag_a"), "node")
+    both = common.spread_join(one, blobs.select(F.col("node").alias("pivot"), F.col("bag").alias("bag_b")), "pivot", "node").where("bag_b is not null")
+    return common.mapped(both.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "bag_a", "bag_b"), _verify, "a long, b long")
 
 
 def spanning(node: np.ndarray, root: np.ndarray, asks: np.ndarray, answers: np.ndarray, short: np.ndarray, bags_: list[bytes]) -> list[tuple[int, int]]:
@@ -262,42 +298,47 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, class_id) for every row: the least key of its class of near duplicates."""
     texts = common.documents(docs, id_col, text_col)
-    signed = common.written(texts.mapInArrow(_sign, "doc_id long, node long, bands binary, short binary"), "signed")
+    signed = common.written(common.mapped(texts, _sign, "doc_id long, node long, bands binary, short binary"), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc"))
     first = signed.select("node", "bands", "short").dropDuplicates(["node"])
-    rows = first.select("node", "bands").mapInArrow(_explode, "band long, node long")
+    rows = common.mapped(first.select("node", "bands"), _explode, "band long, node long")
     order = F.xxhash64("node")
     pivots = rows.groupBy("band").agg(F.min_by("node", order).alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot")
     buckets = common.written(rows.join(pivots, "band"), "buckets")
 
     pairs = buckets.where("node <> pivot").groupBy("node", "pivot").count()
     pairs = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))  # the pivot met most often first
-    pairs = common.written(pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct(), "pairs")
+    pairs = common.written(pairs, "pairs")
     candidates = common.written(buckets.select("node").distinct().join(nodes, "node").where("doc is not null").select("node", F.col("doc").alias("doc_id")), "candidates")
     wanted = maybe_in(texts, "doc_id", bitmap(candidates, "doc_id")).join(candidates, "doc_id")
-    blobs = common.written(wanted.select("node", "text").mapInArrow(_bag_blobs, "node long, bag binary").dropDuplicates(["node"]), "bags")
+    blobs = common.written(common.mapped(wanted.select("node", "text"), _bag_blobs, "node long, bag binary").dropDuplicates(["node"]), "bags")
 
     links = common.written(verified(pairs, blobs), "links")
+    common.discard(pairs, candidates)
     roots = components(links)
+    common.discard(links)
     owner = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    named = buckets.join(roots, "node", "left").join(owner, "pivot", "left")
+    named = common.spread_join(buckets.join(roots, "node", "left"), owner, "pivot", "node")
     named = named.select("band", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("root", "node") != F.coalesce("pivot_root", "pivot")).alias("asks"))
     named = common.written(named, "named")
+    common.discard(buckets)
     sides = named.groupBy("band").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("n"), F.ceil(F.count_if("asks") / SIDE).cast("int").alias("m")).where("m > 0")
     i, j = (F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in "mn")
     asking = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.struct(i.alias("i"), x.alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     answering = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: F.struct(x.alias("i"), j.alias("j")))
-    placed = named.join(sides, "band").withColumn("cell", F.explode(F.array_distinct(F.concat(asking, answering))))
+    placed = common.spread_join(named, sides, "band", "node").where("m is not null").withColumn("cell", F.explode(F.array_distinct(F.concat(asking, answering))))
     placed = placed.select(F.xxhash64("band", "cell").alias("block"), "node", "root", (F.col("asks") & (F.col("cell.i") == i)).alias("asks"), (F.col("cell.j") == j).alias("answers"))
     placed = placed.join(first.select("node", "short"), "node").join(blobs, "node").repartition("block").sortWithinPartitions("block")
-    late = common.written(placed.select("block", "node", "root", "asks", "answers", "short", "bag").mapInArrow(_near, "a long, b long").distinct(), "links")
+    late = common.written(common.mapped(placed.select("block", "node", "root", "asks", "answers", "short", "bag"), _near, "a long, b long").distinct(), "links")
+    common.discard(named, blobs)
     if not late.isEmpty():
         stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = components(stars.unionByName(late))
-    member = roots.join(nodes, "node")
-    least = member.groupBy("root").agg(F.min("doc").alias("class_id"))
-    named = roots.join(least, "root").select("node", "class_id")
-    return signed.select("doc_id", "node").join(nodes, "node").join(named, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc", "doc_id").alias("class_id"))
+    named = nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
+    named = common.spread_join(named, least, "root", "node").select("node", F.coalesce("class_id", "doc").alias("class_id"))
+    found = common.spread_join(signed.select("doc_id", "node"), named, "node", "doc_id")
+    return found.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

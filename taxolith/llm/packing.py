@@ -44,7 +44,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             columns = [batch.column("doc_id"), pa.array([part] * len(n), pa.int64()), pa.array(places, pa.int64()), pa.array(n, pa.int64()), ids]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "place", "n", "ids"])
 
-    return common.written(common.documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, part long, place long, n long, ids binary"), "ids")
+    return common.written(common.mapped(common.documents(docs, id_col, text_col), run, "doc_id long, part long, place long, n long, ids binary"), "ids")
 
 
 def bounds_of_rest(total: int, length: int) -> list[int]:
@@ -92,7 +92,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     placed = ids.join(before.hint("broadcast") if len(totals) < 1_000_000 else before, "part")
-    return placed.select("doc_id", (F.col("before") + F.col("place")).alias("first"), "n", "ids").mapInArrow(cut, PIECE)
+    return common.mapped(placed.select("doc_id", (F.col("before") + F.col("place")).alias("first"), "n", "ids"), cut, PIECE)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,6 @@ MIN_DF = 4
 MIN_Z = 3.5
 MOST_FEATURES = 8000
 FOLDS = 5
-COUNT_BYTES = 1 << 18  # texts at a time where every n-gram is kept
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -94,7 +93,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's texts -> for each feature in them, how many have it by class."""
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for batch in common.chunks(batches, "text", COUNT_BYTES):
+    for batch in common.chunks(batches, "text"):
         label = batch.column("toxic").to_numpy() == 1
         row, feature = row_features(*common.raw(batch.column("text")))
         for k in (0, 1):
@@ -110,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if size.positive in (0, size.n):
         return Model(np.zeros(1 << BITS, np.uint16), np.zeros(1), 40.0 if size.positive else -40.0)
     positive, negative = size.positive, size.n - size.positive
-    counts = chosen.repartition(8).mapInArrow(_counted, "feature int, n0 int, n1 int").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DF)
+    counts = common.mapped(chosen.repartition(8), _counted, "feature int, n0 int, n1 int").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DF)
     p, q = (F.col("n1") + 1) / (positive + 2), (F.col("n0") + 1) / (negative + 2)
     error = F.sqrt((1 - p) / (p * (positive + 2)) + (1 - q) / (q * (negative + 2)))
     best = counts.select("feature", F.log(p / q).alias("ratio"), (F.abs(F.log(p / q)) / error).alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect()
@@ -126,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             sets = [number[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
 
-    got = sorted((r.toxic, bytes(r.features)) for r in chosen.mapInArrow(kept, "toxic int, features binary").collect())
+    got = sorted((r.toxic, bytes(r.features)) for r in common.mapped(chosen, kept, "toxic int, features binary").collect())
     return learned([np.frombuffer(f, np.uint16) for _, f in got], np.array([t == 1 for t, _ in got], float), keep, np.array([r.ratio for r in best]))
 
 
@@ -156,7 +155,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(*common.raw(batch.column("text"))))], ["doc_id", "score"])
 
-    return common.documents(docs).mapInArrow(run, "doc_id long, score double")
+    return common.mapped(common.documents(docs), run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -168,7 +167,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             yield batch.filter(pa.array(model.score(*common.raw(batch.column("text"))) < 0.5))
 
     common.tune(docs.sparkSession)
-    return docs.mapInArrow(run, columns)
+    return common.mapped(docs, run, columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
