@@ -4,8 +4,8 @@ A shard is a few megabytes of whole texts within a map task. Its words become nu
 the run (no phrase crosses it), and runs shorter than the shortest phrase are left out: neither loses an occurrence.
 What remains gets a suffix order, its Burrows-Wheeler transform and a wavelet matrix of it. All phrases are searched
 backwards at once through the matrix's ranks, their occurrences located by sampled suffix positions, and overlapping
-occurrences merged into removal spans. Nothing is shuffled. The phrases reach the tasks in blocks of at most
-`BLOCK_BYTES` of benchmark text, one map pass a block.
+occurrences merged into removal spans. Nothing is shuffled. The phrases reach the tasks in blocks of about
+`BLOCK_WORDS` words of the benchmark, of which each begins one phrase at most, one map pass a block.
 
 A phrase is a window of `WINDOW` consecutive words of an item, or a shorter item as a whole. Words are compared by
 64-bit hashes of their bytes.
@@ -18,7 +18,7 @@ ignored, or kept by `cleaned`.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,9 @@ from taxolith.llm.toxicity import LOWER
 
 WINDOW = 10
 SAMPLED = 8
-BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
+#: Words of the benchmark, and so phrases, in one pass: some 60 bytes each on the driver and in a task.
+BLOCK_WORDS = 1 << 20
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -48,25 +50,25 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Phrases:
-    """The distinct phrases of some items, by length, and the items that have each."""
+    """The distinct phrases of some items as arrays, by length, and the items that have each."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW):
         data, at = common.raw(pa.array(texts, pa.string()))
         _, _, row, code = words(data, at)
         self.vocabulary = np.unique(code)
         number = (np.searchsorted(self.vocabulary, code) + 2).astype(np.int32)
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-        seen: dict[tuple, set[int]] = {}
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            own = number[a:b].tolist()
-            for i in range(max(len(own) - window, 0) + 1) if own else ():
-                seen.setdefault(tuple(own[i : i + window]), set()).add(k)
+        count = np.bincount(row, minlength=len(texts))
+        first = np.cumsum(count) - count
         self.ids = ids
         self.groups = []
-        for n in sorted({len(p) for p in seen}):
-            chosen = [p for p in seen if len(p) == n]
-            owners = [sorted(seen[p]) for p in chosen]
-            self.groups.append((n, np.array(chosen, np.int32), np.concatenate(owners), np.concatenate([[0], np.cumsum([len(o) for o in owners])])))
+        for n in np.unique(np.minimum(count[count > 0], window)).tolist():
+            own = np.flatnonzero((count == n) | (count > n) & (n == window))
+            many = count[own] - n + 1
+            item = np.repeat(own, many)
+            start = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+            chosen, which = np.unique(np.lib.stride_tricks.sliding_window_view(number, n)[start], axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel() * len(texts) + item)
+            self.groups.append((n, chosen, (pairs % len(texts)).astype(np.int32), np.searchsorted(pairs // len(texts), np.arange(len(chosen) + 1))))
         self.shortest = self.groups[0][0] if self.groups else 0
 
 
@@ -194,46 +196,58 @@ def shard(data: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.ndarra
 
 
 def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Phrases]:
-    """The benchmark in blocks of bounded size."""
+    """The benchmark in blocks of bounded size; an item is one block at least."""
     items = bench.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = max(1, math.ceil(size / BLOCK_BYTES))
+    size = items.agg(F.sum(F.length(F.regexp_replace("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]*[\x00-\x2F\x3A-\x60\x7B-\x7F]", "-")) + 1)).first()[0] or 0  # ends of words
+    count = max(1, math.ceil(size / BLOCK_WORDS))
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).collect()
         yield Phrases([r.id for r in rows], [r.text for r in rows])
 
 
-def with_hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs with n_words, n_hit, items and spans (byte ranges of its UTF-8 text); own columns of these names give way."""
+def with_hits(docs: DataFrame, bench: DataFrame, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema=None) -> DataFrame:
+    """docs with n_words, n_hit, items and spans (byte ranges of its UTF-8 text); own columns of these names give way.
+    then: what to do with each marked batch in the same task, with the schema of its result."""
     common.tune(docs.sparkSession)
-    out = docs
-    for k, phrases in enumerate(blocks(bench)):
-        names = {"n_words", "n_hit", "items", "spans"}
-        have, kept = names if k else {}, [c for c in out.columns if c not in names]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in kept), FOUND])
-
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, kept: list[str] = kept, have: set[str] = have) -> Iterator[pa.RecordBatch]:
-            for batch in common.chunks(batches, "text"):
-                n_words, row, start, end, n, pairs = shard(*common.raw(batch.column("text")), phrases)
-                base = common.raw(batch.column("text"))[1]
-                count = batch.num_rows
-                spans: list[list] = [[] for _ in range(count)]
-                items: list[list] = [[] for _ in range(count)]
-                hits = np.bincount(row, n, count).astype(np.int64).tolist()
-                for r, a, b in zip(row.tolist(), (start - base[row]).tolist(), (end - base[row]).tolist(), strict=True):
-                    spans[r].append({"start": a, "end": b})
-                for r, k in pairs.tolist():
-                    items[r].append(phrases.ids[k])
-                if have:
-                    hits = _joined(batch, n_words, spans, items)
-                columns = [batch.column(c) for c in kept]
-                new = [pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays([*columns, *new], [*kept, "n_words", "n_hit", "items", "spans"])
-
-        out = out.mapInArrow(run, schema)
+    names = ["n_words", "n_hit", "items", "spans"]
+    found = blocks(bench)
+    out, phrases, k = docs, next(found), 0
+    while phrases is not None:
+        later = next(found, None)
+        kept = [c for c in out.columns if c not in names]
+
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases, kept: list[str] = kept, joined: bool = k > 0, then=then if later is None else None) -> Iterator[pa.RecordBatch]:
+            for batch in common.chunks(batches, "text", SHARD_BYTES):
+                marked = _marked(batch, phrases, kept, joined)
+                yield then(marked) if then else marked
+
+        own = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in kept), FOUND])
+        out = common.mapped(out, run, schema if then and later is None else own)
+        if later is not None:
+            out = common.written(out, "hits")  # one block of phrases in a task at a time
+        phrases, k = later, k + 1
     return out
 
 
+def _marked(batch: pa.RecordBatch, phrases: Phrases, kept: list[str], joined: bool) -> pa.RecordBatch:
+    """The kept columns of one shard, and what the phrases hit in it, joined to what earlier blocks found."""
+    n_words, row, start, end, n, pairs = shard(*common.raw(batch.column("text")), phrases)
+    base = common.raw(batch.column("text"))[1]
+    count = batch.num_rows
+    spans: list[list] = [[] for _ in range(count)]
+    items: list[list] = [[] for _ in range(count)]
+    hits = np.bincount(row, n, count).astype(np.int64).tolist()
+    for r, a, b in zip(row.tolist(), (start - base[row]).tolist(), (end - base[row]).tolist(), strict=True):
+        spans[r].append({"start": a, "end": b})
+    for r, k in pairs.tolist():
+        items[r].append(phrases.ids[k])
+    if joined:
+        hits = _joined(batch, n_words, spans, items)
+    columns = [batch.column(c) for c in kept]
+    new = [pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    return pa.RecordBatch.from_arrays([*columns, *new], [*kept, "n_words", "n_hit", "items", "spans"])
+
+
 def _joined(batch: pa.RecordBatch, n_words: np.ndarray, spans: list[list], items: list[list]) -> list[int]:
     """Add what earlier blocks found, in place; the new numbers of words hit."""
     hits = []
@@ -261,23 +275,23 @@ def cleaned(docs: DataFrame, bench: DataFrame) -> DataFrame:
     given = docs.schema
     aside = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "n_hit", "items", "spans")}
     docs = docs.withColumnsRenamed(aside)
-    columns = docs.columns
-    marked = with_hits(docs, bench)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    body, at, parts = texts[k].encode(), 0, []
-                    for s in spans:
-                        parts.append(body[at : s["start"]])
-                        at = s["end"]
-                    texts[k] = b"".join([*parts, body[at:]]).decode()
-            place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type)).select(columns)
-
-    left = marked.where("n_hit = 0 or n_hit < n_words").mapInArrow(cut, docs.schema)
+    columns, schema = docs.columns, docs.schema
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hit, total = (batch.column(c).to_numpy() for c in ("n_hit", "n_words"))
+        batch = batch.filter(pa.array((hit == 0) | (hit < total)))
+        texts = batch.column("text").to_pylist()
+        for k, spans in enumerate(batch.column("spans").to_pylist()):
+            if spans:
+                body, at, parts = texts[k].encode(), 0, []
+                for s in spans:
+                    parts.append(body[at : s["start"]])
+                    at = s["end"]
+                texts[k] = b"".join([*parts, body[at:]]).decode()
+        place = batch.schema.get_field_index("text")
+        return batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type)).select(columns)
+
+    left = with_hits(docs, bench, cut, schema)
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(columns)
     return left.withColumnsRenamed({v: k for k, v in aside.items()}).select(given.names)
