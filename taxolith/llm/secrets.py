@@ -2,13 +2,14 @@
 
 Only DataFrame functions run here. Base spans come from three fixed patterns. Then every run of 20 or more characters
 of an encoding alphabet that no base span touches and that mixes character classes is tried: its encoding is inferred
-(hex, base32, base64), and three tests ask whether ordinary names of that encoding could look like it: the chi-squared
-uniformity of its alphabet (as an index of coincidence, of which chi-squared over 16, 32 or 64 cells is a linear function;
-hex without case), the number of runs of character classes, and the lag-one serial correlation of the classes. Each is
-held against the mean and spread measured on names of the same encoding. Fisher's method combines the three. Within each encoding and length class (powers of two), a
-Benjamini-Hochberg step over all candidates of the corpus sets the largest accepted p-value, so short strings, which
-the tests can't tell apart, need a stronger result where many of them are tried. The corpus counts are one small table
-(p-values in bins), summed in the tasks first.
+(hex, base32, base64), and three tests ask whether ordinary names of that encoding could look like it: chi-squared of a
+uniform alphabet of 16, 32 or 64 cells (hex without case), the number of runs of character classes, and the lag-one
+serial correlation of the classes. Each is held against the mean and spread that names of the same encoding and length
+have, since what must be told from a secret is a name and not a uniform string. Fisher's method combines the three.
+Within each encoding and length class (powers of two), a Benjamini-Hochberg step over all candidates of the corpus sets
+the largest accepted p-value, so short strings, which the tests can't tell apart, need a stronger result where many of
+them are tried. The corpus counts are one small table (p-values in bins), summed in the tasks first; the candidates are
+written once for both passes.
 
 Defined cases: null and empty texts have no spans; spans are in code points, end exclusive; repeated rows are scanned
 one by one; an empty table gives no rows; other columns are ignored, or kept by `redacted`.
@@ -21,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolith.functions.arrays import bind
 from taxolith.llm import common
 
 # The base patterns, by kind, with the group that must have so many characters.
@@ -31,6 +33,7 @@ KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 1, 20), ("hex", HEX, 1, 24
 CANDIDATE = r"([A-Za-z0-9+/_-]{20,}={0,2})"
 #: Share of false findings that is accepted among those made.
 RATE = 0.01
+PAGE = 4096
 BIN = 4.0  # bins of the p-value's negative logarithm, by unit
 # What ordinary names of an encoding look like, as measured on 6000 made of words, dates and numbers: index of coincidence,
 # share of class changes and serial correlation, each with its spread times the root of the length. Hex names repeat
@@ -40,26 +43,42 @@ UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPAN = "array<struct<start:int,kind:int,end:int,name:string>>"
 
 
+def running(items: Column, after: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(state, x) for every item, as an array of the SQL type `kind`; the state is a whole number that begins at 0,
+    and after(state, x) follows it.
+
+    Appending to an array copies it, so this goes by cells of about the root of the number of items: a text with very
+    many matches costs that number to the power of 1.5 in copied references, not its square."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def cells(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        last = F.greatest(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * width + 1, width))
+
+    def whole(c: Column) -> Column:
+        states = F.aggregate(c, F.array(F.lit(0)), lambda a, cell: F.concat(a, F.array(F.aggregate(cell, F.element_at(a, -1), after))))
+        return F.flatten(F.zip_with(c, F.slice(states, F.lit(1), F.size(c)), one))
+
+    def one(cell: Column, state: Column) -> Column:
+        start = F.struct(state.alias("at"), none.alias("out"))
+        return F.aggregate(cell, start, lambda a, x: F.struct(after(a["at"], x).alias("at"), F.concat(a["out"], F.array(emit(a["at"], x).cast(kind))).alias("out")), lambda a: a["out"])
+
+    return bind(bind(items, cells), whole)
+
+
 def matches(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, body>> of the pattern's matches: what lies between them gives their places."""
-    parts = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("body"),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,body:string>>")
-    found = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.when(x["all"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + F.length(x["gap"]) + F.length(x["all"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["all"])).alias("end"), x["body"].alias("body")))).alias("out"),
-            )
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    kind = "struct<start:int,end:int,body:string>"
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"))
+
+    def emit(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        body = x["all"] if group == 1 else F.regexp_extract(x["all"], pattern, group)  # group 1 is the whole match
+        return F.struct(start.alias("start"), (start + F.length(x["all"])).alias("end"), body.alias("body"))
+
+    found = running(parts, lambda at, x: at + F.length(x["gap"]) + F.coalesce(F.length(x["all"]), F.lit(0)), emit, kind)
+    return F.when(text.rlike(pattern), F.filter(found, lambda x: x["end"].isNotNull())).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _normal(z: Column) -> Column:
@@ -94,7 +113,9 @@ def _p_value(x: Column) -> Column:
     of = [F.when(x["encoding"] == 16, a).when(x["encoding"] == 32, b).otherwise(c) for a, b, c in zip(*NAMES.values(), strict=True)]
     coincidence, coincidence_spread, changes, changes_spread, correlation, correlation_spread = of
     root = F.sqrt(n)
-    uniform = _normal(((x["squares"] - n) / (n * (n - 1)) - coincidence) * root / coincidence_spread)
+    cells = x["encoding"].cast("double")
+    chi, ordinary = cells * x["squares"] / n - n, cells * ((n - 1) * coincidence + 1) - n  # chi-squared of the alphabet, and what a name has
+    uniform = _normal((chi - ordinary) * root / (cells * (n - 1) * coincidence_spread))
     run = _normal((changes - (x["runs"] - 1) / (n - 1)) * root / changes_spread)
     length = F.size(x["off"])
     around = F.aggregate(F.zip_with(F.slice(x["off"], F.lit(1), length - 1), F.slice(x["off"], F.lit(2), length - 1), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
@@ -114,16 +135,26 @@ def _spans(found: Column, kind: int, name: str) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.lit(name).alias("name"))).cast(SPAN)
 
 
+def apart(x: Column, spans: Column) -> Column:
+    """Whether x meets none of the spans, which are sorted by start: cells of spans are tried first."""
+
+    def cells(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        last = F.floor((F.size(v) - 1) / width).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), lambda k: F.slice(v, k * width + 1, width))
+        return F.transform(parts, lambda c: F.struct(F.get(c["start"], 0).alias("start"), F.array_max(c["end"]).alias("end"), c.alias("spans")))
+
+    meets = lambda b, y: (b["start"] < y["end"]) & (y["start"] < b["end"])
+    return bind(F.struct(x.alias("x"), bind(spans, cells).alias("cells")), lambda v: F.filter(v["x"], lambda y: ~F.exists(v["cells"], lambda c: meets(c, y) & F.exists(c["spans"], lambda b: meets(b, y)))))
+
+
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `base` spans and `tried` strings (start, end, class, bin of the p-value)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = [_spans(F.filter(matches(text, pattern, group), _long(least)), k, name) for k, (name, pattern, group, least) in enumerate(KINDS)]
     out = docs.withColumn("base", F.array_sort(F.concat(*base)))
-    tokens = F.filter(
-        matches(text, CANDIDATE, 1),
-        lambda x: (x["body"].rlike("[0-9]").cast("int") + x["body"].rlike("[a-z]").cast("int") + x["body"].rlike("[A-Z]").cast("int") >= 2)
-        & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    mixed = lambda x: x["body"].rlike("[0-9]").cast("int") + x["body"].rlike("[a-z]").cast("int") + x["body"].rlike("[A-Z]").cast("int") >= 2
+    tokens = apart(F.filter(matches(text, CANDIDATE, 1), mixed), F.col("base"))
     tried = F.transform(F.transform(F.transform(F.transform(tokens, _statistics), _tested), _moments), _p_value)
     return out.withColumn("tried", tried)
 
@@ -144,7 +175,11 @@ def accepted(candidates: DataFrame) -> dict[int, int]:
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with `base` and `spans`: array<struct<start, kind, end, name>>, by start, then kind."""
-    candidates = with_candidates(docs, text_col)
+    return judged(common.written(with_candidates(docs, text_col), "candidates"))
+
+
+def judged(candidates: DataFrame) -> DataFrame:
+    """with_candidates() with `spans` instead of `tried`."""
     least = accepted(candidates)
     if least:
         limits = F.create_map(*[F.lit(v) for pair in least.items() for v in pair])
@@ -155,24 +190,30 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return candidates.withColumn("spans", F.array_sort(F.concat("base", random))).drop("tried")
 
 
+def cut_out(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each span, one for spans that overlap. Parts are taken from pages of PAGE code points,
+    so a text with many spans is not read anew for each."""
+    pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+    def part(pages: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PAGE).cast("int")
+        own = F.array_join(F.slice(pages, first + 1, F.ceil(b / PAGE).cast("int") - first), "")
+        return F.when(b > a, F.substring(own, a - first * PAGE + 1, b - a)).otherwise("")
+
+    def whole(v: Column) -> Column:
+        gaps = running(v["spans"], lambda at, x: F.greatest(at, x["end"]), lambda at, x: F.struct(at.alias("from"), x["start"].alias("to"), (x["end"] > at).alias("new")), "struct<from:int,to:int,new:boolean>")
+        before = F.transform(gaps, lambda x: F.when(x["new"] & (x["to"] >= x["from"]), F.concat(part(v["pages"], x["from"], x["to"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(before, ""), part(v["pages"], F.array_max(v["spans"]["end"]), v["n"]))
+
+    return bind(F.struct(pages.alias("pages"), spans.alias("spans"), F.length(text).alias("n")), whole)
+
+
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each secret in `text` replaced by a mark (overlapping ones by one), and n_chars in step if it is there."""
     columns = docs.columns
     own = {c: f"_{k}" for k, c in enumerate(columns) if c in ("base", "tried", "spans")}  # clashing names stand aside
     found = scanned(docs.withColumnsRenamed(own))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(
-        "spans",
-        start,
-        lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(F.substring("text", a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise("")).alias("out"),
-            )
-        ),
-        lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))),
-    )
-    out = found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("base", "spans").withColumnsRenamed({v: k for k, v in own.items()})
+    out = found.withColumn("text", F.when(F.size("spans") > 0, cut_out(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))).drop("base", "spans").withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(columns)
@@ -187,6 +228,7 @@ def _is(name: str) -> Callable[[Column], Column]:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scanned(common.documents(common.table(spark, sf_dir, "documents")))
+    docs = common.documents(common.table(spark, sf_dir, "documents"))
+    found = judged(common.written(with_candidates(docs).drop("text"), "candidates"))
     counts = [F.size(F.filter(F.transform("base", lambda x: x["name"]), _is(name))).cast("long").alias(f"n_{name}") for name, *_ in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
