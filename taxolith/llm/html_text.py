@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import html
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,7 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
     count = 0
     parts: list[str] = []
     open_: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, boilerplate by tag, in an article, containers named so
+    opened: Counter[str] = Counter()  # how many of each name are open
     hidden = inside = False
     named_in: tuple[int, ...] = ()
 
@@ -92,7 +94,7 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
         if text and not hidden:
             out.append(text)
             where.append(inside)
-            head.append(any(x[0] in ("h1", "h2") for x in open_))
+            head.append(bool(opened["h1"] or opened["h2"]))
             under.append(named_in)
 
     def gap(always: bool = False) -> None:
@@ -120,15 +122,16 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
         elif not closing and ("=" not in tag or not _boilerplate(name, tag, inside)):
             continue
         if closing:
-            if any(x[0] == name for x in open_):
+            if opened[name]:
                 end_line()
                 while True:
                     was, *_ = open_.pop()
+                    opened[was] -= 1
                     if was == name:
                         break
         elif name not in VOID and not tag.endswith("/>"):
             while open_ and open_[-1][0] == "p" and name in BLOCK or open_ and open_[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                open_.pop()
+                opened[open_.pop()[0]] -= 1
             hidden, inside, named_in = open_[-1][1:] if open_ else (False, False, ())
             bad = 0 if hidden else _boilerplate(name, tag, inside)
             if bad:
@@ -141,6 +144,7 @@ def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
             if name in ("article", "main") and not hidden:
                 freed.update(named_in)
             open_.append((name, hidden or bad == 2, inside or name in ("article", "main"), own))
+            opened[name] += 1
         before = inside
         hidden, inside, named_in = open_[-1][1:] if open_ else (False, False, ())
         if before and not inside:
@@ -212,7 +216,7 @@ def extracted(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html
             texts = [main_text(p) for p in batch.column("_html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string())], [*keys, "text"])
 
-    return chosen.mapInArrow(run, schema)
+    return common.mapped(chosen, run, schema)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,20 @@ def test_html_text_of_generated_pages(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_html_text_of_generated_pages_without_article_tags(spark):
+    """Line blocks alone find the same text where no tag tells it."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = html_text.main_text(r.html)
+        for tag in ("div", "section", "td"):
+            assert html_text.main_text(r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == want
+
+
+def test_html_deep_nesting_and_repeats(spark):
+    page = "<div>" * 30_000 + f"<p>{'word ' * 100}" + "</i>" * 30_000
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page)], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extracted(pages).collect()] == [("word " * 100).strip()] * 2
+
+
 def test_html_density_chooses_the_text():
     long = "word " * 40
     text = html_text.main_text
@@ -172,6 +186,15 @@ def test_secrets(spark, odd, empty):
     assert by[1001] == "é [secret]' x" and by[1003] == "API_KEY=short" and by[1005] is None and by[1007] == "[secret]"
 
 
+def test_secrets_in_a_text_with_very_many(spark):
+    text = " ".join(f"é token={k:08d} AKIA{k:016d} {'0123456789abcdef' * 2}" for k in range(4000)) + " tail"
+    docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in secrets.scanned(docs).select("doc_id", "base").collect()}
+    assert got == {1: base_spans(text), 2: []}
+    masked = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert masked == {1: " ".join("é [secret] [secret] [secret]" for _ in range(4000)) + " tail", 2: "none"}
+
+
 def test_random_strings_are_found_and_names_are_not(spark):
     rnd = random.Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -228,14 +251,38 @@ def plain_repeats(rows, length=repeats.LENGTH):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeats(odd, empty, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("block", [repeats.BLOCK, 5000, 0])
+def test_repeats(odd, empty, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)  # the driver's: which buckets are refined
     got = repeats.removals(odd).collect()
     assert sorted((key(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), r.kept.hex()) for r in got) == plain_repeats(ROWS)
     assert repeats.removals(empty).count() == 0
 
 
+def plain_passages(rows, n=51):
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
+    docs = [(i, find(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows]
+    seen = collections.defaultdict(set)
+    for k, (_, w) in enumerate(docs):
+        for a in range(len(w) - n + 1):
+            seen[tuple(w[a : a + n])].add(k)
+    return sorted((key(i), len({p for a in range(len(w) - n + 1) if len(seen[tuple(w[a : a + n])]) > 1 for p in range(a, a + n)})) for i, w in docs)
+
+
+def test_passages_of_over_fifty_words(spark, odd):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdéF") for _ in range(rnd.randint(1, 5)))
+    passages = [[word() for _ in range(rnd.randint(45, 90))] for _ in range(6)]
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(rnd.randint(0, 80))] + rnd.choice(passages)[rnd.randint(0, 5) :] + [word() for _ in range(rnd.randint(0, 80))]
+        rows.append((1000 + k, ", ".join(own + rnd.choice(passages) * rnd.randint(0, 2))))
+    rows += [(2000, rows[0][1]), (2001, None), (2002, "a " * 200), (2003, "b " + "a " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text")).repartition(3)
+    got = repeats.removals(docs).select("doc_id", "passage_words").collect()
+    assert sorted((key(r.doc_id), r.passage_words) for r in got) == plain_passages(rows + ROWS)
+
+
 def test_difference_cover_order():
     assert all(any((i + d) % 64 in repeats.COVER and (j + d) % 64 in repeats.COVER for d in range(64)) for i in range(64) for j in range(64))
     base = [letters(500, "abc").encode() for _ in range(3)]
@@ -270,9 +317,9 @@ def plain_hits(docs, bench, window=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 300])
+@pytest.mark.parametrize("block", [1 << 20, 40])
 def test_decontamination(spark, odd, empty, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     words = ["Alpha", "beta", "gämma", "42", "x", "y", "z"]
     rnd = random.Random(2)
     items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 14)))) for k in range(12)] + [(50, None), (None, "alpha beta"), (51, "...")] + [(7, "beta, beta beta! beta beta beta beta beta beta beta beta")]
@@ -327,10 +374,16 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack(odd, path).agg({"length": "sum"}).first()[0] == sum(map(len, ids.values()))
 
 
+def plain_bag(text):
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
+    words = find(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return collections.Counter([text or ""])
+    return collections.Counter(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1)))
+
+
 def plain_classes(rows):
-    data, at = common.raw(pa.array([t or "" for _, t in rows]))
-    row, value = near_duplicates.shingles(data, at)
-    sets = [collections.Counter(value[row == k].tolist()) for k in range(len(rows))]
+    sets = [plain_bag(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
