@@ -605,10 +605,9 @@ def document_classes(spark, sf):
 
     docs = read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("a"), F.concat_ws("/", "lang", F.when(F.col("source") < "src2", "low").otherwise("high")).alias("b"))
     how = features.Features("count", min_df=3, most=5000, binary=True)
-    vectorizer = features.fitted(how, docs, "text")
-    ready = vectorizer.transform(docs)
+    clean = docs.withColumn("_clean", F.coalesce("text", F.lit("")))
+    vectorizer = features.fitted(how, clean, "_clean")
     tree = hierarchy.Tree.fit(docs, ["a", "b"])
-    own = models.fit_levels(ready, tree, "features", "multinomial_nb")
-    again = features.vectorizer(how, "_clean", docs.count()).fit(docs.withColumn("_clean", F.col("text")))
-    bundle = Bundle(own, again, thresholds={"level": {1: 0.5, 2: 0.5}})
+    own = models.fit_levels(vectorizer.transform(clean), tree, "features", "multinomial_nb")
+    bundle = Bundle(own, vectorizer, thresholds={"level": {1: 0.5, 2: 0.5}})
     return rounded(score(docs, bundle, text_col="text").select("doc_id", "predicted_a", "predicted_b", "assigned_depth", "review_reason", "n_tokens", "n_known_tokens"), 4)

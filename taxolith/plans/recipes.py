@@ -12,7 +12,7 @@ from taxolith.functions import tokens as N
 from taxolith.functions import word_lists
 from taxolith.operators import ambiguity, calibration, cleaning, evaluation, features, filters, hierarchy, models, reports, splits, taxonomy, tokens
 from taxolith.plans import crossval
-from taxolith.plans.queries import _BASE, _COUNTS, _DF, _PFOLD, _TF, _TRAIN, HELD, LEVELS, TOKENS, _bound_sql, _nodes, _scored, _softmax_sql, _vectors, key_sql, query, read, rounded
+from taxolith.plans.queries import ORACLES, _BASE, _COUNTS, _DF, _PFOLD, _TF, _TRAIN, HELD, LEVELS, TOKENS, _bound_sql, _nodes, _scored, _softmax_sql, _vectors, key_sql, query, read, rounded
 from taxolith.plans.score import readability, score, score_to
 from taxolith.sources import bundle, io
 from taxolith.streaming import score as streaming
@@ -211,6 +211,9 @@ def description_rules(spark, sf):
     return read(spark, sf, "part").select("p_partkey", recipe.column(F.concat_ws(" ", "p_name", F.lit("1/2X3 10 FT W/ XL"), "p_size")).alias("text"))
 
 
+ORACLES["description_clean"] = f"SELECT p_partkey, array_to_string(list_transform({_CLEAN_TOKENS}, lambda w: CASE WHEN w = 'STEEL' THEN 'STAINLESS STEEL' ELSE w END), ' ') AS text FROM part"
+
+
 _KNOWN_WORD = "CASE WHEN length(split_part(p_name, ' ', 1)) > 2 AND split_part(p_name, ' ', 1) IN ('red', 'blue', 'old', 'small') THEN p_name ELSE trim(substr(p_name, length(split_part(p_name, ' ', 1)) + 1)) END"
 
 
@@ -377,6 +380,46 @@ def gaussian_bayes(spark, sf):
     return rounded(hierarchy.level_argmax(df, tree, probs).select("vec_id", "predicted_l2", F.col("confidence_l2").alias("confidence")), 3)
 
 
+# Linear models on two features, whose matrices SQL can turn over by hand
+_TWO = """WITH v AS (SELECT vec_id, label AS c, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my FROM v),
+k AS (SELECT c, count(*) AS nc, sum(x) AS sx, sum(y) AS sy, avg(x) AS ax, avg(y) AS ay FROM v GROUP BY 1)"""
+_SOFT = " SELECT vec_id, arg_max(c, m)::VARCHAR AS predicted_l2, round(1 / sum(exp(m - t)), 4) AS confidence FROM (SELECT *, max(m) OVER (PARTITION BY vec_id) AS t FROM d) GROUP BY vec_id"
+
+
+def _on_two(spark, sf, fit, **how):
+    rows = _vectors(spark, sf).withColumn("two", F.slice("embedding", 1, 2))
+    tree = hierarchy.Tree.fit(rows, LEVELS)
+    df, probs = models.fit_levels(rows, tree, "two", fit, **how).probabilities(rows, "two")
+    return rounded(hierarchy.level_argmax(df, tree, probs).select("vec_id", "predicted_l2", F.col("confidence_l2").alias("confidence")), 4)
+
+
+@query(_TWO + """, g AS (SELECT sum((x - mx) * (x - mx)) + 1 AS a, sum((x - mx) * (y - my)) AS b, sum((y - my) * (y - my)) + 1 AS e FROM v, n),
+w AS (SELECT c, nc, (e * (sx - nc * mx) - b * (sy - nc * my)) / (a * e - b * b) AS wx, (a * (sy - nc * my) - b * (sx - nc * mx)) / (a * e - b * b) AS wy FROM k, n, g),
+d AS (SELECT vec_id, w.c, wx * x + wy * y + nc / n - (mx * wx + my * wy) AS m FROM v, w, n)""" + _SOFT)
+def ridge_on_two(spark, sf):
+    return _on_two(spark, sf, "ridge")
+
+
+@query(_TWO + """, h AS (SELECT sum((x - ax) * (x - ax)) / any_value(n) AS a0, sum((x - ax) * (y - ay)) / any_value(n) AS b0, sum((y - ay) * (y - ay)) / any_value(n) AS e0 FROM v JOIN k USING (c), n),
+g AS (SELECT 0.8 * a0 + 0.2 * (a0 + e0) / 2 AS a, 0.8 * b0 AS b, 0.8 * e0 + 0.2 * (a0 + e0) / 2 AS e FROM h),
+w AS (SELECT c, nc, ax, ay, (e * ax - b * ay) / (a * e - b * b) AS wx, (a * ay - b * ax) / (a * e - b * b) AS wy FROM k, g),
+d AS (SELECT vec_id, w.c, wx * x + wy * y - 0.5 * (wx * ax + wy * ay) + ln(nc / n) AS m FROM v, w, n)""" + _SOFT)
+def discriminants_on_two(spark, sf):
+    return _on_two(spark, sf, "lda", shrinkage=0.2)
+
+
+@query(_TWO + """, h AS (SELECT sum((x - ax) * (x - ax)) / any_value(n) AS a0, sum((x - ax) * (y - ay)) / any_value(n) AS b0, sum((y - ay) * (y - ay)) / any_value(n) AS e0, sum(((x - ax) * (x - ax) + (y - ay) * (y - ay)) * ((x - ax) * (x - ax) + (y - ay) * (y - ay))) / any_value(n) AS f FROM v JOIN k USING (c), n)
+SELECT round(least(greatest((f - q) / (2 * n), 0), (q - (a0 + e0) * (a0 + e0) / 2) / 2) / ((q - (a0 + e0) * (a0 + e0) / 2) / 2), 5) AS share FROM (SELECT *, a0 * a0 + 2 * b0 * b0 + e0 * e0 AS q FROM h), n""")
+def shrinkage_share(spark, sf):
+    """Ledoit and Wolf's share for the covariance of two features within classes."""
+    rows = _vectors(spark, sf).withColumn("two", F.slice("embedding", 1, 2))
+    rows = hierarchy.Tree.fit(rows, LEVELS).encode(rows)
+    counts, sums, gram, codes = models.moments(rows, "two", "code_l2")
+    cov = (gram - (sums.T / counts) @ sums) / counts.sum()
+    share = models.ledoit_wolf(rows, "two", "code_l2", sums / counts[:, None], codes, cov, counts.sum())
+    return spark.createDataFrame([(round(share, 5),)], "share double")
+
+
 def _with_logits(spark, sf):
     rows = _vectors(spark, sf)
     tree = hierarchy.Tree.fit(rows, LEVELS)
@@ -516,12 +559,7 @@ m AS (SELECT f, c, list(m ORDER BY i) AS m FROM (SELECT g.f::INT AS f, l2 AS c,
 s AS (SELECT vec_id, any_value(fold) AS fold, (any_value(l2) = arg_max(c, list_cosine_similarity(embedding::DOUBLE[], m)))::INT AS ok FROM v JOIN m ON f = fold GROUP BY 1)"""
 
 
-@query(_OOF + " SELECT coalesce(fold::VARCHAR, 'all') AS fold, count(*) AS rows, round(avg(ok), 6) AS accuracy FROM s GROUP BY ROLLUP (fold)")
-def oof_by_fold(spark, sf):
-    rows = splits.id_hash_fold(_vectors(spark, sf), "vec_id", out="f")
-    oof = crossval.out_of_fold(rows, "vec_id", "embedding", LEVELS, 5, fold="f")
-    scored = hierarchy.level_argmax(oof, hierarchy.Tree.fit(rows, LEVELS), ["p_l1", "p_l2"])
-    return rounded(evaluation.by_fold(scored, evaluation.right("l2", "predicted_l2")))
+ORACLES["oof_accuracy"] = _OOF + " SELECT coalesce(fold::VARCHAR, 'all') AS fold, count(*) AS rows, round(avg(ok), 6) AS accuracy FROM s GROUP BY ROLLUP (fold)"
 
 
 @query(_OOF + " SELECT fold, true AS done, count(*) AS rows, 64 AS features, (SELECT count(DISTINCT label) FROM embeddings)::INT AS paths FROM s GROUP BY 1")
@@ -553,3 +591,22 @@ def recipe_by_fold(spark, sf):
     how = features.Features("count", min_df=3, max_df=1.0, most=None)
     crossval.run_recipe(spark, docs, path, "doc_id", "text", ["lang"], how)
     return rounded(crossval.status(spark, path, 5).select("fold", "rows", "accuracy", "features"), 2)
+
+
+@query(f"""WITH r AS (SELECT doc_id, lang, unnest({TOKENS}) AS token FROM documents), k AS (SELECT token FROM r GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+c AS (SELECT lang, token, count(*) AS c FROM r SEMI JOIN k USING (token) GROUP BY 1, 2), v AS (SELECT count(*) AS v FROM k),
+b AS (SELECT n.lang, ln(n + 1.0) - ln(sum(n) OVER () + count(*) OVER ()) AS prior, -ln(coalesce(total, 0) + v) AS low FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) n LEFT JOIN (SELECT lang, sum(c) AS total FROM c GROUP BY 1) t USING (lang), v),
+h AS (SELECT doc_id, token, count(*) AS tf FROM r SEMI JOIN k USING (token) GROUP BY 1, 2), known AS (SELECT doc_id, sum(tf) AS n FROM h GROUP BY 1),
+l AS (SELECT h.doc_id, b.lang, sum(tf * (ln(coalesce(c, 0) + 1.0) + low)) AS ll FROM h CROSS JOIN b LEFT JOIN c ON c.lang = b.lang AND c.token = h.token GROUP BY 1, 2),
+s AS (SELECT d.doc_id, b.lang, coalesce(ll, 0) + prior AS s FROM documents d CROSS JOIN b LEFT JOIN l ON l.doc_id = d.doc_id AND l.lang = b.lang),
+p AS (SELECT doc_id, arg_max(lang, s) AS guess, 1 / sum(exp(s - m)) AS sure FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM s) GROUP BY 1)
+SELECT doc_id, guess AS predicted_lang, len({TOKENS})::INT AS n_tokens, coalesce(known.n, 0)::INT AS n_known_tokens, CASE WHEN coalesce(known.n, 0) < 2 THEN 'unreadable' WHEN sure < 0.6 THEN 'below threshold' ELSE '' END AS review_reason
+FROM documents JOIN p USING (doc_id) LEFT JOIN known USING (doc_id)""")
+def scored_documents(spark, sf):
+    """Texts from end to end: vectorized, readable or not, classified by naive Bayes, marked for review and why."""
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    clean = docs.withColumn("_clean", F.coalesce("text", F.lit("")))
+    vectorizer = features.fitted(features.Features("count", min_df=3, max_df=1.0, most=None), clean, "_clean")
+    tree = hierarchy.Tree.fit(docs, ["lang"])
+    own = models.fit_levels(vectorizer.transform(clean), tree, "features", "multinomial_nb")
+    return score(docs, bundle.Bundle(own, vectorizer), text_col="text", least_known=2).select("doc_id", "predicted_lang", "n_tokens", "n_known_tokens", "review_reason")
