@@ -217,3 +217,81 @@ def test_word_lists_are_read_whole(spark, tmp_path):
     (tmp_path / "long.csv").write_text("term\n" + "\n".join(f"w{k}" for k in range(1_000_005)))
     (tmp_path / "bare.csv").write_text("term")
     assert [(r["list"], r["count"]) for r in io.read_words(spark, str(tmp_path)).groupBy("list").count().collect()] == [("long", 1_000_005)]
+
+
+def test_training_and_scoring_clean_alike(spark):
+    words = spark.createDataFrame([("hose",), ("bolt",), ("glove",)], "word string")
+    rows = spark.createDataFrame([(1, "X1234 HOSE 10FT", "v1", "a"), (2, "BOLT HEX 3IN", "v2", "b"), (3, "GLOVE", None, "a"), (4, None, "v1", "b"), (5, "Z9", "v1", "a")], "id long, text string, vendor string, l string")
+    cleaner, markers = cleaning.Cleaner(expansions={"HEX": "HEXAGON"}), {"vendor": {"prefix": "VND_"}}
+    trained = cleaning.cleaned(rows, "text", cleaner, words, markers)
+    vectorizer = features.fitted(features.Features("count", min_df=1, max_df=1.0), trained.withColumn("_clean", F.col("text")), "_clean")
+    own = models.fit_levels(vectorizer.transform(trained.withColumn("_clean", F.col("text"))), hierarchy.Tree.fit(rows, ["l"]), "features", "multinomial_nb")
+    b = bundle.Bundle(own, vectorizer, cleaner.record(), tables={"vocabulary": words})
+    scored = score(rows, b, text_col="text", markers=markers)
+    want = {r.id: len(N_TOKEN(r.text)) for r in trained.collect()}
+    assert {r.id: r.n_tokens for r in scored.collect()} == want and want[1] == 2  # HOSE and the marker: the leading code and the size are gone
+    assert all(r.n_tokens == r.n_known_tokens for r in scored.collect())
+    assert {r.id: r.text for r in trained.collect()}[5] == "VND_v1"  # a code alone leaves nothing but the marker
+
+
+def N_TOKEN(text):
+    return [w for w in re.findall(r"\w{2,}", text.lower())]
+
+
+def test_known_tokens_count_each_time(spark):
+    df = spark.createDataFrame([(1, "ab ab cd zz"), (2, "zz"), (3, None), (4, "ab cd")], "id long, t string")
+    for how in (features.Features("count", 1, 2, min_df=2, max_df=1.0, most=None, binary=True), features.Features("count", 1, 1, min_df=2, max_df=1.0, most=None)):
+        words = features.fitted(how, df, "t").stages[-1].vocabulary
+        got = {r.id: (r.n_tokens, r.n_known_tokens, r.known_share) for r in readability(df, "t", words).collect()}
+        assert got == {1: (4, 4, 1.0), 2: (1, 1, 1.0), 3: (0, 0, 0.0), 4: (2, 2, 1.0)}
+    assert readability(df, "t", []).agg({"n_known_tokens": "sum"}).first()[0] == 0
+
+
+def test_vectors_have_the_features_that_are_counted(spark):
+    df = spark.createDataFrame([(1, "b a c the"), (2, "aa bb the aa bb"), (3, "bb aa dd")], "id long, t string")
+    for how in (features.Features("count", 1, 2, min_df=1, max_df=1.0, most=None, fold=True, stop_words=("the",)), features.Features("count", 2, 3, min_df=1, max_df=1.0, most=None)):
+        chosen = {r.feature for r in features.fit_transform(df, [], "id", "t", how)[2].collect()}
+        assert set(features.fitted(how, df, "t").stages[-1].vocabulary) == chosen
+
+
+def test_own_models_logits_and_history(spark, vectors):
+    tree = hierarchy.Tree.fit(vectors, queries.LEVELS)
+    models.register("halved", lambda df, f, c, n: models.fit_centroids(df, f, c, n, temperature=0.2), "one aggregation")
+    for name in ("halved", "logistic"):
+        own = models.fit_levels(vectors, tree, "embedding", name)
+        df, probs = own.probabilities(vectors, "embedding", logits=True)
+        gap = df.select(F.array_max(F.zip_with(A.softmax(F.col("logits_l2")), probs[1], lambda a, b: F.abs(a - b))).alias("g")).agg(F.max("g")).first()[0]
+        assert gap < 1e-9
+    steps = models.history(own, spark).collect()
+    for level in ("l1", "l2"):
+        own = [r.objective for r in sorted(steps, key=lambda r: r.step) if r.level == level]
+        assert len(own) > 1 and own[0] > own[-1]
+
+
+def test_ranks_within_classes(spark):
+    df = spark.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 50 == 1, None).otherwise("b").alias("l"))
+    got = splits.ranked(df, "l", "k", 0).collect()
+    for label in ("a", "b", None):
+        own = [r for r in got if r.l == label]
+        assert sorted(r._rank for r in own) == list(range(1, len(own) + 1)) and {r._size for r in own} == {len(own)}
+    assert [r.k for r in splits.ranked(df, "l", "k", 0, bits=2).orderBy("l", "_rank").collect()] == [r.k for r in splits.ranked(df, "l", "k", 0).orderBy("l", "_rank").collect()]
+
+
+def test_recipe_refuses_another_run_and_goes_on(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    path, how = str(tmp_path / "run"), features.Features("count", min_df=2, max_df=1.0, most=None)
+    bad = docs.where("doc_id < 10").selectExpr("doc_id AS id")
+    crossval.run_recipe(spark, docs, path, "doc_id", "text", ["lang"], how, k=2, only=[1], blacklist=bad, min_count=2)
+    with pytest.raises(ValueError, match="another run"):
+        crossval.run_recipe(spark, docs, path, "doc_id", "text", ["lang"], how, k=2, blacklist=bad, min_count=3)
+    crossval.run_recipe(spark, docs, path, "doc_id", "text", ["lang"], how, k=2, blacklist=bad, min_count=2)
+    done = crossval.collect_folds(spark, path, 2)
+    assert done.count() == docs.count() and evaluation.path_accuracy(done, ["lang"]).first().accuracy > 0.9
+    train_all, _, _ = crossval.recipe_fold(splits.id_hash_fold(docs, "doc_id", 2), 0, "doc_id", "text", ["lang"], how, blacklist=bad, scope="all")
+    assert train_all.join(bad, train_all.doc_id == bad.id).count() == 0
+    lone = docs.withColumn("lang", F.when(F.col("doc_id") == 3, "xx").otherwise(F.col("lang")))
+    fold = splits.id_hash_fold(lone, "doc_id", 2)
+    held = fold.where("doc_id = 3").first().fold
+    kept, _, _ = crossval.recipe_fold(fold, held, "doc_id", "text", ["lang"], how)
+    gone, _, _ = crossval.recipe_fold(fold, held, "doc_id", "text", ["lang"], how, keep_unwinnable=False)
+    assert kept.where("not winnable").count() == 1 and kept.count() == gone.count() + 1
