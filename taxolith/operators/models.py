@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,63 @@ def fit_ridge(df: DataFrame, features: str, code: str, n: int, alpha: float = 1.
     return Linear(tuple(map(tuple, w.T.tolist())), tuple((share - mean @ w).tolist()), temperature)
 
 
+@dataclass(frozen=True)
+class PlattMargins:
+    """One-vs-rest margins of several fits, each through its own logistic curves; their mean, made to sum to 1."""
+
+    fits: tuple[tuple[tuple[tuple[float, ...], ...], tuple[float, ...], tuple[float, ...], tuple[float, ...]], ...]  # weights, bias, slopes, intercepts
+
+    def probabilities(self, features: str) -> Column:
+        def shares(fit: tuple) -> Column:
+            weights, bias, slopes, intercepts = fit
+            curve = lambda m: F.transform(m, lambda x, i: 1 / (1 + F.exp(-(x * F.get(F.lit(list(slopes)), i) + F.get(F.lit(list(intercepts)), i)))))
+            return A.bind(Linear(weights, bias).margins(features), curve)
+
+        sums = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(shares, self.fits))
+        return A.bind(sums, lambda s: A.bind(F.greatest(A.total(s), F.lit(A.FLOOR)), lambda t: F.transform(s, lambda x: x / t)))
+
+
+def fit_svc(df: DataFrame, features: str, code: str, n: int, folds: int = 3, regularisation: float = 1e-3) -> PlattMargins:
+    """Linear support vectors, one class against the rest; in each fold, dealt by a hash of the features, curves are fitted
+    to the margins of rows that the fit has not seen."""
+    rows = df.where(F.col(code) >= 0).select(F.transform(features, lambda v: v.cast("double")).alias("_x"), F.col(code).cast("int").alias("_y"))
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("_x"), F.lit(folds)))
+    fits = []
+    for f in range(folds):
+        train = rows.where(F.col("_fold") != f).select(array_to_vector("_x").alias(VECTOR), F.col("_y").cast("double").alias("label"))
+        model = OneVsRest(classifier=LinearSVC(maxIter=30, regParam=regularisation), featuresCol=VECTOR).fit(train)
+        own = [(tuple(map(float, m.coefficients.toArray())), float(m.intercept)) for m in model.models]
+        width = len(own[0][0])
+        own += [((0.0,) * width, -60.0)] * (n - len(own))
+        weights, bias = tuple(w for w, _ in own), tuple(b for _, b in own)
+        held = rows.where(F.col("_fold") == f).select(Linear(weights, bias).margins("_x").alias("m"), "_y")
+        fits.append((weights, bias, *platt_curves(held, "m", "_y", n)))
+    return PlattMargins(tuple(fits))
+
+
+def platt_curves(df: DataFrame, margins: str, code: str, n: int, steps: int = 8) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Slopes and intercepts of the classes' logistic curves from margins, by Newton steps for all classes at once: each is
+    one aggregation. Targets are drawn in by Platt's rule, so classes that margins part fully have finite curves."""
+    cells = df.select(F.posexplode(margins).alias("k", "x"), F.col(code).alias("c")).select("k", "x", (F.col("k") == F.col("c")).cast("double").alias("hit"))
+    counts = {r.k: (r.p, r.n - r.p) for r in cells.groupBy("k").agg(F.sum("hit").alias("p"), F.count("*").alias("n")).collect()}  # one row a class
+    high = [(counts.get(k, (0, 0))[0] + 1) / (counts.get(k, (0, 0))[0] + 2) for k in range(n)]
+    low = [1 / (counts.get(k, (0, 0))[1] + 2) for k in range(n)]
+    a, b = [1.0] * n, [0.0] * n
+    for _ in range(steps):
+        at = lambda values: F.get(F.lit(values), F.col("k"))
+        p = 1 / (1 + F.exp(-(F.col("x") * at(a) + at(b))))
+        target = F.when(F.col("hit") == 1, at(high)).otherwise(at(low))
+        own = cells.select("k", "x", (target - p).alias("g"), F.greatest(p * (1 - p), F.lit(1e-12)).alias("h"))
+        sums = own.groupBy("k").agg(F.sum(F.col("g") * F.col("x")).alias("ga"), F.sum("g").alias("gb"), F.sum(F.col("h") * F.col("x") * F.col("x")).alias("haa"), F.sum(F.col("h") * F.col("x")).alias("hab"), F.sum("h").alias("hbb"))
+        for r in sums.collect():
+            haa, hbb = r.haa + 1e-6, r.hbb + 1e-6
+            d = haa * hbb - r.hab * r.hab
+            da, db = (hbb * r.ga - r.hab * r.gb) / d, (haa * r.gb - r.hab * r.ga) / d
+            scale = min(1.0, 4.0 / max(abs(da), abs(db), 1e-12))
+            a[r.k], b[r.k] = a[r.k] + scale * da, b[r.k] + scale * db
+    return tuple(a), tuple(b)
+
+
 def _mllib(make: Callable[[], object]) -> Callable:
     def fit(df: DataFrame, features: str, code: str, n: int) -> Model:
         kind = dict(df.dtypes)[features]
@@ -197,7 +255,7 @@ REGISTRY: dict[str, tuple[Callable, str]] = {
     "bernoulli_nb": (_mllib(lambda: NaiveBayes(modelType="bernoulli")), "one aggregation, sparse, binary features"),
     "logistic": (_mllib(lambda: LogisticRegression(family="multinomial", maxIter=50, regParam=1e-4)), "iterations; classes x features weights"),
     "logistic_one_vs_rest": (_mllib(lambda: OneVsRest(classifier=LogisticRegression(maxIter=50, regParam=1e-4))), "a fit a class"),
-    "linear_svc": (_mllib(lambda: OneVsRest(classifier=LinearSVC(maxIter=30, regParam=1e-3))), "a fit a class"),
+    "linear_svc": (fit_svc, "three fits a class, curves by aggregations"),
     "perceptron": (_perceptron, "iterations over dense vectors"),
 }
 

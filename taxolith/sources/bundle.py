@@ -9,9 +9,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from taxolith.operators.hierarchy import Tree
-from taxolith.operators.models import Centroids, LevelModels, Linear
+from taxolith.operators.models import Centroids, LevelModels, Linear, PlattMargins
 
-CLOSED = {"Linear": Linear, "Centroids": Centroids}
+CLOSED = {"Linear": Linear, "Centroids": Centroids, "PlattMargins": PlattMargins}
+
+
+def _tuples(x: object) -> object:
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -75,7 +79,7 @@ def load(spark: SparkSession, path: str, stamp: Mapping | None = None) -> Bundle
     for k, kind in enumerate(m["models"]):
         if kind in CLOSED:
             record = json.loads(read_text(spark, f"{path}/model_{k}.json"))
-            models.append(CLOSED[kind](**{n: tuple(map(tuple, v)) if n in ("weights", "means") else tuple(v) if isinstance(v, list) else v for n, v in record.items()}))
+            models.append(CLOSED[kind](**{n: _tuples(v) for n, v in record.items()}))
         else:
             models.append(getattr(importlib.import_module("pyspark.ml.classification"), kind).load(f"{path}/model_{k}"))
     vectorizer = importlib.import_module("pyspark.ml").PipelineModel.load(f"{path}/vectorizer") if m["vectorizer"] else None
