@@ -152,7 +152,7 @@ def token_report(spark, sf):
 
 
 _TRAIN = f"SELECT doc_id, lang, text, {HELD} AS fold FROM documents"
-_INDEX = f"SELECT token, df, (row_number() OVER (ORDER BY df DESC, token) + 1)::INT AS index FROM (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS token FROM ({_TRAIN}) WHERE fold <> 0) GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, token LIMIT 2000)"
+_INDEX = f"SELECT token, df, (row_number() OVER (ORDER BY df DESC, token) + 1)::INT AS index FROM (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS token FROM ({_TRAIN}) WHERE fold <> 0) GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, token LIMIT 16000)"
 
 
 def _by_fold(spark, sf):
@@ -162,40 +162,43 @@ def _by_fold(spark, sf):
 
 @query(_INDEX)
 def vocabulary(spark, sf):
-    return tokens.token_index(_by_fold(spark, sf)[0], "text", most=2000)
+    return tokens.token_index(_by_fold(spark, sf)[0], "text")
 
 
-@query(f"""WITH v AS ({_INDEX}), h AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS p FROM ({_TRAIN}) WHERE fold = 0),
+@query(f"""WITH v AS ({_INDEX}), h AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS p FROM documents),
 e AS (SELECT doc_id, string_agg(index::VARCHAR, ' ' ORDER BY p) AS ids FROM h JOIN v USING (token) GROUP BY 1)
-SELECT doc_id, coalesce(ids, '1') AS ids FROM ({_TRAIN}) LEFT JOIN e USING (doc_id) WHERE fold = 0""")
+SELECT doc_id, coalesce(ids, '1') AS ids FROM documents LEFT JOIN e USING (doc_id)""")
 def encoded_texts(spark, sf):
+    """All splits by the training rows' vocabulary."""
     train, held = _by_fold(spark, sf)
-    ids = tokens.encoded(held, "doc_id", "text", tokens.token_index(train, "text", most=2000))
+    ids = tokens.encoded(train.unionByName(held), "doc_id", "text", tokens.token_index(train, "text"))
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query(f"WITH v AS ({_INDEX}) SELECT round(avg(CASE WHEN v.token IS NULL THEN 1 ELSE 0 END), 6) AS oov_rate FROM (SELECT unnest({TOKENS}) AS token FROM ({_TRAIN}) WHERE fold = 0) h LEFT JOIN v USING (token)")
 def oov(spark, sf):
     train, held = _by_fold(spark, sf)
-    return rounded(tokens.oov_rate(held, "text", tokens.token_index(train, "text", most=2000)))
+    return rounded(tokens.oov_rate(held, "text", tokens.token_index(train, "text")))
 
 
 @query(f"""WITH c AS (SELECT token FROM (SELECT unnest(list_distinct({TOKENS})) AS token FROM ({_TRAIN}) WHERE fold <> 0) GROUP BY 1 HAVING count(*) >= 5),
-h AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS p FROM ({_TRAIN}) WHERE fold = 0)
-SELECT doc_id, coalesce(k, '') AS text FROM ({_TRAIN}) LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY p) AS k FROM h SEMI JOIN c USING (token) GROUP BY 1) USING (doc_id) WHERE fold = 0""")
+h AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS p FROM documents)
+SELECT doc_id, coalesce(k, '') AS text FROM documents LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY p) AS k FROM h SEMI JOIN c USING (token) GROUP BY 1) USING (doc_id)""")
 def pruned_texts(spark, sf):
+    """All splits pruned by the training rows' counts."""
     train, held = _by_fold(spark, sf)
-    return tokens.drop_rare_tokens(train, [held], "doc_id", "text", 5)[1][0].select("doc_id", "text")
+    train, (held,), _ = tokens.drop_rare_tokens(train, [held], "doc_id", "text", 5)
+    return train.unionByName(held).select("doc_id", "text")
 
 
 _TF = f"(SELECT doc_id, feature, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS feature FROM documents) GROUP BY 1, 2)"
-_DF = f"(SELECT feature, count(*) AS df, sum(tf) AS total FROM {_TF} GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, feature LIMIT 3000)"
+_DF = f"(SELECT feature, count(*) AS df, sum(tf) AS total FROM {_TF} GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, feature LIMIT 16000)"
 _WEIGHT = f"(SELECT doc_id, feature, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM {_TF} JOIN {_DF} USING (feature))"
 
 
 @query(f"SELECT doc_id, feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM {_WEIGHT}")
 def tfidf(spark, sf):
-    return rounded(features.fit_transform(read(spark, sf, "documents"), [], "doc_id", "text", features.Features(most=3000))[0])
+    return rounded(features.fit_transform(read(spark, sf, "documents"), [], "doc_id", "text", features.Features())[0])
 
 
 _FOLD = f"(SELECT doc_id, CASE WHEN contains(x, ' ') THEN array_to_string(list_sort(string_split(x, ' ')), ' ') ELSE x END AS feature FROM (SELECT doc_id, unnest(g) AS x FROM {_GRAMS}))"

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from taxolith.functions import arrays as A
 from taxolith.functions import text as T
-from taxolith.functions import tokens as N
 from taxolith.functions import word_lists
 from taxolith.operators import ambiguity, calibration, cleaning, evaluation, features, filters, hierarchy, models, reports, splits, taxonomy, tokens
 from taxolith.plans import crossval
-from taxolith.plans.queries import ORACLES, _BASE, _COUNTS, _DF, _PFOLD, _TF, _TRAIN, HELD, LEVELS, TOKENS, _bound_sql, _nodes, _scored, _softmax_sql, _vectors, key_sql, query, read, rounded
+from taxolith.plans.queries import ORACLES, _BASE, _COUNTS, _DF, _INDEX, _TF, HELD, LEVELS, TOKENS, _bound_sql, _nodes, _scored, _softmax_sql, _vectors, key_sql, query, read, rounded
 from taxolith.plans.score import readability, score, score_to
 from taxolith.sources import bundle, io
 from taxolith.streaming import score as streaming
@@ -276,7 +275,7 @@ def marker_rows(spark, sf):
 
 @query(f"SELECT feature, round(sum(tf)::DOUBLE, 6) AS value FROM {_TF} SEMI JOIN {_DF} USING (feature) GROUP BY 1")
 def feature_totals(spark, sf):
-    how = features.Features("count", most=3000)
+    how = features.Features("count")
     return rounded(features.feature_weights(features.fit_transform(read(spark, sf, "documents"), [], "doc_id", "text", how)[0], "weight"))
 
 
@@ -290,10 +289,7 @@ def standardised_vectors(spark, sf):
 
 
 _TOKEN_VECTOR = "(ascii(substr(token, 1, 1)) % 17) / 17.0 - 0.5"
-_SMALL_INDEX = f"SELECT token, df, (row_number() OVER (ORDER BY df DESC, token) + 1)::INT AS index FROM (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS token FROM ({_TRAIN}) WHERE fold <> 0) GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, token LIMIT 16000)"
-
-
-@query(f"WITH v AS ({_SMALL_INDEX}) SELECT index, token, length(token) <= 6 AS hit, CASE WHEN length(token) <= 6 THEN round({_TOKEN_VECTOR}, 6) END AS first FROM v UNION ALL SELECT 0, NULL, false, NULL")
+@query(f"WITH v AS ({_INDEX}) SELECT index, token, length(token) <= 6 AS hit, CASE WHEN length(token) <= 6 THEN round({_TOKEN_VECTOR}, 6) END AS first FROM v UNION ALL SELECT 0, NULL, false, NULL")
 def embedding_rows(spark, sf):
     docs = splits.id_hash_fold(read(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
     index = tokens.token_index(docs.where("fold <> 0"), "text")
@@ -302,7 +298,7 @@ def embedding_rows(spark, sf):
     return out.select("index", "token", "hit", F.when(F.col("hit"), F.round(F.get("vector", 0), 6)).alias("first"))
 
 
-@query(f"WITH v AS ({_SMALL_INDEX}) SELECT round(avg((length(token) <= 6)::INT), 6) AS hit_rate, count(*) AS tokens FROM v")
+@query(f"WITH v AS ({_INDEX}) SELECT round(avg((length(token) <= 6)::INT), 6) AS hit_rate, count(*) AS tokens FROM v")
 def embedding_hits(spark, sf):
     docs = splits.id_hash_fold(read(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
     index = tokens.token_index(docs.where("fold <> 0"), "text")
