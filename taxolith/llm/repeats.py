@@ -10,9 +10,16 @@ Which `LENGTH`-byte strings start more than once is decided in three steps, none
 3. A task concatenates slices up to `BLOCK` bytes, ranks the suffixes at difference-cover positions (by doubling, up
    to more than LENGTH bytes), sorts the starts' suffixes by their first `PERIOD` bytes, and resolves the ties bucket by
    bucket with the ranks at the offset where both suffixes are in the cover. Neighbours in that order are compared byte
-   by byte. Memory is bounded by the block. A group of more than `HOT` slices is counted string by string instead.
+   by byte. Memory is bounded by the block: a bucket that is larger than a block is refined before it is dealt, down to
+   buckets of one string of LENGTH bytes, whose members need no order, only a count that tasks sum before it moves.
 
-The results are a function of the text, so they are worked out once for each distinct text.
+No step gathers the rows of one key in one task: a key's rows meet its count by `common.spread_join`.
+
+Beside what is removed, `passage_words` tells how many of a document's words lie in passages of `PASSAGE` words (op6's
+words) that another document has too; these may have fewer than LENGTH bytes. Runs of word windows are found in the same
+way, and windows of runs that are not shared as a whole are counted one by one, by 64-bit hashes.
+
+The results are a function of the text and its number of copies, so they are worked out once for each distinct text.
 
 Defined cases: null and empty texts, and texts shorter than LENGTH, keep all bytes; copies of a text of LENGTH bytes or
 more lose all of them; repeated rows are copies; overlapping repeats in one text count; an empty table gives no rows;
@@ -30,14 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolith.llm import common
-from taxolith.llm.near_duplicates import bitmap, maybe_in
+from taxolith.llm.decontamination import words
+from taxolith.llm.near_duplicates import bitmap, maybe_in, one_value, value_bitmap
 
 LENGTH = 400
 MER = 24
 STEP = 64
 PERIOD = 64
 BLOCK = 1 << 20
-HOT = 20_000
+#: Words of a passage that is reported when another document has it too, and of the k-mers that its runs go by.
+PASSAGE = 51
+PASSAGE_MER = 12
 ROOT = 8  # the square root of PERIOD
 COVER = np.array(sorted({*range(ROOT), *(k % PERIOD for k in range(ROOT, PERIOD, ROOT))}))
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -229,8 +239,8 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of hot groups -> every string of theirs by its hash."""
-    for batch in common.chunks(batches, "piece", 1 << 20):
+    """Slices of buckets that are larger than a block -> every string of theirs by two hashes."""
+    for batch in common.chunks(batches, "piece"):
         data, at = common.raw(batch.column("piece"))
         starts = np.diff(at) - LENGTH + 1
         owner = np.repeat(np.arange(len(starts)), starts)
@@ -238,7 +248,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = at[owner] + offset
         one, two = (common.SpanHash(data, seed).of(p, p + LENGTH).view(np.int64) for seed in (1, 2))
         text, low = batch.column("text").to_numpy(), batch.column("low").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(text[owner]), pa.array((low[owner] + offset).astype(np.int32))], ["one", "two", "text", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(text[owner]), pa.array((low[owner] + offset).astype(np.int32))], ["string", "check", "text", "s"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,41 +278,136 @@ def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, "k").drop("k")
 
 
+def word_runs(data: np.ndarray, at: np.ndarray, length: int = PASSAGE, mer: int = PASSAGE_MER) -> tuple[np.ndarray, ...]:
+    """As runs(), over words: key, ctx, row, first start, last start (numbers of words), the words' hash sums, and words by row."""
+    _, _, row, code = words(data, at)
+    n = len(code)
+    count = np.bincount(row, minlength=len(at) - 1)
+    base = np.concatenate([[0], np.cumsum(count)])
+    spans = common.SpanHash.of_codes(code)
+    mers = spans.of(np.arange(max(n - mer + 1, 0)), np.arange(max(n - mer + 1, 0)) + mer)
+    place = np.arange(len(mers), dtype=np.uint64)
+    anchor = (sliding_least((mers & np.uint64(0xFFFFFFFF00000000)) | place, length - mer + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    fits = np.maximum(count - length + 1, 0)
+    owner = np.repeat(np.arange(len(count)), fits)
+    start = np.arange(len(owner)) + np.repeat(base[:-1] - (np.cumsum(fits) - fits), fits)
+    own = anchor[start]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(owner) != 0)])) if len(owner) else np.zeros(0, np.int64)
+    last = start[np.append(new[1:], len(owner)) - 1] if len(owner) else new
+    first, own = start[new], own[new]
+    ctx = common.mixed(spans.of(first, last + length) + (own - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mers[own].view(np.int64), ctx.view(np.int64), owner[new], first, last, spans, count
+
+
+def slot_in(bits: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Whether the values' slot is set in a bitmap of near_duplicates.value_bitmap."""
+    slot = (one_value(*values) & np.uint64(len(bits) * 64 - 1)).astype(np.int64)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def passage_words(docs: DataFrame, readers: DataFrame) -> DataFrame:
+    """text, n, words: for every distinct text the number of its words, and how many of them lie in a passage of PASSAGE
+    words that another, different text has too. Windows of one run that is shared as a whole count as one.
+
+    docs has k and text, readers the row k that stands for each distinct text. The runs' hashes are counted first; two
+    bitmaps of them let a second pass send on only what may be shared."""
+    chosen = value_bitmap(readers, "text", "k")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Of every slice the texts that stand for themselves: their hashes, and their runs of word windows."""
+        for batch in common.chunks(batches, "text"):
+            data, at = common.raw(batch.column("text"))
+            text = common.SpanHash(data).of(at[:-1], at[1:]).view(np.int64)
+            own = slot_in(chosen, text, batch.column("k").to_numpy())
+            if own.any():
+                yield text[own], word_runs(*common.raw(batch.column("text").filter(pa.array(own))))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, key, ctx) of every run, and a row (text, n) for each text."""
+        for text, (key, ctx, row, *_, count) in each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(text[row]), pa.array(key), pa.array(ctx), pa.nulls(len(row), pa.int64())], ["text", "key", "ctx", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(text), *(pa.nulls(len(text), pa.int64()) for _ in "ab"), pa.array(count.astype(np.int64))], ["text", "key", "ctx", "n"])
+
+    docs = docs.select("k", "text")
+    runs_ = common.written(common.mapped(docs, first, "text long, key long, ctx long, n long"), "passages")
+    rows = runs_.where("key is not null")
+    shared = rows.groupBy("ctx").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("ctx")
+    mixed = rows.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").select("key")
+    whole, parts = value_bitmap(shared, "ctx"), value_bitmap(mixed, "key")
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, (key, ctx, row, start, last, spans, count) in each(batches):
+            base = (np.cumsum(count) - count)[row]
+            split = slot_in(parts, key)
+            one = np.flatnonzero(~split & slot_in(whole, ctx))
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[one]), pa.array(text[row[one]]), *(pa.array(x[one].astype(np.int32)) for x in (start - base, last - base))], ["h", "text", "s", "e"])
+            many = np.flatnonzero(split)
+            size = last[many] - start[many] + 1
+            owner = np.repeat(many, size)
+            at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            h = spans.of(at, at + PASSAGE).view(np.int64)
+            place = pa.array((at - base[owner]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(text[row[owner]]), place, place], ["h", "text", "s", "e"])
+
+    found = common.written(common.mapped(docs, second, "h long, text long, s int, e int"), "windows")
+    again = found.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("h")
+    hit = maybe_in(found, "h", bitmap(again, "h")).join(again, "h")  # a hot window's rows are split by Spark's skew join
+    covered = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("s", "e"))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        lambda a, x: F.struct((a["n"] + x["e"] + PASSAGE - F.least(x["e"] + PASSAGE, F.greatest(a["to"], x["s"]))).alias("n"), F.greatest(a["to"], x["e"] + PASSAGE).alias("to")), lambda a: a["n"],
+    )
+    hit = hit.groupBy("text").agg(covered.cast("long").alias("words"))
+    sizes = runs_.where("n is not null").select("text", "n").distinct()
+    return sizes.join(hit, "text", "left").select("text", "n", F.coalesce("words", F.lit(0).cast("long")).alias("words"))
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (byte ranges), kept (SHA-256 of the rest) of every row."""
+    """doc_id, n_bytes, n_removed, spans (byte ranges), kept (SHA-256 of the rest), passage_words of every row."""
     docs = common.documents(docs, id_col, text_col)
     docs = docs.withColumn("k", F.coalesce("doc_id", F.xxhash64("text")))
-    found = common.written(docs.mapInArrow(_runs, RUNS), "runs")
+    found = common.written(common.mapped(docs, _runs, RUNS), "runs")
     rows = found.where("key is not null").select("text", "key", "ctx", "s", "e", "a")
-    texts = found.where("key is null").select("text", "k", "doc_id", "n_bytes", "sha")
+    texts = common.written(found.where("key is null").select("text", "k", "doc_id", "n_bytes", "sha"), "texts")
     reader = texts.groupBy("text").agg(F.min("k").alias("k"))
 
-    stretches = rows.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("text", "s", "e", "a")).alias("r"))
-    stretches = common.written(stretches, "stretches")
-    copied = stretches.where("n > 1").select("key", "ctx")
-    settled = rows.join(copied, ["key", "ctx"]).select("text", "s", "e")
-    mixed = stretches.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    open_ = stretches.join(mixed, "key").groupBy("r.text").agg(F.collect_list(F.struct("key", "r.s", "r.e", "r.a")).alias("runs"))
-    pieces = fetched(docs, open_.join(reader, "text")).select("text", "body", "runs").mapInArrow(_slices, "g long, text long, low int, piece binary")
+    # a stretch's hash, ctx, is over its text and the place of its k-mer, and so stands for the key too
+    stretches = rows.groupBy("ctx").agg(F.count("*").alias("n"), F.min(F.struct("text", "key", "s", "e", "a")).alias("r"))
+    stretches = common.written(stretches.select("ctx", "n", "r.*"), "stretches")
+    copied = stretches.where("n > 1").select("ctx", "n")
+    settled = maybe_in(rows.select("text", "ctx", "s", "e"), "ctx", bitmap(copied, "ctx"))
+    settled = common.written(common.spread_join(settled, copied, "ctx", "text").where("n > 1").select("text", "s", "e").distinct(), "settled")
+    common.discard(found)
+
+    mixed = stretches.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    open_ = common.spread_join(maybe_in(stretches.drop("n"), "key", bitmap(mixed, "key")), mixed, "key", "ctx").where("m > 1")
+    open_ = open_.groupBy("text").agg(F.collect_list(F.struct("key", "s", "e", "a")).alias("runs"))
+    pieces = common.mapped(fetched(docs, open_.join(reader, "text")).select("text", "body", "runs"), _slices, "g long, text long, low int, piece binary")
     pieces = common.written(pieces, "slices")
-    groups = pieces.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    pieces = pieces.join(groups, "g")
-    sorted_ = pieces.where(F.col("m") <= HOT).select("g", "text", "low", "piece").repartition("g").sortWithinPartitions("g")
-    partly = sorted_.mapInArrow(_flagged, "text long, s int, e int")
-    strings = common.written(pieces.where(F.col("m") > HOT).select("text", "low", "piece").mapInArrow(_strings, "one long, two long, text long, s int"), "strings")
-    often = strings.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    single = strings.join(often, ["one", "two"]).select("text", "s", F.col("s").alias("e"))
+    common.discard(stretches)
+    groups = common.written(pieces.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.octet_length("piece")).alias("size")).where("m > 1").select("g", "size"), "groups")
+    small, large = groups.where(F.col("size") <= BLOCK), groups.where(F.col("size") > BLOCK)
+    fitting = maybe_in(pieces, "g", bitmap(small, "g")).join(small, "g").select("g", "text", "low", "piece").repartition("g").sortWithinPartitions("g")
+    partly = common.mapped(fitting, _flagged, "text long, s int, e int")
+    refined = common.spread_join(maybe_in(pieces, "g", bitmap(large, "g")), large, "g", "text").where("size is not null")
+    strings = common.mapped(refined.select("text", "low", "piece"), _strings, "string long, check long, text long, s int")
+    strings = common.written(strings, "strings")
+    often = strings.groupBy("string", "check").agg(F.count("*").alias("n")).where("n > 1").groupBy("string").agg(F.collect_list("check").alias("checks"))
+    single = common.spread_join(strings, often, "string", "text").where(F.array_contains("checks", F.col("check"))).select("text", "s", F.col("s").alias("e"))
 
     every = settled.unionByName(partly).unionByName(single).groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("stretches"))
     every = common.written(every.join(reader, "text"), "removed")
-    kept = fetched(docs, every).select("text", "body", "stretches").mapInArrow(_kept, "text long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["text"])
-    kept = common.written(kept, "kept")
-    return texts.join(kept, "text", "left").select(
+    common.discard(settled, strings, groups)
+    kept = common.mapped(fetched(docs, every).select("text", "body", "stretches"), _kept, "text long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["text"])
+    copies = texts.groupBy("text").agg(F.count("*").alias("copies"))
+    kept = passage_words(docs, reader).join(copies, "text").join(kept, "text", "left")
+    kept = common.written(kept.withColumn("words", F.when((F.col("copies") > 1) & (F.col("n") >= PASSAGE), F.col("n")).otherwise(F.col("words"))).drop("n", "copies"), "kept")
+    common.discard(every)
+    return common.spread_join(texts, kept, "text", "k").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("kept", "sha").alias("kept"),
+        F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("kept", "sha").alias("kept"), F.col("words").alias("passage_words"),
     )
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removals(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"), "passage_words")
