@@ -30,3 +30,17 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
+
+
+def tops(links: DataFrame) -> DataFrame:
+    """(node, root) for a forest: links (a, b) with one row a node a at most, and no circles. Every node that is in a link
+    gets its tree's top, by jumping twice as far in each round."""
+    table = common.written(links.select(F.col("a").alias("node"), F.col("b").alias("up")), "up")
+    while True:
+        up = table.select("node", "up")
+        far = common.spread_join(up, up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "node")
+        old, table = table, common.written(far.select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "up")
+        common.discard(old)
+        if table.where("moved").isEmpty():
+            found = table.select("node", F.col("up").alias("root"))
+            return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -6,8 +6,9 @@ points above w are passed over (that is how a weight within a step takes its sha
 point, so two bags agree on a register with the probability of their weighted Jaccard similarity. Processes stop
 once they are later than every register of their document, which keeps the work near the number of shingles.
 
-Documents of one bag are one node. `BANDS` keys of `ROWS` registers each put nodes into buckets. Every node is
-held against the pivot that it meets most often, by the exact similarity of the bags, and linked nodes get one class.
+Documents of one bag are one node. `BANDS` keys of `ROWS` registers each put nodes into buckets, whose pivot is the node
+that comes first by a hash. Every node is held against the pivot that it meets most often, by the exact similarity of the
+bags, and linked nodes get one class: as a pivot comes before its nodes, these links are a forest.
 In buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
 blocks of `SIDE` by `SIDE` rows: pairs whose signatures agree on a share of `CLOSE` registers (nearly five standard
 deviations below the threshold) get the exact test in their task, nearest ones first, unless they are in one class by
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from taxolith.llm import common
 from taxolith.llm.decontamination import words
-from taxolith.llm.graphs import components
+from taxolith.llm.graphs import components, tops
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -315,7 +316,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     links = common.written(verified(pairs, blobs), "links")
     common.discard(pairs, candidates)
-    roots = components(links)
+    roots = tops(links)
     common.discard(links)
     owner = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
     named = common.spread_join(buckets.join(roots, "node", "left"), owner, "pivot", "node")
@@ -331,10 +332,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = placed.join(first.select("node", "short"), "node").join(blobs, "node").repartition("block").sortWithinPartitions("block")
     late = common.written(common.mapped(placed.select("block", "node", "root", "asks", "answers", "short", "bag"), _near, "a long, b long").distinct(), "links")
     common.discard(named, blobs)
-    if not late.isEmpty():
-        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(stars.unionByName(late))
     named = nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    if not late.isEmpty():  # few links: between classes, not between nodes
+        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+        between = late.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        joined = components(between.where("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        named = common.spread_join(named, joined, "root", "node").select("node", "doc", F.coalesce("top", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
     named = common.spread_join(named, least, "root", "node").select("node", F.coalesce("class_id", "doc").alias("class_id"))
     found = common.spread_join(signed.select("doc_id", "node"), named, "node", "doc_id")

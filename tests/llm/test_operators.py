@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from taxolith.llm import bpe, common, decontamination, fingerprints, html_text, language, near_duplicates, packing, repeats, secrets, toxicity
+from taxolith.llm import bpe, common, decontamination, fingerprints, graphs, html_text, language, near_duplicates, packing, repeats, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 RND = random.Random(11)
@@ -423,6 +423,26 @@ def test_near_duplicates(spark, empty):
     assert near_duplicates.classes(empty).count() == 0
 
 
+def test_tops_and_components(spark):
+    rnd = random.Random(12)
+    forest = [(k, rnd.randrange(max(0, k - 3), k)) for k in range(1, 300) if k % 7]
+    up = dict(forest)
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    links = spark.createDataFrame(forest, "a long, b long")
+    want = {x: top(x) for pair in forest for x in pair}
+    assert {r.node: r.root for r in graphs.tops(links).collect()} == want
+    least = {}
+    for x, t in want.items():
+        least[t] = min(x, least.get(t, x))
+    assert {r.node: r.root for r in graphs.components(links).collect()} == {x: least[t] for x, t in want.items()}
+    assert graphs.tops(links.where("false")).count() == 0
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     errors = []
