@@ -436,8 +436,6 @@ def tempered_loss(spark, sf):
 @query(_BASE + " SELECT count(*) AS rows, round(sum((t2 = c2)::INT)::DOUBLE, 3) AS fitted, 0::BIGINT AS falls, count(*) AS sum_to_one FROM z")
 def isotonic_invariants(spark, sf):
     """An isotonic fit keeps the number of right rows and never falls; the rescaled shares sum to 1."""
-    from pyspark.sql import Window as W
-
     rows = _scored(spark, sf)[0]
     model = calibration.fit_isotonic(rows, "level_confidence_l2", evaluation.right("l2", "predicted_l2"))
     values, bounds = [float(x) for x in model.predictions], [float(x) for x in model.boundaries]
