@@ -29,6 +29,8 @@ NONE = np.iinfo(np.int32).max
 #: Pre-tokens that a worker remembers at most.
 CACHE = 1 << 20
 SPACE = "▁"
+#: Bytes of text at a time: new pre-tokens are merged together, so a slice is larger than elsewhere.
+SLICE = 1 << 20
 LIMIT = 4096
 
 
@@ -390,7 +392,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(Pieces if path.endswith(".model") else WordIds, path)
-        for batch in common.chunks(batches, "text"):
+        for batch in common.chunks(batches, "text", SLICE):
             counts = model.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(common.raw(batch.column("text"))[1])), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -34,7 +34,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.loaded(bpe.WordIds, path)
         place, part = 0, TaskContext.get().partitionId()
-        for batch in common.chunks(batches, "text"):
+        for batch in common.chunks(batches, "text", bpe.SLICE):
             flat, counts = model.ids(batch.column("text").to_pylist())
             n = counts + 1
             places = place + np.cumsum(n) - n
