@@ -142,8 +142,11 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     """A bitmap of bounded size (2 ** MOST_BITS bits) in which the slot of every key of the column is set."""
+    keys = common.written(keys.select(F.col(column).cast("long").alias("key")), "keys")  # counted first, then read
     bits = min(MOST_BITS, max(10, int(16 * keys.count()).bit_length()))
-    return _bits(keys.select(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits)).alias("s")), bits)
+    out = _bits(keys.select(F.pmod(F.xxhash64("key"), F.lit(1 << bits)).alias("s")), bits)
+    common.discard(keys)
+    return out
 
 
 def one_value(*values: np.ndarray) -> np.ndarray:
@@ -156,6 +159,7 @@ def one_value(*values: np.ndarray) -> np.ndarray:
 
 def value_bitmap(keys: DataFrame, *columns: str) -> np.ndarray:
     """The same with slots that tasks can work out for arrays of values (repeats.slot_in)."""
+    keys = common.written(keys.select(*columns), "keys")
     bits = min(MOST_BITS, max(10, int(16 * keys.count()).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,9 @@ def value_bitmap(keys: DataFrame, *columns: str) -> np.ndarray:
             slot = one_value(*(c.to_numpy() for c in batch.columns)) & np.uint64((1 << bits) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64))], ["s"])
 
-    return _bits(common.mapped(keys.select(*columns), slots, "s long"), bits)
+    out = _bits(common.mapped(keys, slots, "s long"), bits)
+    common.discard(keys)
+    return out
 
 
 def _bits(slots: DataFrame, bits: int) -> np.ndarray:

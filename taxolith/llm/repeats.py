@@ -350,8 +350,8 @@ def passage_words(docs: DataFrame, readers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(text[row[owner]]), place, place], ["h", "text", "s", "e"])
 
     found = common.written(common.mapped(docs, second, "h long, text long, s int, e int"), "windows")
-    again = found.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("h")
-    hit = maybe_in(found, "h", bitmap(again, "h")).join(again, "h")  # a hot window's rows are split by Spark's skew join
+    again = common.written(found.groupBy("h").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("h"), "again")
+    hit = maybe_in(found, "h", bitmap(again, "h")).join(again, "h")  # of two written tables: Spark's skew join splits a hot window's rows
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("s", "e"))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
         lambda a, x: F.struct((a["n"] + x["e"] + PASSAGE - F.least(x["e"] + PASSAGE, F.greatest(a["to"], x["s"]))).alias("n"), F.greatest(a["to"], x["e"] + PASSAGE).alias("to")), lambda a: a["n"],
