@@ -396,7 +396,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     every = settled.unionByName(partly).unionByName(single).groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("stretches"))
     every = common.written(every.join(reader, "text"), "removed")
-    common.discard(settled, strings, groups)
+    common.discard(settled, strings, groups, pieces)
     kept = common.mapped(fetched(docs, every).select("text", "body", "stretches"), _kept, "text long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["text"])
     copies = texts.groupBy("text").agg(F.count("*").alias("copies"))
     kept = passage_words(docs, reader).join(copies, "text").join(kept, "text", "left")
