@@ -95,8 +95,8 @@ def path_lookup(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows chosen by a hash of the key: the same ones whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, those whose key has the least hash: the same ones whatever the partitions."""
+    return df.orderBy(F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def with_group_size(df: DataFrame, columns: Sequence[str], name: str = "group_size") -> DataFrame:

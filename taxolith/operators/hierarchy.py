@@ -7,7 +7,7 @@ All scoring is row by row over the tree's constant arrays: no shuffle, so it run
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -60,6 +60,25 @@ class Tree:
             out[g].append(k)
         return out
 
+    @cached_property
+    def children(self) -> list[list[list[int]]]:
+        """By depth from 0: for each prefix, the places of those that are one code longer."""
+        out = []
+        for d in range(len(self.levels)):
+            place = {p: k for k, p in enumerate(self.prefixes[d])}
+            own: list[list[int]] = [[] for _ in place]
+            for k, p in enumerate(self.prefixes[d + 1]):
+                own[place[p[:d]]].append(k)
+            out.append(own)
+        return out
+
+    def last_codes(self, depth: int) -> list[int]:
+        return [p[-1] for p in self.prefixes[depth]]
+
+    def parents(self, depth: int) -> list[int]:
+        place = {p: k for k, p in enumerate(self.prefixes[depth - 1])}
+        return [place[p[:-1]] for p in self.prefixes[depth]]
+
     def table(self, spark: SparkSession) -> DataFrame:
         """path_idx, c1..cL, n."""
         names = [f"c{k + 1} int" for k in range(len(self.levels))]
@@ -121,6 +140,105 @@ def best_paths(df: DataFrame, tree: Tree, k: int = 3, scores: str = "scores") ->
     return df.withColumn("_both", both).withColumns({"path_probs": F.col("_both.probs"), "paths": F.col("_both.tops")}).drop("_both")
 
 
+def trie_paths(df: DataFrame, tree: Tree, probs: Sequence[str], mode: str = "independent", k: int = 3) -> DataFrame:
+    """df with `paths` as best_paths gives them, and `n_scored`, how many steps of paths were scored for the row.
+
+    The tree is walked by depth, and a prefix is scored once for all its paths. A score only falls with a longer prefix. So
+    the k best prefixes of each depth lead to k paths whose worst is a bound, and no path under a prefix below it can be
+    among the k best: a second walk keeps all other prefixes, whose paths are the exact answer, ties by path. The sum over
+    all paths, which probabilities need, is that of the children's sums from the deepest level up (conditional: 1)."""
+    k = min(k, len(tree.paths))
+    codes = [tree.last_codes(d + 1) for d in range(len(tree.levels))]
+
+    def walked(v: Column) -> Column:
+        def share(d: int, node: Column) -> Column:
+            return F.greatest(F.get(v[f"p{d}"], F.get(F.lit(codes[d]), node)).cast("double"), F.lit(A.FLOOR))
+
+        def longer(front: Column, d: int) -> Column:
+            """The children of all prefixes of a front, each with its score below 0 turned round."""
+            def of_one(x: Column) -> Column:
+                def scored(own: Column) -> Column:
+                    under = F.log(F.aggregate(own, F.lit(0.0), lambda a, c: a + share(d, c))) if mode == "conditional" else F.lit(0.0)
+                    return A.bind(under, lambda t: F.transform(own, lambda c: F.struct((x["minus"] - (F.log(share(d, c)) - t)).alias("minus"), c.alias("node"))))
+
+                return A.bind(F.get(F.lit(tree.children[d]), x["node"]), scored)
+
+            return F.flatten(F.transform(front, of_one))
+
+        root = F.array(F.struct(F.lit(0.0).alias("minus"), F.lit(0).alias("node")))
+        beam = root
+        for d in range(len(codes)):
+            beam = F.slice(F.array_sort(longer(beam, d)), 1, k)
+
+        def exact(limit: Column) -> Column:
+            def step(d: int) -> Callable[[Column], Column]:
+                kept = lambda new: F.filter(new, lambda x: x["minus"] <= limit)
+                return lambda s: A.bind(longer(s["front"], d), lambda new: F.struct(kept(new).alias("front"), (s["n"] + F.size(new)).alias("n")))
+
+            state = F.struct(root.alias("front"), F.lit(0).alias("n"))
+            for d in range(len(codes)):
+                state = A.bind(state, step(d))
+            return A.bind(state, lambda s: F.struct(F.slice(F.array_sort(s["front"]), 1, k).alias("tops"), s["n"].alias("n")))
+
+        return A.bind(F.coalesce(F.get(beam, k - 1)["minus"], F.lit(float("inf"))), exact)
+
+    found = A.bind(F.struct(*[F.col(c).alias(f"p{d}") for d, c in enumerate(probs)]), walked)
+    whole = F.lit(1.0) if mode == "conditional" else A.bind(F.struct(*[F.col(c).alias(f"p{d}") for d, c in enumerate(probs)]), lambda v: A.total(_sums_from_below(tree, v)[0]))
+    out = df.withColumn("_found", found).withColumn("_whole", whole)
+    tops = F.transform("_found.tops", lambda x: F.struct(x["node"].alias("path"), (F.exp(-x["minus"]) / F.col("_whole")).alias("probability"), F.exp(-x["minus"]).alias("evidence")))
+    return out.withColumns({"paths": tops, "n_scored": F.col("_found.n")}).drop("_found", "_whole")
+
+
+def _sums_from_below(tree: Tree, v: Column) -> list[Column]:
+    """By depth from 1: the sum over the paths under each prefix of the products of their shares from its own level on."""
+    depth = len(tree.levels)
+    out = [_shares(tree, v, depth - 1)]
+    for d in range(depth - 2, -1, -1):
+        out.insert(0, F.zip_with(_shares(tree, v, d), A.bind(out[0], _sums_of(tree.children[d + 1])), lambda p, s: p * s))
+    return out
+
+
+def _shares(tree: Tree, v: Column, d: int) -> Column:
+    """The level's own share of each prefix of d + 1 codes."""
+    return F.transform(F.lit(tree.last_codes(d + 1)), lambda c: F.greatest(F.get(v[f"p{d}"], c).cast("double"), F.lit(A.FLOOR)))
+
+
+def _sums_of(places: list[list[int]]) -> Callable[[Column], Column]:
+    return lambda values: F.transform(F.lit(places), lambda own: F.aggregate(own, F.lit(0.0), lambda a, c: a + F.get(values, c)))
+
+
+def trie_masses(df: DataFrame, tree: Tree, probs: Sequence[str], mode: str = "independent") -> DataFrame:
+    """df with prefix_<d>, mass_<d> and margin_<d> as prefix_masses gives them, from sums by prefix: those of the paths below
+    from the deepest level up, then each prefix's part of what the one before it has."""
+    given = F.struct(*[F.col(c).alias(f"p{d}") for d, c in enumerate(probs)])
+    depth = len(tree.levels)
+
+    def all_masses(v: Column) -> Column:
+        if mode == "conditional":
+            sums = [_shares(tree, v, d) for d in range(depth)]
+        else:
+            sums = _sums_from_below(tree, v)
+        return A.bind(F.struct(*[x.alias(f"s{d}") for d, x in enumerate(sums)]), from_above)
+
+    def from_above(v: Column) -> Column:
+        def step(d: int) -> Callable[[Column], Column]:
+            return lambda s: F.struct(*[s[f"m{j}"].alias(f"m{j}") for j in range(d + 1)], part(v[f"s{d}"], s[f"m{d}"], d).alias(f"m{d + 1}"))
+
+        state = F.struct(F.array(F.lit(1.0)).alias("m0"))
+        for d in range(depth):
+            state = A.bind(state, step(d))
+        return state
+
+    def part(sums: Column, above: Column, d: int) -> Column:
+        return A.bind(_sums_of(tree.children[d])(sums), lambda w: F.transform(F.lit(tree.parents(d + 1)), lambda parent, i: F.get(above, parent) * F.get(sums, i) / F.get(w, parent)))
+
+    df = df.withColumn("_masses", A.bind(given, all_masses))
+    for d in range(1, depth + 1):
+        df = df.withColumn("_mass", A.bind(F.col(f"_masses.m{d}"), _heaviest(tree.prefixes[d])))
+        df = df.withColumns({f"{name}_{d}": F.col(f"_mass.{name}") for name in ("prefix", "mass", "margin")}).drop("_mass")
+    return df.drop("_masses")
+
+
 def prefix_masses(df: DataFrame, tree: Tree) -> DataFrame:
     """df with, for each depth d, prefix_<d> (the codes of the heaviest prefix), mass_<d> and margin_<d>."""
     for d in range(1, len(tree.levels) + 1):
@@ -156,7 +274,7 @@ def predictions(df: DataFrame, tree: Tree, probs: Sequence[str], mode: str = "in
     if mode == "argmax":
         out = level_argmax(df, tree, probs).withColumn("confidence", F.col(f"confidence_{tree.levels[-1]}"))
         return out.withColumn("entropy", A.entropy(F.col(probs[-1])))
-    out = best_paths(path_scores(df, tree, probs, mode), tree, k)
+    out = trie_paths(df, tree, probs, mode, k)
     best = F.get("paths", 0)
     new = {"confidence": best["probability"], "path_evidence": best["evidence"], "entropy": A.entropy(F.col(probs[-1]))}
     for j, c in enumerate(tree.levels):
@@ -165,7 +283,7 @@ def predictions(df: DataFrame, tree: Tree, probs: Sequence[str], mode: str = "in
     names = F.lit(["|".join(tree.classes[j][p[j]] for j in range(len(p))) for p in tree.paths])
     new["alternatives"] = F.transform(F.slice("paths", 2, max(k - 1, 1)), lambda x: F.struct(F.get(names, x["path"]).alias("path"), x["probability"].alias("probability")))
     out = out.withColumns(new)
-    return (prefix_masses(out, tree) if prefixes else out).drop("scores", "path_probs", "paths")
+    return (trie_masses(out, tree, probs, mode) if prefixes else out).drop("n_scored", "paths")
 
 
 def averaged(one: DataFrame, two: DataFrame, key: str, probs: Sequence[str], trees: tuple[Tree, Tree]) -> DataFrame:

@@ -12,15 +12,32 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolith.functions import arrays as A
+from taxolith.operators import gradients as G
 from taxolith.operators.hierarchy import Tree
 
 VECTOR = "_vector"
+#: Weights that a fit holds at a time.
+NUMBERS = 4_000_000
+#: Up to so many weights are constants of a plan; more go to the tasks' Arrow batches.
+LITERALS = 20_000
+#: Up to so many features a closed form reads their matrix of products; beyond, steps read the rows.
+WIDE = 1024
+
+
+def by_arrow(features: str, run: Callable[[G.Rows], np.ndarray]) -> Column:
+    """An array of numbers a row from batches of features, dense or sparse."""
+
+    def task(x: pa.Array) -> pa.Array:
+        out = np.ascontiguousarray(run(G.Rows(x)), float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+
+    return F.arrow_udf(task, "array<double>")(features)
 
 
 @dataclass(frozen=True)
@@ -30,8 +47,13 @@ class Linear:
     weights: tuple[tuple[float, ...], ...]  # by class
     bias: tuple[float, ...]
     temperature: float = 1.0
+    sparse: bool = False  # features are structs of places and values
 
     def margins(self, features: str) -> Column:
+        if self.sparse or len(self.bias) * len(self.weights[0]) > LITERALS:
+            weights, bias = np.array(self.weights).T, np.array(self.bias)
+            return by_arrow(features, lambda x: x.times(weights) + bias)
+
         def scores(x: Column) -> Column:
             return F.transform(F.lit([list(w) for w in self.weights]), lambda w: A.total(F.zip_with(w, x, lambda a, b: a * b)))
 
@@ -144,7 +166,12 @@ def ledoit_wolf(df: DataFrame, features: str, code: str, means: np.ndarray, code
 
 
 def fit_lda(df: DataFrame, features: str, code: str, n: int, shrinkage: float | None = None) -> Linear:
-    """One covariance for all classes, drawn towards a multiple of the identity: by the share given, or Ledoit-Wolf's."""
+    """One covariance for all classes, drawn towards a multiple of the identity: by the share given, or Ledoit-Wolf's. Sparse
+    or many features need a share: their covariance is known by its products only."""
+    if wide(df, features):
+        if shrinkage is None:
+            raise ValueError("sparse or many features need a given shrinkage")
+        return Products(df, features, code, n).discriminants(shrinkage)
     counts, sums, gram, codes = moments(df, features, code)
     means = sums / counts[:, None]
     cov = (gram - (sums.T / counts) @ sums) / max(counts.sum(), 1)
@@ -161,6 +188,8 @@ def fit_lda(df: DataFrame, features: str, code: str, n: int, shrinkage: float |
 
 def fit_ridge(df: DataFrame, features: str, code: str, n: int, alpha: float = 1.0, temperature: float = 1.0) -> Linear:
     """Least squares on class indicators with a penalty; softmax of the margins."""
+    if wide(df, features):
+        return Products(df, features, code, n).ridge(alpha, temperature)
     counts, sums, gram, codes = moments(df, features, code)
     total, d = counts.sum(), gram.shape[0]
     mean = sums.sum(0) / total
@@ -173,61 +202,204 @@ def fit_ridge(df: DataFrame, features: str, code: str, n: int, alpha: float = 1.
     return Linear(tuple(map(tuple, w.T.tolist())), tuple((share - mean @ w).tolist()), temperature)
 
 
+def wide(df: DataFrame, features: str) -> bool:
+    return dict(df.dtypes)[features].startswith("struct") or G.width(df, features) > WIDE
+
+
+class Products:
+    """Rows whose matrix of products is only ever multiplied: each step of conjugate gradients is one pass, in which tasks
+    add up features x classes numbers. Classes go in blocks of about `NUMBERS` of them."""
+
+    def __init__(self, df: DataFrame, features: str, code: str, n: int):
+        self.rows = df.where(F.col(code) >= 0).select(G.plain(features, dict(df.dtypes)[features]).alias("x"), F.col(code).cast("int").alias("y"))
+        self.d, self.n, self.sparse = G.width(df, features), n, dict(df.dtypes)[features].startswith("struct")
+        self.counts = np.zeros(n)
+        for r in self.rows.groupBy("y").count().collect():  # one row a class
+            self.counts[r.y] = r["count"]
+        self.total = self.counts.sum()
+        if not self.total:
+            raise ValueError("no rows to learn from")
+
+        def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            x = G.Rows(batch.column("x"))
+            x.turned(np.ones((x.n, 1)), total.reshape(-1, 1))
+
+        self.mean = G.summed(self.rows, add, self.d) / self.total
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        many = max(1, NUMBERS // max(self.d, 1))
+        for start in range(0, self.n, many):
+            yield np.arange(start, min(self.n, start + many))
+
+    def sums(self, classes: np.ndarray) -> np.ndarray:
+        """Features x classes: the sums over each class's rows."""
+        d = self.d
+
+        def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            G.Rows(batch.column("x")).turned((batch.column("y").to_numpy()[:, None] == classes).astype(float), total.reshape(d, -1))
+
+        return G.summed(self.rows, add, d * len(classes)).reshape(d, -1)
+
+    def centred(self, p: np.ndarray) -> np.ndarray:
+        """The products of the features, their means taken out, times p."""
+
+        def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            x = G.Rows(batch.column("x"))
+            x.turned(x.times(p), total.reshape(p.shape))
+
+        return G.summed(self.rows, add, p.size).reshape(p.shape) - self.total * np.outer(self.mean, self.mean @ p)
+
+    def ridge(self, alpha: float, temperature: float) -> Linear:
+        weights, bias = np.zeros((self.d, self.n)), np.zeros(self.n)
+        self.rows.persist()
+        try:
+            for own in self.blocks():
+                right = self.sums(own) - np.outer(self.mean, self.counts[own])
+                weights[:, own] = G.solved(lambda p: self.centred(p) + alpha * p, right)
+        finally:
+            self.rows.unpersist()
+        bias = self.counts / self.total - self.mean @ weights
+        return Linear(tuple(map(tuple, weights.T.tolist())), tuple(bias.tolist()), temperature, self.sparse)
+
+    def discriminants(self, shrinkage: float) -> Linear:
+        weights, bias = np.zeros((self.n, self.d)), np.full(self.n, -60.0)
+        self.rows.persist()
+        try:
+            there = np.flatnonzero(self.counts)
+            means = np.concatenate([self.sums(own) for own in self.blocks()], 1)[:, there] / self.counts[there]
+            among = means * np.sqrt(self.counts[there])
+
+            def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+                x = G.Rows(batch.column("x"))
+                total[0] += float(((x.held[2] if x.sparse else x.held) ** 2).sum())
+
+            trace = (G.summed(self.rows, add, 1)[0] - (among**2).sum()) / self.total
+
+            def within(p: np.ndarray) -> np.ndarray:
+                cov = (self.centred(p) + self.total * np.outer(self.mean, self.mean @ p) - among @ (among.T @ p)) / self.total
+                return (1 - shrinkage) * cov + shrinkage * trace / self.d * p
+
+            many = max(1, NUMBERS // max(self.d, 1))
+            w = np.concatenate([G.solved(within, means[:, a : a + many]) for a in range(0, len(there), many)], 1)
+        finally:
+            self.rows.unpersist()
+        weights[there] = w.T
+        bias[there] = -0.5 * (w * means).sum(0) + np.log(self.counts[there] / self.total)
+        return Linear(tuple(map(tuple, weights.tolist())), tuple(bias.tolist()), 1.0, self.sparse)
+
+
 @dataclass(frozen=True)
 class PlattMargins:
     """One-vs-rest margins of several fits, each through its own logistic curves; their mean, made to sum to 1."""
 
     fits: tuple[tuple[tuple[tuple[float, ...], ...], tuple[float, ...], tuple[float, ...], tuple[float, ...]], ...]  # weights, bias, slopes, intercepts
+    sparse: bool = False
 
     def probabilities(self, features: str) -> Column:
         def shares(fit: tuple) -> Column:
             weights, bias, slopes, intercepts = fit
             curve = lambda m: F.transform(m, lambda x, i: 1 / (1 + F.exp(-(x * F.get(F.lit(list(slopes)), i) + F.get(F.lit(list(intercepts)), i)))))
-            return A.bind(Linear(weights, bias).margins(features), curve)
+            return A.bind(Linear(weights, bias, 1.0, self.sparse).margins(features), curve)
 
         sums = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), map(shares, self.fits))
         return A.bind(sums, lambda s: A.bind(F.greatest(A.total(s), F.lit(A.FLOOR)), lambda t: F.transform(s, lambda x: x / t)))
 
 
-def fit_svc(df: DataFrame, features: str, code: str, n: int, folds: int = 3, regularisation: float = 1e-3) -> PlattMargins:
-    """Linear support vectors, one class against the rest; in each fold, dealt by a hash of the features, curves are fitted
-    to the margins of rows that the fit has not seen."""
-    rows = df.where(F.col(code) >= 0).select(F.transform(features, lambda v: v.cast("double")).alias("_x"), F.col(code).cast("int").alias("_y"))
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("_x"), F.lit(folds)))
-    fits = []
-    for f in range(folds):
-        train = rows.where(F.col("_fold") != f).select(array_to_vector("_x").alias(VECTOR), F.col("_y").cast("double").alias("label"))
-        model = OneVsRest(classifier=LinearSVC(maxIter=30, regParam=regularisation), featuresCol=VECTOR).fit(train)
-        own = [(tuple(map(float, m.coefficients.toArray())), float(m.intercept)) for m in model.models]
-        width = len(own[0][0])
-        own += [((0.0,) * width, -60.0)] * (n - len(own))
-        weights, bias = tuple(w for w, _ in own), tuple(b for _, b in own)
-        held = rows.where(F.col("_fold") == f).select(Linear(weights, bias).margins("_x").alias("m"), "_y")
-        fits.append((weights, bias, *platt_curves(held, "m", "_y", n)))
-    return PlattMargins(tuple(fits))
-
-
-def platt_curves(df: DataFrame, margins: str, code: str, n: int, steps: int = 8) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """Slopes and intercepts of the classes' logistic curves from margins, by Newton steps for all classes at once: each is
-    one aggregation. Targets are drawn in by Platt's rule, so classes that margins part fully have finite curves."""
-    cells = df.select(F.posexplode(margins).alias("k", "x"), F.col(code).alias("c")).select("k", "x", (F.col("k") == F.col("c")).cast("double").alias("hit"))
-    counts = {r.k: (r.p, r.n - r.p) for r in cells.groupBy("k").agg(F.sum("hit").alias("p"), F.count("*").alias("n")).collect()}  # one row a class
-    high = [(counts.get(k, (0, 0))[0] + 1) / (counts.get(k, (0, 0))[0] + 2) for k in range(n)]
-    low = [1 / (counts.get(k, (0, 0))[1] + 2) for k in range(n)]
-    a, b = [1.0] * n, [0.0] * n
+def fit_svc(df: DataFrame, features: str, code: str, n: int, folds: int = 3, cost: float = 1.0, fold: str | None = None, steps: int = 60) -> PlattMargins:
+    """Linear support vectors, each class against the rest, with the squared hinge loss; in each fold, curves are fitted to
+    the margins of the rows that its weights have not seen. Rows are dealt to folds by a hash of their features, or by the
+    column `fold`.
+
+    All classes and folds are one fit: a step is one pass, in which tasks add up the gradient of all their weights. Classes
+    go in blocks of about `NUMBERS` weights, which bounds what the driver and a task hold."""
+    x = G.plain(features, dict(df.dtypes)[features])
+    dealt = F.col(fold).cast("int") if fold else F.pmod(F.xxhash64(x), F.lit(folds)).cast("int")
+    rows = df.where(F.col(code) >= 0).select(x.alias("x"), F.col(code).cast("int").alias("y"), dealt.alias("f")).persist()
+    try:
+        counts = {r.f: r.n for r in rows.groupBy("f").agg(F.count("*").alias("n")).collect()}  # one row a fold
+        total, d = sum(counts.values()), G.width(rows, "x")
+        if not total:
+            raise ValueError("no rows to learn from")
+        weigh = np.array([1 / max(total - counts.get(f, 0), 1) for f in range(folds)])
+        weights, curves = np.zeros((folds, n, d + 1)), np.zeros((folds, n, 2))
+        many = max(1, NUMBERS // (folds * (d + 1)))
+        for start in range(0, n, many):
+            own = np.arange(start, min(n, start + many))
+            shape = (d + 1, folds, len(own))
+            value = lambda w: _hinge(rows, w.reshape(shape), own, weigh, cost)  # noqa: B023, E731
+            best, _ = G.minimised(value, np.zeros(np.prod(shape)), steps)
+            best = best.reshape(shape)
+            weights[:, own] = best.transpose(1, 2, 0)
+            curves[:, own] = platt_curves(rows, best, own)
+    finally:
+        rows.unpersist()
+    part = lambda a: tuple(map(tuple, a.tolist()))
+    return PlattMargins(tuple((part(w[:, :-1]), tuple(w[:, -1].tolist()), tuple(c[:, 0].tolist()), tuple(c[:, 1].tolist())) for w, c in zip(weights, curves, strict=True)), dict(df.dtypes)[features].startswith("struct"))
+
+
+def _margins(batch: pa.RecordBatch, w: np.ndarray) -> tuple[G.Rows, np.ndarray]:
+    """The rows' features, and their margins by fold and class."""
+    x = G.Rows(batch.column("x"))
+    return x, (x.times(w[:-1].reshape(len(w) - 1, -1)) + w[-1].ravel()).reshape(x.n, *w.shape[1:])
+
+
+def _hinge(rows: DataFrame, w: np.ndarray, classes: np.ndarray, weigh: np.ndarray, cost: float) -> tuple[float, np.ndarray]:
+    """The loss of every class and fold and its gradient: the mean squared hinge over the other folds' rows, and the squared
+    weights over twice cost * rows."""
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        x, m = _margins(batch, w)
+        side = np.where(batch.column("y").to_numpy()[:, None] == classes, 1.0, -1.0)[:, None, :]
+        use = (batch.column("f").to_numpy()[:, None] != np.arange(len(weigh))) * weigh
+        short = np.maximum(1 - side * m, 0) * use[:, :, None]
+        total[0] += float((np.maximum(1 - side * m, 0) * short).sum())
+        right = (-2 * side * short).reshape(x.n, -1)
+        out = total[1:].reshape(len(w), -1)
+        x.turned(right, out[:-1])
+        out[-1] += right.sum(0)
+
+    got = G.summed(rows, add, 1 + w.size)
+    held = w * (weigh / cost)[:, None]
+    return got[0] + 0.5 * float((w * held).sum()), got[1:] + held.ravel()
+
+
+def platt_curves(rows: DataFrame, w: np.ndarray, classes: np.ndarray, steps: int = 12) -> np.ndarray:
+    """Slope and intercept, by fold and class, of the logistic curves from the margins of the fold's own rows, by Newton steps
+    for all of them at once: each is one pass. Targets are drawn in by Platt's rule, so classes that margins part fully have
+    finite curves. A slope is never negative: margins that don't rank the held-out rows get a level curve."""
+    shape = w.shape[1:]
+
+    def over(f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], k: int) -> np.ndarray:
+        """Sums of k numbers by fold and class: f(margin, hit, 1 for the fold's own rows)."""
+
+        def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+            _, m = _margins(batch, w)
+            hit = np.broadcast_to((batch.column("y").to_numpy()[:, None] == classes)[:, None, :], m.shape)
+            own = (batch.column("f").to_numpy()[:, None] == np.arange(shape[0]))[:, :, None]
+            total += (f(m, hit, own)).sum(1).ravel()
+
+        return G.summed(rows, add, k * shape[0] * shape[1]).reshape(k, *shape)
+
+    hits, count = over(lambda m, hit, own: np.stack([hit * own, own * np.ones_like(m)]), 2)
+    high, low = (hits + 1) / (hits + 2), 1 / (count - hits + 2)
+    level = np.where(count > 0, (hits * high + (count - hits) * low) / np.maximum(count, 1), 0.5)
+    a, b = np.zeros(shape), np.log(level / (1 - level))
     for _ in range(steps):
-        at = lambda values: F.get(F.lit(values), F.col("k"))
-        p = 1 / (1 + F.exp(-(F.col("x") * at(a) + at(b))))
-        target = F.when(F.col("hit") == 1, at(high)).otherwise(at(low))
-        own = cells.select("k", "x", (target - p).alias("g"), F.greatest(p * (1 - p), F.lit(1e-12)).alias("h"))
-        sums = own.groupBy("k").agg(F.sum(F.col("g") * F.col("x")).alias("ga"), F.sum("g").alias("gb"), F.sum(F.col("h") * F.col("x") * F.col("x")).alias("haa"), F.sum(F.col("h") * F.col("x")).alias("hab"), F.sum("h").alias("hbb"))
-        for r in sums.collect():
-            haa, hbb = r.haa + 1e-6, r.hbb + 1e-6
-            d = haa * hbb - r.hab * r.hab
-            da, db = (hbb * r.ga - r.hab * r.gb) / d, (haa * r.gb - r.hab * r.ga) / d
-            scale = min(1.0, 4.0 / max(abs(da), abs(db), 1e-12))
-            a[r.k], b[r.k] = a[r.k] + scale * da, b[r.k] + scale * db
-    return tuple(a), tuple(b)
+        def parts(m: np.ndarray, hit: np.ndarray, own: np.ndarray, a: np.ndarray = a, b: np.ndarray = b) -> np.ndarray:
+            p = 1 / (1 + np.exp(-np.clip(m * a + b, -40, 40)))
+            gap, bend = (np.where(hit, high, low) - p) * own, np.maximum(p * (1 - p), 1e-12) * own
+            return np.stack([gap * m, gap, bend * m * m, bend * m, bend])
+
+        ga, gb, haa, hab, hbb = over(parts, 5)
+        haa, hbb = haa + 1e-9, hbb + 1e-9
+        det = np.maximum(haa * hbb - hab * hab, 1e-18)
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        scale = np.minimum(1.0, 4.0 / np.maximum(np.maximum(abs(da), abs(db)), 1e-12))
+        a, b = a + scale * da, b + scale * db
+        if max(abs(da).max(), abs(db).max()) < 1e-9:
+            break
+    level = np.log(level / (1 - level))
+    return np.stack([np.maximum(a, 0), np.where(a < 0, level, b)], -1)
 
 
 def _mllib(make: Callable[[], object]) -> Callable:
@@ -248,14 +420,14 @@ def _perceptron(df: DataFrame, features: str, code: str, n: int) -> Model:
 #: name -> (fit(df, features, code, n classes), what it costs)
 REGISTRY: dict[str, tuple[Callable, str]] = {
     "centroid": (fit_centroids, "one aggregation"),
-    "lda": (fit_lda, "one aggregation, one solve of features x features"),
-    "ridge": (fit_ridge, "one aggregation, one solve of features x features"),
+    "lda": (fit_lda, "one aggregation, one solve of features x features; steps over the rows for many features"),
+    "ridge": (fit_ridge, "one aggregation, one solve of features x features; steps over the rows for many features"),
     "gaussian_nb": (_mllib(lambda: NaiveBayes(modelType="gaussian")), "one aggregation"),
     "multinomial_nb": (_mllib(lambda: NaiveBayes(modelType="multinomial")), "one aggregation, sparse; for thousands of classes"),
     "bernoulli_nb": (_mllib(lambda: NaiveBayes(modelType="bernoulli")), "one aggregation, sparse, binary features"),
     "logistic": (_mllib(lambda: LogisticRegression(family="multinomial", maxIter=50, regParam=1e-4)), "iterations; classes x features weights"),
     "logistic_one_vs_rest": (_mllib(lambda: OneVsRest(classifier=LogisticRegression(maxIter=50, regParam=1e-4))), "a fit a class"),
-    "linear_svc": (fit_svc, "three fits a class, curves by aggregations"),
+    "linear_svc": (fit_svc, "steps over all classes and folds at once"),
     "perceptron": (_perceptron, "iterations over dense vectors"),
 }
 
@@ -314,7 +486,9 @@ def history(models: LevelModels, spark: SparkSession) -> DataFrame:
     """level, step, objective: how the fit of each level went, for models that are fitted in steps."""
     rows = []
     for level, model in zip(models.tree.levels, models.models, strict=True):
-        if getattr(model, "hasSummary", False):
+        if hasattr(model, "path"):  # of all levels at once
+            rows += [(level, k, float(x)) for k, x in enumerate(model.path)]
+        elif getattr(model, "hasSummary", False):
             own = model.summary() if callable(model.summary) else model.summary
             rows += [(level, k, float(x)) for k, x in enumerate(own.objectiveHistory)]
     return spark.createDataFrame(rows, "level string, step int, objective double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,8 +16,8 @@ def id_hash_fold(df: DataFrame, id_col: str, n: int = 5, seed: int = 0, out: str
     if n < 2:
         raise ValueError("at least two folds are needed")
     key = T.strip(F.col(id_col).cast("string"))
-    head = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}|"), key).cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
-    fold = F.when(key.isNull() | (key == ""), F.raise_error(F.lit("a blank key has no fold")).cast("int")).otherwise((head % n).cast("int"))
+    place = head(F.concat(F.lit(f"{seed}|"), key)) % n
+    fold = F.when(key.isNull() | (key == ""), F.raise_error(F.lit("a blank key has no fold")).cast("int")).otherwise(place.cast("int"))
     return df.withColumn(out, fold)
 
 
@@ -44,9 +44,8 @@ def ranked(df: DataFrame, label: str, key: str, seed: int, bits: int = 12) -> Da
 def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.1, seed: int = 42, lone_to_train: bool = False) -> tuple[DataFrame, DataFrame]:
     """(train, held out). With a label the share is held out of every class; classes of one row raise, or go to the
     training rows whole. Without, rows are held out by the hash of their key, without a shuffle."""
-    place = F.xxhash64(F.col(key), F.lit(seed))
     if label is None:
-        marked = df.withColumn("_held", F.pmod(place, F.lit(1_000_000)) < int(share * 1_000_000))
+        marked = df.withColumn("_held", F.coalesce(head(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))) % 1_000_000 < int(share * 1_000_000), F.lit(False)))
     else:
         lone = F.lit(0) if lone_to_train else F.raise_error(F.concat(F.lit("a class has one row: "), F.col(label).cast("string"))).cast("int")
         many = F.when(F.col("_size") == 1, lone).otherwise(F.greatest(F.lit(1), F.round(F.col("_size") * share)).cast("int"))
@@ -55,8 +54,16 @@ def split(df: DataFrame, key: str, label: str | None = None, share: float = 0.1,
 
 
 def data_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: rows, and a sum of row hashes modulo 2^64, the same in any order."""
-    return df.agg(F.count("*").alias("rows"), (F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)) % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    """One row: rows, and a sum modulo 2^64 of the first 8 bytes of each row's SHA-1, the same in any order. A row is its
+    columns' values as text, each behind its length; a null is a hyphen."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    whole = F.coalesce(F.sum(head(F.concat(*parts)).cast("decimal(38,0)")), F.lit(0)) % F.lit(str(1 << 64)).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), whole.cast("string").alias("fingerprint"))
+
+
+def head(text: Column) -> Column:
+    """The first 8 bytes of a text's SHA-1, as a number."""
+    return F.conv(F.substring(F.sha1(text.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def id_fingerprint(ids: DataFrame, column: str = "id") -> DataFrame:

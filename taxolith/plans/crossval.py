@@ -9,11 +9,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolith.operators import evaluation, features, filters, hierarchy, models, splits, tokens
+from taxolith.operators import evaluation, features, filters, hierarchy, models, sparse, splits, tokens
 from taxolith.sources.bundle import read_text, there, write_text
 
 #: Settings that may differ when a run goes on.
 VOLATILE = ("path", "partitions", "comment")
+#: Models that a term table serves, by their registered names.
+BY_TABLE = {"multinomial_nb": "bayes", "centroid": "cosine"}
 
 
 def out_of_fold(df: DataFrame, key: str, column: str, levels: Sequence[str], k: int = 5, model: str = "centroid", fold: str | None = None) -> DataFrame:
@@ -33,7 +35,7 @@ def out_of_fold(df: DataFrame, key: str, column: str, levels: Sequence[str], k:
 def recipe_fold(
     rows: DataFrame, held: int, key: str, text_col: str, levels: Sequence[str], how: features.Features, model: str = "multinomial_nb", blacklist: DataFrame | None = None, scope: str = "train",
     min_count: int = 1, keep_unwinnable: bool = True, fold: str = "fold",
-) -> tuple[DataFrame, models.LevelModels, dict]:
+) -> tuple[DataFrame, models.LevelModels | sparse.TableModel, dict]:
     """One fold's whole recipe: excluded keys, rare tokens, the tree, the vectorizer and the models are all learned from the
     other folds' rows alone; then the held-out rows are scored. Returns their scores, the models, and what was learned.
 
@@ -47,11 +49,17 @@ def recipe_fold(
     own = coded.withColumn("winnable", F.least(*[F.col(f"code_{c}") for c in levels], F.lit(0)) >= 0).drop(*[f"code_{c}" for c in levels])
     if not keep_unwinnable:
         own = own.where("winnable")
-    vectorizer = features.fitted(how, train, text_col)
-    fitted = models.fit_levels(vectorizer.transform(train), tree, "features", model)
-    scored, probs = fitted.probabilities(vectorizer.transform(own), "features")
+    if how.most is None and model in BY_TABLE:  # a vocabulary without a cap stays a table
+        fitted = sparse.fit_table(train, key, text_col, tree, how, BY_TABLE[model])
+        scored, probs = fitted.probabilities(own, key, text_col)
+        scored, n_features = scored.drop("n_tokens", "n_known_tokens", "known_share"), fitted.n_terms
+    else:
+        vectorizer = features.fitted(how, train, text_col)
+        fitted = models.fit_levels(vectorizer.transform(train), tree, "features", model)
+        scored, probs = fitted.probabilities(vectorizer.transform(own), "features")
+        n_features = len(vectorizer.stages[-1].vocabulary)
     out = hierarchy.predictions(scored, tree, probs, prefixes=False).drop(*probs, "features", "_grams", "alternatives", *[f"predicted_code_{c}" for c in levels])
-    return out, fitted, {"features": len(vectorizer.stages[-1].vocabulary), "paths": len(tree.paths)}
+    return out, fitted, {"features": n_features, "paths": len(tree.paths)}
 
 
 def run_recipe(

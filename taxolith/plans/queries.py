@@ -80,12 +80,14 @@ def markers(spark, sf):
 _COLOURS = T.whole_word([c.upper() for c in word_lists.COLORS])
 
 
-@query(rf"""WITH a AS (SELECT p_partkey, regexp_replace(regexp_replace(upper(coalesce(p_name, '')), '\bhttps?://\S+\b', '', 'g'), '[^\w\s/\-\.]', '', 'g') AS x FROM part),
-b AS (SELECT p_partkey, regexp_replace(regexp_replace(x, '{_COLOURS}', ' ', 'g'), '\b(\d+)\s*(IN|FT|MM|CM)\b', '\1\2', 'g') AS x FROM a)
+@query(rf"""WITH a AS (SELECT p_partkey, regexp_replace(regexp_replace(upper(coalesce(p_name, '') || ' ' || p_size || ' x 4 by' || p_size || ' mm'), '\bhttps?://\S+\b', '', 'g'), '[^\w\s/\-\.]', '', 'g') AS x FROM part),
+b AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '{_COLOURS}', ' ', 'g'), '(\d)\s*BY\s*(\d)', '\1X\2', 'g'), '(\d)\s*X\s*(\d)', '\1X\2', 'g'), '\b(\d+)\s*(IN|FT|MM|CM)\b', '\1\2', 'g') AS x FROM a)
 SELECT p_partkey, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM b""")
 def light_clean(spark, sf):
-    pairs = {k: v for k, v in T.LIGHT_REPLACE.items() if "?<=" not in k}
-    return read(spark, sf, "part").select("p_partkey", T.light_clean(F.col("p_name"), [word_lists.COLORS], pairs=pairs).alias("text"))
+    """All of the light recipe, over names with their sizes. SQL has no look-behind: it takes one mark after the other, as
+    a digit may stand between two."""
+    text = F.concat(F.coalesce("p_name", F.lit("")), F.lit(" "), F.col("p_size").cast("string"), F.lit(" x 4 by"), F.col("p_size").cast("string"), F.lit(" mm"))
+    return read(spark, sf, "part").select("p_partkey", T.light_clean(text, [word_lists.COLORS]).alias("text"))
 
 
 @query()
@@ -221,12 +223,12 @@ _VEC = ", ".join(f"(ascii(substr(token, {k}, 1)) % 17) / 17.0 - 0.5" for k in (1
 _LONG = f"(SELECT doc_id, unnest({TOKENS}) AS token FROM documents)"
 
 
-@query(f"""WITH m AS (SELECT doc_id, {', '.join(f"avg((ascii(substr(token, {k}, 1)) % 17) / 17.0 - 0.5) AS m{k}" for k in (1, 2, 3, 4))} FROM {_LONG} WHERE length(token) <= 6 GROUP BY 1),
+@query(f"""WITH m AS (SELECT doc_id, {', '.join(f"avg((ascii(substr(token, {k}, 1)) % 17) / 17.0 - 0.5) AS m{k}" for k in (1, 2, 3, 4))} FROM {_LONG} GROUP BY 1),
 n AS (SELECT *, sqrt(m1*m1 + m2*m2 + m3*m3 + m4*m4) AS s FROM m)
 SELECT d.doc_id, {', '.join(f"round(coalesce(CASE WHEN s > 0 THEN m{k} / s ELSE m{k} END, 0.0), 6) AS v{k}" for k in (1, 2, 3, 4))} FROM documents d LEFT JOIN n USING (doc_id)""")
 def pooled_documents(spark, sf):
     docs = read(spark, sf, "documents")
-    own = docs.select(F.explode(N.tokenize(F.col("text"))).alias("token")).distinct().where(F.length("token") <= 6)
+    own = docs.select(F.explode(N.tokenize(F.col("text"))).alias("token")).distinct()
     vectors = own.select("token", F.array(*[F.ascii(F.substring("token", k, 1)) % 17 / 17.0 - 0.5 for k in (1, 2, 3, 4)]).alias("vector"))
     out = features.document_vectors(docs, "doc_id", "text", vectors, 4, normalise=True)
     return rounded(out.select("doc_id", *[F.get("vector", k).alias(f"v{k + 1}") for k in range(4)]))
@@ -300,11 +302,11 @@ def attached_names(spark, sf):
     return taxonomy.attach_names(rows, names, ["l1", "l2"], ["n_name", "r_name"]).select("o_orderkey", "n_name", "r_name")
 
 
-@query("""WITH i AS (SELECT o_orderkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1 WHERE o_orderstatus IN ('F', 'P')), s AS (SELECT o_orderkey, min(s_name) AS s_name FROM i JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING max((s_acctbal > 0)::INT) = 1) SELECT o_orderkey, l_suppkey, s_name FROM i LEFT JOIN s USING (o_orderkey)""")
+@query("""WITH i AS (SELECT o_orderkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'P')), s AS (SELECT o_orderkey, min(s_name) AS s_name FROM i JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING max((s_acctbal > 0)::INT) = 1) SELECT o_orderkey, l_suppkey, s_name FROM i LEFT JOIN s USING (o_orderkey)""")
 def items_with_warehouse(spark, sf):
     sku = read(spark, sf, "orders").select(F.col("o_orderkey").alias("product_no"))
     orders = read(spark, sf, "orders")
-    item = read(spark, sf, "lineitem").where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    item = read(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     item = item.select(F.col("l_orderkey").alias("product_no"), F.lit(1).alias("current"), F.when(F.col("o_orderstatus").isin("F", "P"), 1).otherwise(2).alias("cono"), "l_suppkey")
     house = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", (F.col("s_acctbal") > 0).cast("int").alias("warehouse_current"))
     stock = item.join(house, "l_suppkey").groupBy("product_no", "cono").agg(F.min("s_name").alias("s_name"), F.max("warehouse_current").alias("warehouse_current"))
@@ -323,7 +325,10 @@ def stratified_split(spark, sf):
     return both.groupBy("lang").agg(F.count("*").alias("n_rows"), F.sum("h").cast("long").alias("n_held"))
 
 
-@query()
+_ROW = "coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(text) || ':' || text, '-') || coalesce(length(lang) || ':' || lang, '-')"
+
+
+@query(f"SELECT count(*) AS rows, (sum(('0x' || substr(sha1({_ROW}), 1, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR AS fingerprint FROM documents")
 def fingerprint(spark, sf):
     return splits.data_fingerprint(read(spark, sf, "documents"), ["doc_id", "text", "lang"])
 
@@ -600,17 +605,26 @@ def oof_accuracy(spark, sf):
     return rounded(evaluation.by_fold(scored, evaluation.right("l2", "predicted_l2")))
 
 
-@query()
+def _bayes_sql(label: str) -> str:
+    return f"""SELECT doc_id, c, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY doc_id) AS p FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM
+ (SELECT d.doc_id, b.c, prior + coalesce(sum(ln(coalesce(n, 0) + 1.0) + low) FILTER (h.token IS NOT NULL), 0) AS s FROM d CROSS JOIN
+  (SELECT c, ln(r + 1.0) - ln(sum(r) OVER () + count(*) OVER ()) AS prior, -ln(coalesce(t, 0) + (SELECT count(DISTINCT token) FROM h)) AS low FROM (SELECT {label} AS c, count(*) AS r FROM d GROUP BY 1) LEFT JOIN (SELECT {label} AS c, count(*) AS t FROM h JOIN d USING (doc_id) GROUP BY 1) USING (c)) b
+  LEFT JOIN h USING (doc_id) LEFT JOIN (SELECT {label} AS c, token, count(*) AS n FROM h JOIN d USING (doc_id) GROUP BY 1, 2) w ON w.c = b.c AND w.token = h.token GROUP BY d.doc_id, b.c, prior))"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, lang AS a, lang || '/' || CASE WHEN source < 'src2' THEN 'low' ELSE 'high' END AS b FROM documents), r AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS token FROM d),
+h AS (SELECT * FROM r SEMI JOIN (SELECT token FROM r GROUP BY 1 HAVING count(*) >= 3 AND count(*) <= 0.95 * (SELECT count(*) FROM d) ORDER BY count(*) DESC, token LIMIT 5000) USING (token)), p1 AS ({_bayes_sql("a")}), p2 AS ({_bayes_sql("b")}),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln(greatest(pa, 1e-12)) + ln(greatest(pb, 1e-12)) DESC, a, b) AS place FROM (SELECT p1.doc_id, p1.c AS a, p2.c AS b, p1.p AS pa, p2.p AS pb FROM p1 JOIN p2 USING (doc_id) WHERE p1.c = string_split(p2.c, '/')[1])),
+k AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1)
+SELECT doc_id, CASE WHEN depth >= 1 THEN z.a END AS predicted_a, CASE WHEN depth >= 2 THEN z.b END AS predicted_b, depth AS assigned_depth, CASE WHEN coalesce(n, 0) < 1 THEN 'unreadable' WHEN depth < 2 THEN 'below threshold' ELSE '' END AS review_reason, len({TOKENS})::INT AS n_tokens, coalesce(n, 0)::INT AS n_known_tokens
+FROM (SELECT *, CASE WHEN pb >= 0.5 THEN 2 WHEN pa >= 0.5 THEN 1 ELSE 0 END AS depth FROM z WHERE place = 1) z JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def document_classes(spark, sf):
-    """Whole text recipe: language, then language and source, by naive Bayes on counts, scored as new rows."""
+    """Whole text recipe: language, then language and source, by naive Bayes on the 5000 most frequent terms, scored as new rows."""
+    from taxolith.operators import sparse
     from taxolith.plans.score import score
     from taxolith.sources.bundle import Bundle
 
     docs = read(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("a"), F.concat_ws("/", "lang", F.when(F.col("source") < "src2", "low").otherwise("high")).alias("b"))
-    how = features.Features("count", min_df=3, most=5000, binary=True)
-    clean = docs.withColumn("_clean", F.coalesce("text", F.lit("")))
-    vectorizer = features.fitted(how, clean, "_clean")
-    tree = hierarchy.Tree.fit(docs, ["a", "b"])
-    own = models.fit_levels(vectorizer.transform(clean), tree, "features", "multinomial_nb")
-    bundle = Bundle(own, vectorizer, thresholds={"level": {1: 0.5, 2: 0.5}})
-    return rounded(score(docs, bundle, text_col="text").select("doc_id", "predicted_a", "predicted_b", "assigned_depth", "review_reason", "n_tokens", "n_known_tokens"), 4)
+    own = sparse.fit_table(docs, "doc_id", "text", hierarchy.Tree.fit(docs, ["a", "b"]), features.Features("count", min_df=3, most=5000, binary=True))
+    out = score(docs, Bundle(own, thresholds={"level": {1: 0.5, 2: 0.5}}), text_col="text", key="doc_id")
+    return out.select("doc_id", "predicted_a", "predicted_b", "assigned_depth", "review_reason", "n_tokens", "n_known_tokens")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from taxolith.functions import arrays as A
 from taxolith.functions import text as T
 from taxolith.functions import word_lists
-from taxolith.operators import ambiguity, calibration, cleaning, evaluation, features, filters, hierarchy, models, reports, splits, taxonomy, tokens
+from taxolith.operators import ambiguity, calibration, cleaning, evaluation, features, filters, hierarchy, models, reports, sparse, splits, taxonomy, tokens
 from taxolith.plans import crossval
 from taxolith.plans.queries import ORACLES, _BASE, _COUNTS, _DF, _INDEX, _TF, HELD, LEVELS, TOKENS, _bound_sql, _nodes, _scored, _softmax_sql, _vectors, key_sql, query, read, rounded
-from taxolith.plans.score import readability, score, score_to
+from taxolith.plans.score import score, score_to
 from taxolith.sources import bundle, io
 from taxolith.streaming import score as streaming
 
@@ -315,8 +315,8 @@ def nearest_vectors(spark, sf):
 @query(f"WITH k AS (SELECT token FROM (SELECT unnest(list_distinct({TOKENS})) AS token FROM documents) GROUP BY 1 HAVING count(*) >= 3), c AS (SELECT doc_id, {TOKENS} AS t FROM documents), n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(t) AS token FROM c) SEMI JOIN k USING (token) GROUP BY 1) SELECT doc_id, len(t)::INT AS n_tokens, coalesce(n, 0)::INT AS n_known_tokens, round(CASE WHEN len(t) > 0 THEN coalesce(n, 0) / len(t) ELSE 0 END, 6) AS known_share FROM c LEFT JOIN n USING (doc_id)")
 def readable_share(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    fitted = features.fitted(features.Features("count", 1, 2, min_df=3, max_df=1.0, most=None, binary=True), docs, "text")
-    return rounded(readability(docs, "text", fitted.stages[-1].vocabulary).drop("text"))
+    terms = sparse.term_table(docs, "doc_id", "text", features.Features("count", 1, 2, min_df=3, max_df=1.0, most=None, binary=True))
+    return rounded(sparse.known_tokens(docs, "doc_id", "text", terms).drop("text"))
 
 
 # ---- tree, models, calibration
@@ -597,10 +597,9 @@ p AS (SELECT doc_id, arg_max(lang, s) AS guess, 1 / sum(exp(s - m)) AS sure FROM
 SELECT doc_id, guess AS predicted_lang, len({TOKENS})::INT AS n_tokens, coalesce(known.n, 0)::INT AS n_known_tokens, CASE WHEN coalesce(known.n, 0) < 2 THEN 'unreadable' WHEN sure < 0.6 THEN 'below threshold' ELSE '' END AS review_reason
 FROM documents JOIN p USING (doc_id) LEFT JOIN known USING (doc_id)""")
 def scored_documents(spark, sf):
-    """Texts from end to end: vectorized, readable or not, classified by naive Bayes, marked for review and why."""
+    """Texts from end to end: classified by naive Bayes over a term table, readable or not, marked for review and why."""
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
     clean = docs.withColumn("_clean", F.coalesce("text", F.lit("")))
-    vectorizer = features.fitted(features.Features("count", min_df=3, max_df=1.0, most=None), clean, "_clean")
-    tree = hierarchy.Tree.fit(docs, ["lang"])
-    own = models.fit_levels(vectorizer.transform(clean), tree, "features", "multinomial_nb")
-    return score(docs, bundle.Bundle(own, vectorizer), text_col="text", least_known=2).select("doc_id", "predicted_lang", "n_tokens", "n_known_tokens", "review_reason")
+    how = features.Features("count", min_df=3, max_df=1.0, most=None)
+    own = sparse.fit_table(clean, "doc_id", "_clean", hierarchy.Tree.fit(docs, ["lang"]), how)
+    return score(docs, bundle.Bundle(own), text_col="text", least_known=2, key="doc_id").select("doc_id", "predicted_lang", "n_tokens", "n_known_tokens", "review_reason")
\ No newline at end of file

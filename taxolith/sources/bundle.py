@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taxolith.operators.features import Features
 from taxolith.operators.hierarchy import Tree
 from taxolith.operators.models import Centroids, LevelModels, Linear, PlattMargins
+from taxolith.operators.sparse import TableModel
 
 CLOSED = {"Linear": Linear, "Centroids": Centroids, "PlattMargins": PlattMargins}
 
+#: In place of the levels' models: one table of terms.
+TABLE = "table"
+
 
 def _tuples(x: object) -> object:
     return tuple(map(_tuples, x)) if isinstance(x, list) else x
@@ -38,7 +43,7 @@ def there(spark: SparkSession, path: str) -> bool:
 
 @dataclass
 class Bundle:
-    models: LevelModels
+    models: LevelModels | TableModel
     vectorizer: object | None = None
     cleaner: Mapping | None = None
     thresholds: Mapping[str, Mapping[int, float | None]] = field(default_factory=dict)  # "level" and "prefix"
@@ -51,7 +56,11 @@ class Bundle:
 def save(spark: SparkSession, path: str, b: Bundle) -> None:
     """The manifest is written last: a folder without it is unfinished."""
     kinds = []
-    for k, model in enumerate(b.models.models):
+    if isinstance(b.models, TableModel):
+        kinds = TABLE
+        b.models.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        write_text(spark, f"{path}/model.json", json.dumps({"kind": b.models.kind, "prior": b.models.prior, "low": b.models.low, "how": asdict(b.models.how), "n_terms": b.models.n_terms, "temperature": b.models.temperature}))
+    for k, model in enumerate([] if kinds == TABLE else b.models.models):
         kinds.append(type(model).__name__)
         if type(model).__name__ in CLOSED:
             write_text(spark, f"{path}/model_{k}.json", json.dumps(model.__dict__))
@@ -75,8 +84,8 @@ def load(spark: SparkSession, path: str, stamp: Mapping | None = None) -> Bundle
     m = json.loads(read_text(spark, f"{path}/manifest.json"))
     if stamp and (bad := {k: (m["stamp"].get(k), v) for k, v in stamp.items() if m["stamp"].get(k) != v}):
         raise ValueError(f"another bundle than expected: {bad}")
-    models = []
-    for k, kind in enumerate(m["models"]):
+    tree, models = Tree.of_record(m["tree"]), []
+    for k, kind in enumerate([] if m["models"] == TABLE else m["models"]):
         if kind in CLOSED:
             record = json.loads(read_text(spark, f"{path}/model_{k}.json"))
             models.append(CLOSED[kind](**{n: _tuples(v) for n, v in record.items()}))
@@ -85,4 +94,10 @@ def load(spark: SparkSession, path: str, stamp: Mapping | None = None) -> Bundle
     vectorizer = importlib.import_module("pyspark.ml").PipelineModel.load(f"{path}/vectorizer") if m["vectorizer"] else None
     limits = {kind: {int(d): t for d, t in own.items()} for kind, own in m["thresholds"].items()}
     tables = {name: spark.read.parquet(f"{path}/table_{name}") for name in m["tables"]}
-    return Bundle(LevelModels(Tree.of_record(m["tree"]), models), vectorizer, m["cleaner"], limits, m["temperatures"], m["config"], tables, m["stamp"])
+    if m["models"] == TABLE:
+        record = json.loads(read_text(spark, f"{path}/model.json"))
+        how = Features(**{n: tuple(v) if isinstance(v, list) else v for n, v in record.pop("how").items()})
+        own = TableModel(tree, spark.read.parquet(f"{path}/weights"), how=how, **record)
+    else:
+        own = LevelModels(tree, models)
+    return Bundle(own, vectorizer, m["cleaner"], limits, m["temperatures"], m["config"], tables, m["stamp"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,3 +140,10 @@ def english_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def write_counts(counts: DataFrame, path: str, kind: str = "parquet", options: Mapping[str, str] | None = None) -> None:
     counts.write.mode("overwrite").options(**(options or {})).format(kind).save(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again: what several steps read is worked out once, and its size is known."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
