@@ -42,8 +42,9 @@ class Features:
 
 
 def term_counts(df: DataFrame, key: str, text_col: str, how: Features) -> DataFrame:
-    """key, feature, tf."""
-    rows = df.select(key, F.explode(how.grams(F.col(text_col))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("tf"))
+    """key, feature, tf. Texts are dealt by their key first: they are smaller than their features, which then stay in the task."""
+    dealt = df.select(key, F.col(text_col).alias("_text")).repartition(key)
+    rows = dealt.select(key, F.explode(how.grams(F.col("_text"))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("tf"))
     return rows.withColumn("tf", F.lit(1).cast("long")) if how.binary else rows
 
 

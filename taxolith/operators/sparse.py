@@ -30,7 +30,7 @@ EMPTY = "struct(cast(array() as array<int>) as places, cast(array() as array<dou
 
 def term_table(df: DataFrame, key: str, text_col: str, how: Features) -> DataFrame:
     """feature, place, df of the features that `how` selects, numbered from 0 in the order of a hash."""
-    chosen = features.selected(features.term_counts(df, key, text_col, how), df.count(), how)
+    chosen = stored(features.selected(features.term_counts(df, key, text_col, how), df.count(), how), "chosen")
     numbered = splits.ranked(chosen.withColumn("_all", F.lit("")), "_all", "feature", 0)
     return stored(numbered.select("feature", (F.col("_rank") - 1).cast("int").alias("place"), "df"), "terms")
 
@@ -46,8 +46,8 @@ def sparse_rows(df: DataFrame, key: str, text_col: str, how: Features, terms: Da
 def known_tokens(df: DataFrame, key: str, text_col: str, terms: DataFrame) -> DataFrame:
     """df with n_tokens, n_known_tokens (tokens that are features of their own, each time they occur) and known_share. What it
     costs a row goes by the row's tokens, whatever the number of terms."""
-    tokens = df.select(key, F.explode(N.tokenize(F.col(text_col))).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("_tf"))
-    hits = tokens.join(terms.select("feature"), "feature", "left_semi").groupBy(key).agg(F.sum("_tf").cast("int").alias("n_known_tokens"))
+    tokens = features.term_counts(df, key, text_col, Features("count"))
+    hits = tokens.withColumnRenamed("tf", "_tf").join(terms.select("feature"), "feature", "left_semi").groupBy(key).agg(F.sum("_tf").cast("int").alias("n_known_tokens"))
     out = df.withColumn("n_tokens", F.size(N.tokenize(F.col(text_col)))).join(hits, key, "left").withColumn("n_known_tokens", F.coalesce("n_known_tokens", F.lit(0)))
     return out.withColumn("known_share", share(F.col("n_known_tokens"), F.col("n_tokens")))
 
@@ -115,9 +115,9 @@ def fit_table(df: DataFrame, key: str, text_col: str, tree: Tree, how: Features,
     tree lacks help to choose the terms, and no class."""
     codes = [f"code_{c}" for c in tree.levels]
     coded = tree.encode(df).select(key, *codes, text_col)
-    counts = coded.select(key, *codes, F.explode(how.grams(F.col(text_col))).alias("feature")).groupBy(key, *codes, "feature").agg((F.lit(1) if how.binary else F.count("*")).cast("long").alias("tf"))
+    counts = coded.repartition(key).select(key, *codes, F.explode(how.grams(F.col(text_col))).alias("feature")).groupBy(key, *codes, "feature").agg((F.lit(1) if how.binary else F.count("*")).cast("long").alias("tf"))
     counts = stored(counts, "counts")
-    chosen = features.selected(counts, df.count(), how).select("feature")
+    chosen = stored(features.selected(counts, df.count(), how).select("feature"), "terms")
     starts = [sum(tree.sizes[:k]) for k in range(len(tree.levels))]
     classes = F.array(*[F.when(F.col(c) >= 0, F.col(c) + s) for c, s in zip(codes, starts, strict=True)])
     cells = counts.join(chosen, "feature", "left_semi").select("feature", F.explode(classes).alias("class"), "tf").where("class is not null").groupBy("feature", "class").agg(F.sum("tf").alias("n"))
