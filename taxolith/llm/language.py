@@ -162,6 +162,7 @@ def fit(docs: DataFrame) -> Network | None:
     common.tune(docs.sparkSession)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, FIT_ROWS / n))])
     chosen = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row a key, however many it has
     got = common.mapped(chosen.select("text", "lang"), _sample_windows, "lang string, piece binary").collect()
     languages = sorted({r.lang for r in got})
     if not languages:

@@ -303,7 +303,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, class_id) for every row: the least key of its class of near duplicates."""
+    """(doc_id, node, root, class_id) for every row: its bag, the bag that stands for its class of near duplicates, and the
+    least key of the class."""
     texts = common.documents(docs, id_col, text_col)
     signed = common.written(common.mapped(texts, _sign, "doc_id long, node long, bands binary, short binary"), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc"))
@@ -345,24 +346,49 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         joined = components(between.where("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
         named = common.spread_join(named, joined, "root", "node").select("node", "doc", F.coalesce("top", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("class_id"))
-    named = common.spread_join(named, least, "root", "node").select("node", F.coalesce("class_id", "doc").alias("class_id"))
+    named = common.spread_join(named, least, "root", "node").select("node", "root", F.coalesce("class_id", "doc").alias("class_id"))
     found = common.spread_join(signed.select("doc_id", "node"), named, "node", "doc_id")
-    return found.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return found.select("doc_id", "node", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _with_bags(docs: DataFrame) -> DataFrame:
+    """docs with the column _node, the hash of the text's bag."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, "_bag_text"):
+            *_, bag = bags(*shingles(*common.raw(batch.column("_bag_text"))), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(bag.view(np.int64))], [*columns, "_node"])
+
+    common.tune(docs.sparkSession)
+    whole = docs.withColumn("_bag_text", F.coalesce("text", F.lit("")))
+    return common.mapped(whole, run, docs.withColumn("_node", F.lit(0).cast("long")).schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class of near duplicates: that of the least key. All columns stay, and so do rows
-    without a key."""
+    """docs with one row of each class of near duplicates: one with the least key, and of its texts the one whose hash is
+    least; a row without a key stays only where the whole class has none. All columns stay.
+
+    It decides by text, not by key: rows that share a key but not a text are apart, and none goes unless a row that is near
+    its text stays. Only rows of keys that occur again, or that have a text which goes, are looked at; a bitmap of hashed
+    keys finds them, and their bags are joined with the decisions."""
     columns = docs.columns
     found = common.written(classes(docs), "classes")
-    gone = common.written(found.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct(), "gone")
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    odd = common.written(gone.unionByName(again).distinct(), "odd")
+    texts = found.groupBy("doc_id", "node", "root").agg(F.count("*").alias("n"))
+    stays = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    decided = common.spread_join(texts, stays, "root", "node").select("doc_id", "node", "n", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))).alias("keep"))
+    decided = common.written(decided, "decided")
+    odd = decided.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("keep").alias("keep")).where("n > 1 or not keep").select("doc_id")
+    odd = common.written(odd, "odd")
     bits = bitmap(odd, "doc_id")
+    common.discard(found)
     keyed = docs.where("doc_id is not null")
-    sure = maybe_in(keyed, "doc_id", bits, there=False).unionByName(docs.where("doc_id is null"))
-    checked = maybe_in(keyed, "doc_id", bits).join(gone, "doc_id", "left_anti").select(columns)
-    return sure.unionByName(checked.dropDuplicates(["doc_id"]))
+    sure = maybe_in(keyed, "doc_id", bits, there=False)
+    checked = _with_bags(maybe_in(keyed, "doc_id", bits).unionByName(docs.where("doc_id is null"))).withColumn("_key", F.col("doc_id").cast("long"))
+    checked = checked.dropDuplicates(["_key", "_node"])
+    goes = decided.where("not keep").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node"))
+    checked = checked.join(goes, F.col("_key").eqNullSafe(F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti")
+    return sure.unionByName(checked.select(columns))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

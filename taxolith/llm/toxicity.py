@@ -7,7 +7,7 @@ regression on indicator * ratio. Scoring runs over every byte of every text insi
 size table) is sent to them.
 
 Defined cases: null and empty texts get the intercept's score; repeated rows score alike, row by row; keys with several
-labels count as toxic if any label is 1; null labels and null keys are not learned from; with one class or none to
+labels count as toxic if any label is 1, and one with several texts gives the one that a hash puts first; null labels and null keys are not learned from; with one class or none to
 learn from, every score is the share of toxic rows (0 if there are none); an empty table gives no rows.
 """
 
@@ -79,7 +79,8 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(text, toxic) of at most `rows` labelled rows a class whose crc32(key) mod FOLDS is not 0."""
+    """(text, toxic) of at most `rows` labelled keys a class whose crc32(key) mod FOLDS is not 0: one row a key, whatever number
+    the documents have of it."""
     marked = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -87,7 +88,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     )
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = marked.where("toxic = 1").orderBy(*order).limit(rows).unionByName(marked.where("toxic <> 1").orderBy(*order).limit(rows))
-    return common.documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * rows short rows
+    found = common.documents(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * rows short rows
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
