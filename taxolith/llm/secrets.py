@@ -2,10 +2,12 @@
 
 Only DataFrame functions run here. Base spans come from three fixed patterns. Then every run of 20 or more characters
 of an encoding alphabet that no base span touches and that mixes character classes is tried: its encoding is inferred
-(hex, base32, base64), and three tests ask whether ordinary names of that encoding could look like it: chi-squared of a
-uniform alphabet of 16, 32 or 64 cells (hex without case), the number of runs of character classes, and the lag-one
-serial correlation of the classes. Each is held against the mean and spread that names of the same encoding and length
-have, since what must be told from a secret is a name and not a uniform string. Fisher's method combines the three.
+(hex, base32, base64), and three statistics are taken of it: chi-squared over a uniform alphabet of 16, 32 or 64 cells (hex
+without case), the number of runs of character classes, and the lag-one serial correlation of the classes. They are held
+against both ends. Against a uniform string of that alphabet: the chances of a chi-squared as large, and of runs and a
+correlation as far off, combined by Fisher's method, must not be below `UNLIKE`. Against a name, which is what a secret must
+be told from: each statistic is held against the mean and spread that names of the same encoding and length have, and
+Fisher's method combines the chances of a name so near to uniform into the p-value.
 Within each encoding and length class (powers of two), a Benjamini-Hochberg step over all candidates of the corpus sets
 the largest accepted p-value, so short strings, which the tests can't tell apart, need a stronger result where many of
 them are tried. The corpus counts are one small table (p-values in bins), summed in the tasks first; the candidates are
@@ -17,7 +19,9 @@ one by one; an empty table gives no rows; other columns are ignored, or kept by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +36,17 @@ HEX = r"([0-9a-f]{24,})"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 1, 20), ("hex", HEX, 1, 24))
 CANDIDATE = r"([A-Za-z0-9+/_-]{20,}={0,2})"
 #: Share of false findings that is accepted among those made.
-RATE = 0.01
+RATE = 0.05
+#: A string that uniform ones of its alphabet are as unlike as this with a smaller chance is no random string.
+UNLIKE = 0.001
 PAGE = 4096
 BIN = 4.0  # bins of the p-value's negative logarithm, by unit
 # What ordinary names of an encoding look like, as measured on 6000 made of words, dates and numbers: index of coincidence,
 # share of class changes and serial correlation, each with its spread times the root of the length. Hex names repeat
 # digits and letters in turn more often than a normal tail allows, so the spreads of their classes are wider than measured.
 NAMES = {16: (0.128, 0.282, 0.104, 0.36, 0.685, 0.82), 32: (0.067, 0.1, 0.086, 0.249, 0.56, 1.377), 64: (0.06, 0.098, 0.317, 0.341, 0.279, 1.761)}
+#: How often a character of a uniform string is of another class than the one before it (by the sizes of the classes).
+CHANGES = {16: 2 * 10 * 6 / 16**2, 32: 2 * 26 * 6 / 32**2, 64: 1 - (26**2 + 26**2 + 10**2 + 2**2) / 64**2}
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 SPAN = "array<struct<start:int,kind:int,end:int,name:string>>"
 
@@ -108,23 +116,37 @@ def _moments(x: Column) -> Column:
     return F.struct(*(x[c].alias(c) for c in ("start", "end", "encoding", "n", "squares", "runs")), off.alias("off"))
 
 
-def _p_value(x: Column) -> Column:
-    n = x["n"]
-    of = [F.when(x["encoding"] == 16, a).when(x["encoding"] == 32, b).otherwise(c) for a, b, c in zip(*NAMES.values(), strict=True)]
-    coincidence, coincidence_spread, changes, changes_spread, correlation, correlation_spread = of
-    root = F.sqrt(n)
-    cells = x["encoding"].cast("double")
-    chi, ordinary = cells * x["squares"] / n - n, cells * ((n - 1) * coincidence + 1) - n  # chi-squared of the alphabet, and what a name has
-    uniform = _normal((chi - ordinary) * root / (cells * (n - 1) * coincidence_spread))
-    run = _normal((changes - (x["runs"] - 1) / (n - 1)) * root / changes_spread)
+def _fisher(*p: Column) -> Column:
+    """The negative logarithm of the three p-values' product tail."""
+    total = -reduce(lambda a, b: a + b, (F.ln(F.greatest(x, F.lit(1e-12))) for x in p))
+    return bind(total, lambda t: t - F.ln(1 + t + t * t / 2))
+
+
+def _measured(x: Column) -> Column:
+    """Chi-squared over the encoding's cells, share of class changes and lag-one correlation of a string."""
+    n, cells = x["n"], x["encoding"].cast("double")
     length = F.size(x["off"])
     around = F.aggregate(F.zip_with(F.slice(x["off"], F.lit(1), length - 1), F.slice(x["off"], F.lit(2), length - 1), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
     square = F.aggregate(x["off"], F.lit(0.0), lambda a, v: a + v * v)
-    serial = _normal((around / square - correlation) * root / correlation_spread)
-    total = -(F.ln(F.greatest(uniform, F.lit(1e-12))) + F.ln(F.greatest(run, F.lit(1e-12))) + F.ln(F.greatest(serial, F.lit(1e-12))))
-    log_p = total - F.ln(1 + total + total * total / 2)  # Fisher: three tests
+    return F.struct(*(x[c].alias(c) for c in ("start", "end", "encoding", "n")), cells.alias("cells"), (cells * x["squares"] / n - n).alias("chi"), ((x["runs"] - 1) / (n - 1)).alias("changes"), (around / square).alias("correlation"))
+
+
+def _p_value(x: Column) -> Column:
+    n, cells, root = x["n"], x["cells"], F.sqrt(x["n"])
+    of = [F.when(x["encoding"] == 16, a).when(x["encoding"] == 32, b).otherwise(c) for a, b, c in zip(*(NAMES[m] + (CHANGES[m],) for m in NAMES), strict=True)]
+    coincidence, coincidence_spread, changes, changes_spread, correlation, correlation_spread, even = of
+    # what a uniform string has: chi-squared around its degrees of freedom, changes and correlation on both sides
+    free = cells - 1
+    chi = _normal((free - x["chi"]) / F.sqrt(2 * free * (n - 1) / n))
+    run = 2 * _normal(-F.abs(x["changes"] - even) * F.sqrt((n - 1) / (even * (1 - even))))
+    serial = 2 * _normal(-F.abs(x["correlation"] + 1 / n) * root)
+    uniform = _fisher(chi, run, serial) <= -math.log(UNLIKE)
+    # what a name has
+    chi = _normal((x["chi"] - cells * ((n - 1) * coincidence + 1) + n) * root / (cells * (n - 1) * coincidence_spread))
+    run = _normal((changes - x["changes"]) * root / changes_spread)
+    serial = _normal((x["correlation"] - correlation) * root / correlation_spread)
     key = x["encoding"] * 100 + F.floor(F.log2(n)).cast("int")
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), key.alias("class"), F.floor(log_p * BIN).cast("int").alias("bin"))
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), key.alias("class"), F.when(uniform, F.floor(_fisher(chi, run, serial) * BIN).cast("int")).otherwise(0).alias("bin"))
 
 
 def _long(least: int) -> Callable[[Column], Column]:
@@ -155,7 +177,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumn("base", F.array_sort(F.concat(*base)))
     mixed = lambda x: x["body"].rlike("[0-9]").cast("int") + x["body"].rlike("[a-z]").cast("int") + x["body"].rlike("[A-Z]").cast("int") >= 2
     tokens = apart(F.filter(matches(text, CANDIDATE, 1), mixed), F.col("base"))
-    tried = F.transform(F.transform(F.transform(F.transform(tokens, _statistics), _tested), _moments), _p_value)
+    tried = reduce(F.transform, (_statistics, _tested, _moments, _measured, _p_value), tokens)
     return out.withColumn("tried", tried)
 
 
