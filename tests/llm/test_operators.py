@@ -513,3 +513,42 @@ def test_pipeline_against_plain_stages(spark):
     assert masked.count() == len(rows) and all(not base_spans(r.text) and ("[secret]" in r.text) == bool(base_spans(texts[r.doc_id])) for r in masked.collect())
     packed = stage["packing"](spark, masked, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == texts.keys()
+
+
+def bare(page):
+    """The page without the tags and names that tell its parts: plain containers with meaningless classes."""
+    page = re.sub(r"<(/?)(?:article|nav|header|footer|aside|form)\b", r"<\1div", page)
+    return re.sub(r"""\b(class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>"']+)""", r'\1="z"', page)
+
+
+def f1(got, want):
+    a, b = collections.Counter(got.split()), collections.Counter(want.split())
+    both = sum((a & b).values())
+    return 2 * both / max(sum(a.values()) + sum(b.values()), 1) if a or b else 1.0
+
+
+def test_html_text_by_line_lengths_alone(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    scores = [f1(html_text.main_text(bare(r.html)), html_text.main_text(r.html)) for r in pages]
+    print(np.mean(scores), min(scores), np.mean([s == 1 for s in scores]))
+    assert np.mean(scores) >= 0.98
+    renamed = [f1(html_text.main_text(re.sub("</?article>", "", re.sub(r'class="[^"]*"', 'class="z"', r.html))), html_text.main_text(r.html)) for r in pages]
+    print(np.mean(renamed))
+
+
+def test_html_windows_surges_and_dives_are_the_plain_ones():
+    rnd = random.Random(8)
+    for _ in range(200):
+        text = ["x" * rnd.choice([0, 0, 0, 1, 30, 90]) for _ in range(rnd.randint(1, 25))]
+        window = [sum(len(t) for t in text[k : k + html_text.WINDOW]) for k in range(len(text))]
+        runs, k = [], 0
+        while k < len(text):
+            if window[k]:
+                z = k
+                while z < len(text) and window[z]:
+                    z += 1
+                runs.append((k, z, max(window[k:z])))
+                k = z
+            k += 1
+        surge, dive, peaks = html_text._stretches(text)
+        assert list(zip(surge.tolist(), dive.tolist(), peaks.tolist())) == runs
