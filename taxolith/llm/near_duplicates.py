@@ -11,7 +11,7 @@ that comes first by a hash. Every node is held against the pivot that it meets m
 bags, and linked nodes get one class: as a pivot comes before its nodes, these links are a forest.
 In buckets where a node is then not in its pivot's class, such nodes are compared with all members of other classes, in
 blocks of `SIDE` by `SIDE` rows: pairs whose signatures agree on a share of `CLOSE` registers (nearly five standard
-deviations below the threshold) get the exact test in their task, nearest ones first, unless they are in one class by
+deviations below the threshold; the parameter `close` of `classes`, 0 for all pairs) get the exact test in their task, nearest ones first, unless they are in one class by
 then. A block sends on only the links that join classes. So no class within a bucket is left apart, blocks bound the
 memory, and neither copies nor documents around one passage make rows by the square of their number. Buckets are
 counted by partial aggregation, so a group of copies is no hot task.
@@ -30,7 +30,7 @@ an empty table gives no rows; other columns are ignored, or kept by `deduplicate
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -251,9 +251,10 @@ def verified(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     return common.mapped(both.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "bag_a", "bag_b"), _verify, "a long, b long")
 
 
-def spanning(node: np.ndarray, root: np.ndarray, asks: np.ndarray, answers: np.ndarray, short: np.ndarray, bags_: list[bytes]) -> list[tuple[int, int]]:
-    """Links that join all classes of a block which some pair of an asking and an answering row links: the pairs of near
-    signatures are tested from the nearest on, and those whose classes are joined by then are passed over."""
+def spanning(node: np.ndarray, root: np.ndarray, asks: np.ndarray, answers: np.ndarray, short: np.ndarray, bags_: list[bytes], close: float = CLOSE) -> list[tuple[int, int]]:
+    """Links that join all classes of a block which some pair of an asking and an answering row links: the pairs whose
+    signatures agree on a share of `close` are tested from the nearest on, and those whose classes are joined by then are
+    passed over. With close = 0 all pairs are."""
     label = np.unique(root, return_inverse=True)[1]
     ask, answer = np.flatnonzero(asks), np.flatnonzero(answers)
     width = short.shape[1]
@@ -262,7 +263,7 @@ def spanning(node: np.ndarray, root: np.ndarray, asks: np.ndarray, answers: np.n
         other = answer[label[answer] != label[k]]
         if len(other):
             score = (short[other] == short[k]).sum(1)
-            other, score = other[score >= CLOSE * width], score[score >= CLOSE * width]
+            other, score = other[score >= close * width], score[score >= close * width]
             level.append(score.astype(np.int16))
             right.append(other.astype(np.int32))
             left.append(np.full(len(other), k, np.int32))
@@ -282,29 +283,32 @@ def spanning(node: np.ndarray, root: np.ndarray, asks: np.ndarray, answers: np.n
     return out
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(close: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by block -> links (a, b) within each block."""
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         _, nodes, roots, asks, answers, shorts, bags_ = zip(*rows, strict=True)
         table = np.frombuffer(b"".join(shorts), np.uint16).reshape(len(rows), -1)
-        found = spanning(np.array(nodes, np.int64), np.array(roots, np.int64), np.array(asks), np.array(answers), table, list(bags_))
+        found = spanning(np.array(nodes, np.int64), np.array(roots, np.int64), np.array(asks), np.array(answers), table, list(bags_), close)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "asks", "answers", "short", "bag")), strict=True):
-            if rows and row[0] != rows[-1][0]:
-                yield block(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield block(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "root", "asks", "answers", "short", "bag")), strict=True):
+                if rows and row[0] != rows[-1][0]:
+                    yield block(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield block(rows)
+
+    return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", close: float = CLOSE) -> DataFrame:
     """(doc_id, node, root, class_id) for every row: its bag, the bag that stands for its class of near duplicates, and the
-    least key of the class."""
+    least key of the class. close: the share of registers on which signatures of a bucket agree before bags are compared."""
     texts = common.documents(docs, id_col, text_col)
     signed = common.written(common.mapped(texts, _sign, "doc_id long, node long, bands binary, short binary"), "signed")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc"))
@@ -337,7 +341,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = common.spread_join(named, sides, "band", "node").where("m is not null").withColumn("cell", F.explode(F.array_distinct(F.concat(asking, answering))))
     placed = placed.select(F.xxhash64("band", "cell").alias("block"), "node", "root", (F.col("asks") & (F.col("cell.i") == i)).alias("asks"), (F.col("cell.j") == j).alias("answers"))
     placed = placed.join(first.select("node", "short"), "node").join(blobs, "node").repartition("block").sortWithinPartitions("block")
-    late = common.written(common.mapped(placed.select("block", "node", "root", "asks", "answers", "short", "bag"), _near, "a long, b long").distinct(), "links")
+    late = common.written(common.mapped(placed.select("block", "node", "root", "asks", "answers", "short", "bag"), _near(close), "a long, b long").distinct(), "links")
     common.discard(named, blobs)
     named = nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     if not late.isEmpty():  # few links: between classes, not between nodes

@@ -104,3 +104,11 @@ def test_network_probabilities_are_the_plain_ones():
             pooled += [max(0.0, max(r[k] for r in responses)) for k in range(language.FILTERS)]
         z = np.array(pooled) @ net.out + net.out_bias
         assert np.allclose(p, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+
+
+def test_all_pairs_of_a_bucket_can_be_tested(spark):
+    words = [text(1) for _ in range(120)]
+    rows = [(k, " ".join(words[: 60 + k] + [text(1) for _ in range(RND.randint(0, 6))])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pick = lambda close: sorted((r.doc_id, r.class_id) for r in near_duplicates.classes(df, close=close).collect())
+    assert pick(0.0) == pick(near_duplicates.CLOSE)
