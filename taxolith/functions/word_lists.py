@@ -48,7 +48,7 @@ def patterns(lists: Mapping[str, Sequence[str]] = DEFAULT) -> tuple[list[str], d
     colour, abbreviation, size, unit = ("|".join(lists[k]) for k in ("colors", "color_abbrevs", "sizes", "unit_abbrevs"))
     literal_size = "|".join(map(quoted, lists["sizes"]))
     # The rules, in order.
-    deletion_1 = [
+    packs_and_fractions = [
         r"\(DV\)|\[DV\]|\(DC\)|\[DC\]",
         r"(?<=\s)\d+/(CT|CNT|CA|PK|BX|BG|CASE|PACK|BOX|BAG|RL|ROLL)",
         r"(?<=\s)\d+(?:-)?/(CNT|CT)/(CA|PK|BX|BG|RL|ROLL)",
@@ -60,7 +60,7 @@ def patterns(lists: Mapping[str, Sequence[str]] = DEFAULT) -> tuple[list[str], d
         r"\d+-\d+/\d+",
         r"\d+/\d+",
     ]
-    deletion_2 = [
+    sizes_units_and_signs = [
         rf"(?<=\s)\d+(?:(?:X\d+)|({unit}))*({unit})(?=\s|$)",
         rf"(?<=\s)\d+({unit})(?=\s|$)",
         rf"(?<=\s)({abbreviation})(?=\s|$)",
@@ -79,4 +79,4 @@ def patterns(lists: Mapping[str, Sequence[str]] = DEFAULT) -> tuple[list[str], d
         r"(?<=\s)X(?=\s|$)",
         rf"SZ(?=\s|$)|SZ\d\S*|\d+SZ\S*|SZ[./\-:;]\S*|SZ(?:{literal_size})\b",
     ]
-    return deletion_1, {"[']": " "}, deletion_2, {r"\s{2,}": " "}
+    return packs_and_fractions, {"[']": " "}, sizes_units_and_signs, {r"\s{2,}": " "}

@@ -50,7 +50,7 @@ def id_list(spark, sf):
     """Keys from a file with a header, other columns, quotes, blanks and repeats."""
     own = read(spark, sf, "labels").where("toxic = 1").select(F.lit("x,y").alias("note"), F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("Item ID"))
     path = _folder(spark, "ids")
-    own.unionByName(own).unionByName(own.limit(1).withColumn("Item ID", F.lit(" "))).coalesce(1).write.option("header", True).option("quoteAll", True).csv(path)
+    own.unionByName(own).unionByName(own.limit(1).withColumn("Item ID", F.lit(" "))).write.option("header", True).option("quoteAll", True).csv(path)
     return io.read_ids(spark, path)
 
 
