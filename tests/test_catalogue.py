@@ -11,7 +11,7 @@ from taxolith.functions import text as T
 from taxolith.functions import tokens as N
 from taxolith.functions import word_lists
 from taxolith.operators import calibration, cleaning, evaluation, features, filters, hierarchy, lookup, models, splits, tokens
-from taxolith.plans import crossval, fits, queries, recipes
+from taxolith.plans import crossval, fits, queries, recipes, runs
 from taxolith.plans.score import readability, score
 from taxolith.sources import bundle, io
 from taxolith.streaming import score as streaming
@@ -67,7 +67,7 @@ def test_every_query_against_its_sql(spark):
     for t in "region nation customer supplier part orders lineitem documents embeddings benchmark labels".split():
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     plain = lambda rows: sorted([tuple(round(float(v), 5) if isinstance(v, float) else v for v in r) for r in rows], key=repr)
-    assert set(queries.ORACLES) > {f.__name__ for f in (fits.svc_on_two, recipes.id_list)}  # those modules register theirs
+    assert set(queries.ORACLES) > {f.__name__ for f in (fits.svc_on_two, recipes.id_list, runs.refused_run)}  # those modules register theirs
     for name, sql in queries.ORACLES.items():
         df, want = queries.QUERIES[name](spark, sf), con.sql(sql)
         columns = sorted(df.columns)
