@@ -10,8 +10,10 @@ Which `LENGTH`-byte strings start more than once is decided in three steps, none
 3. A task concatenates slices up to `BLOCK` bytes, ranks the suffixes at difference-cover positions (by doubling, up
    to more than LENGTH bytes), sorts the starts' suffixes by their first `PERIOD` bytes, and resolves the ties bucket by
    bucket with the ranks at the offset where both suffixes are in the cover. Neighbours in that order are compared byte
-   by byte. Memory is bounded by the block: a bucket that is larger than a block is refined before it is dealt, down to
-   buckets of one string of LENGTH bytes, whose members need no order, only a count that tasks sum before it moves.
+   by byte. Memory is bounded by the block: the slices of a bucket that is larger than a block are cut to `FINE` starts and
+   dealt again by what these have in common, which is nearly the whole string, and are sorted like the others. What is
+   still larger than a block are thousands of strings that differ in less than FINE bytes at their ends; they are dealt as
+   single strings, whose members need no order, only a count that tasks sum before it moves.
 
 No step gathers the rows of one key in one task: a key's rows meet its count by `common.spread_join`.
 
@@ -43,6 +45,7 @@ from taxolith.llm.near_duplicates import bitmap, maybe_in, one_value, value_bitm
 LENGTH = 400
 MER = 24
 STEP = 64
+FINE = 8
 PERIOD = 64
 BLOCK = 1 << 20
 #: Words of a passage that is reported when another document has it too, and of the k-mers that its runs go by.
@@ -53,6 +56,7 @@ COVER = np.array(sorted({*range(ROOT), *(k % PERIOD for k in range(ROOT, PERIOD,
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 #: For two residues, the least offset that brings both into the cover.
 SHIFT = np.array([[next(d for d in range(PERIOD) if IN_COVER[(i + d) % PERIOD] and IN_COVER[(j + d) % PERIOD]) for j in range(PERIOD)] for i in range(PERIOD)], np.int64)
+SLICES = "g long, text long, low int, lead int, piece binary"
 RUNS = "text long, key long, ctx long, s int, e int, a int, k long, doc_id long, n_bytes long, sha binary"
 
 
@@ -114,7 +118,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a text and its differing runs: slices of at most STEP starts, by the hash of what these have in common."""
+    """From a text and its differing runs: slices of at most STEP starts, by the hash of what these have in common, which
+    begins `lead` bytes after the last start."""
     for batch in common.chunks(batches, "body"):
         out: list[tuple] = []
         for text, body, mine in zip(batch.column("text").to_pylist(), batch.column("body").to_pylist(), batch.column("runs").to_pylist(), strict=True):
@@ -127,11 +132,32 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range((r["a"] - r["e"]) // STEP, (r["a"] - r["s"]) // STEP + 1):
                     core = r["a"] - STEP * j
                     low, high = max(r["s"], core - STEP + 1), min(r["e"], core)
-                    out.append((text, core, j, r["key"], low, high, raw[low : high + LENGTH], spans.of(np.array([core]), np.array([core - STEP + 1 + LENGTH]))[0]))
+                    out.append((text, core - high, j, r["key"], low, high, raw[low : high + LENGTH], spans.of(np.array([core]), np.array([core - STEP + 1 + LENGTH]))[0]))
         if out:
-            text, _, j, key, low, high, piece, code = zip(*out, strict=True)
+            text, lead, j, key, low, _, piece, code = zip(*out, strict=True)
             group = common.mixed(np.array(code, np.uint64) + np.array(key, np.int64).view(np.uint64) * np.uint64(31) + np.array(j, np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(text, pa.int64()), pa.array(low, pa.int32()), pa.array(piece, pa.binary())], ["g", "text", "low", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(text, pa.int64()), pa.array(low, pa.int32()), pa.array(lead, pa.int32()), pa.array(piece, pa.binary())], ["g", "text", "low", "lead", "piece"])
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of buckets that are larger than a block -> slices of at most FINE starts, by their bucket and the hash of what
+    these starts have in common. Cuts are counted from what the starts of the old slice share, so equal strings keep together."""
+    for batch in common.chunks(batches, "piece"):
+        data, at = common.raw(batch.column("piece"))
+        g, text, low, lead = (batch.column(c).to_numpy() for c in ("g", "text", "low", "lead"))
+        starts = np.diff(at) - LENGTH + 1
+        far = lead + starts - 1  # from the first start to the shared bytes
+        count = far // FINE - lead // FINE + 1
+        owner = np.repeat(np.arange(len(starts)), count)
+        q = (lead // FINE)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        core = far[owner] - q * FINE
+        first, last = np.maximum(core - FINE + 1, 0), np.minimum(core, starts[owner] - 1)
+        base = at[owner]
+        code = common.SpanHash(data).of(base + core, base + core - FINE + 1 + LENGTH)
+        group = common.mixed(code + g[owner].view(np.uint64) * np.uint64(31) + q.astype(np.uint64)).view(np.int64)
+        raw = data.tobytes()
+        piece = [raw[a:b] for a, b in zip((base + first).tolist(), (base + last + LENGTH).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(text[owner]), pa.array((low[owner] + first).astype(np.int32)), pa.array((core - last).astype(np.int32)), pa.array(piece, pa.binary())], ["g", "text", "low", "lead", "piece"])
 
 
 def dense(order: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -239,7 +265,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of buckets that are larger than a block -> every string of theirs by two hashes."""
+    """Fine slices of buckets that are larger than a block -> every string of theirs by two hashes."""
     for batch in common.chunks(batches, "piece"):
         data, at = common.raw(batch.column("piece"))
         starts = np.diff(at) - LENGTH + 1
@@ -361,6 +387,16 @@ def passage_words(docs: DataFrame, readers: DataFrame) -> DataFrame:
     return sizes.join(hit, "text", "left").select("text", "n", F.coalesce("words", F.lit(0).cast("long")).alias("words"))
 
 
+def _ordered(pieces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of slices: the stretches of repeated starts in groups that fit in a block, the slices of the larger groups, and the
+    written table of groups that both read. A slice alone in its group has no repeats."""
+    groups = common.written(pieces.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.octet_length("piece")).alias("size")).where("m > 1").select("g", "size"), "groups")
+    small, large = groups.where(F.col("size") <= BLOCK), groups.where(F.col("size") > BLOCK)
+    fitting = maybe_in(pieces, "g", bitmap(small, "g")).join(small, "g").select("g", "text", "low", "piece").repartition("g").sortWithinPartitions("g")
+    others = common.spread_join(maybe_in(pieces, "g", bitmap(large, "g")), large, "g", "text").where("size is not null")
+    return common.mapped(fitting, _flagged, "text long, s int, e int"), others.select(*pieces.columns), groups
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte ranges), kept (SHA-256 of the rest), passage_words of every row."""
     docs = common.documents(docs, id_col, text_col)
@@ -381,22 +417,20 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mixed = stretches.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     open_ = common.spread_join(maybe_in(stretches.drop("n"), "key", bitmap(mixed, "key")), mixed, "key", "ctx").where("m > 1")
     open_ = open_.groupBy("text").agg(F.collect_list(F.struct("key", "s", "e", "a")).alias("runs"))
-    pieces = common.mapped(fetched(docs, open_.join(reader, "text")).select("text", "body", "runs"), _slices, "g long, text long, low int, piece binary")
+    pieces = common.mapped(fetched(docs, open_.join(reader, "text")).select("text", "body", "runs"), _slices, SLICES)
     pieces = common.written(pieces, "slices")
     common.discard(stretches)
-    groups = common.written(pieces.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.octet_length("piece")).alias("size")).where("m > 1").select("g", "size"), "groups")
-    small, large = groups.where(F.col("size") <= BLOCK), groups.where(F.col("size") > BLOCK)
-    fitting = maybe_in(pieces, "g", bitmap(small, "g")).join(small, "g").select("g", "text", "low", "piece").repartition("g").sortWithinPartitions("g")
-    partly = common.mapped(fitting, _flagged, "text long, s int, e int")
-    refined = common.spread_join(maybe_in(pieces, "g", bitmap(large, "g")), large, "g", "text").where("size is not null")
-    strings = common.mapped(refined.select("text", "low", "piece"), _strings, "string long, check long, text long, s int")
+    partly, larger, groups = _ordered(pieces)
+    fine = common.written(common.mapped(larger, _finer, SLICES), "slices")
+    nearly, same_, fine_groups = _ordered(fine)
+    strings = common.mapped(same_.select("text", "low", "piece"), _strings, "string long, check long, text long, s int")
     strings = common.written(strings, "strings")
     often = strings.groupBy("string", "check").agg(F.count("*").alias("n")).where("n > 1").groupBy("string").agg(F.collect_list("check").alias("checks"))
     single = common.spread_join(strings, often, "string", "text").where(F.array_contains("checks", F.col("check"))).select("text", "s", F.col("s").alias("e"))
 
-    every = settled.unionByName(partly).unionByName(single).groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("stretches"))
+    every = settled.unionByName(partly).unionByName(nearly).unionByName(single).groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("stretches"))
     every = common.written(every.join(reader, "text"), "removed")
-    common.discard(settled, strings, groups, pieces)
+    common.discard(settled, strings, groups, pieces, fine, fine_groups)
     kept = common.mapped(fetched(docs, every).select("text", "body", "stretches"), _kept, "text long, n_removed long, spans array<struct<start:long,end:long>>, kept binary").dropDuplicates(["text"])
     copies = texts.groupBy("text").agg(F.count("*").alias("copies"))
     kept = passage_words(docs, reader).join(copies, "text").join(kept, "text", "left")
