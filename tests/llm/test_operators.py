@@ -259,24 +259,6 @@ def test_repeats(odd, empty, monkeypatch, block):
     assert repeats.removals(empty).count() == 0
 
 
-def test_finer_slices_hold_each_start_once(spark):
-    rnd = random.Random(8)
-    shared = bytes(rnd.choice(b"abcd") for _ in range(700))
-    rows = []
-    for k in range(20):  # slices of one group: the same bytes from place 100 on, as far as they go
-        first, last = sorted((rnd.randint(37, 100), rnd.randint(37, 100)))
-        own = bytes(rnd.choice(b"ab") for _ in range(90)) + shared[90:]
-        rows.append((5, k, first, 100 - last, bytearray(own[first : last + 400])))
-    got = common.mapped(spark.createDataFrame(rows, repeats.SLICES), repeats._finer, repeats.SLICES).collect()
-    starts = lambda slices: sorted((r[1], r[2] + i, bytes(r[4][i : i + 400])) for r in slices for i in range(len(r[4]) - 399))
-    assert starts(got) == starts(rows) and max(len(r.piece) for r in got) <= 399 + repeats.FINE
-    groups = collections.defaultdict(set)
-    for r in got:
-        for _, place, string in starts([r]):
-            groups[string, place].add(r.g)
-    assert {len(x) for x in groups.values()} == {1}  # equal strings meet
-
-
 def plain_passages(rows, n=51):
     find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
     docs = [(i, find(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in rows]
