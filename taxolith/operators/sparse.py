@@ -2,16 +2,19 @@
 
 A vocabulary without a cap grows with the texts, so neither the driver nor a plan holds it: terms are counted, chosen and
 numbered as rows, and texts meet them in joins. Weights are rows (feature, block, w): the numbers of `BLOCK` classes each,
-written where all tasks can read them, so Spark knows their size and sends them whole only if they are small; else both
-sides are dealt by feature. What a text meets is summed in the tasks, block by block, before it moves to the text's key.
+written where all tasks can read them. Texts are dealt by key to buckets, a bucket asks for each of its terms once
+(`features.met`), and what a text meets is summed in its bucket, block by block: no occurrence of a term moves.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from taxolith.operators.hierarchy import Tree
 from taxolith.sources.io import stored
 
 BLOCK = 64
+#: Weights that are sent whole to every task, at most.
+NUMBERS = 1 << 21
 #: The block of a term's own row: that it is known, whatever class has it.
 KNOWN = -1
 EMPTY = "struct(cast(array() as array<int>) as places, cast(array() as array<double>) as values)"
@@ -37,17 +42,30 @@ def term_table(df: DataFrame, key: str, text_col: str, how: Features) -> DataFra
 
 def sparse_rows(df: DataFrame, key: str, text_col: str, how: Features, terms: DataFrame, out: str = "features") -> DataFrame:
     """df with a struct of places and values (counts), places ascending; texts without known terms have empty ones."""
-    met = features.term_counts(df, key, text_col, how).join(terms.select("feature", "place"), "feature")
-    ordered = F.array_sort(F.collect_list(F.struct("place", F.col("tf").cast("double").alias("tf"))))
-    packed = met.groupBy(key).agg(ordered.alias("_x")).select(key, F.struct(F.transform("_x", lambda x: x["place"]).alias("places"), F.transform("_x", lambda x: x["tf"]).alias("values")).alias(out))
+
+    def run(own: features.Met) -> Mapping[str, pa.Array]:
+        place = own.column("place").astype(np.int32)[own.term]
+        order = np.lexsort((place, own.row))
+        there, first = np.unique(own.row, return_index=True)
+        at = pa.array(np.append(first, len(place)), pa.int32())
+        places, values = (pa.ListArray.from_arrays(at, pa.array(x[order], kind)) for x, kind in ((place, pa.int32()), (own.tf, pa.float64())))
+        return {key: own.keys.take(pa.array(there)), out: pa.StructArray.from_arrays([places, values], ["places", "values"])}
+
+    packed = features.met(df.where(F.col(key).isNotNull()), key, text_col, how, terms.select("feature", "place"), run, f"`{key}` {dict(df.dtypes)[key]}, `{out}` struct<places: array<int>, values: array<double>>")
     return df.join(packed, key, "left").withColumn(out, F.coalesce(out, F.expr(EMPTY)))
 
 
 def known_tokens(df: DataFrame, key: str, text_col: str, terms: DataFrame) -> DataFrame:
     """df with n_tokens, n_known_tokens (tokens that are features of their own, each time they occur) and known_share. What it
     costs a row goes by the row's tokens, whatever the number of terms."""
-    tokens = features.term_counts(df, key, text_col, Features("count"))
-    hits = tokens.withColumnRenamed("tf", "_tf").join(terms.select("feature"), "feature", "left_semi").groupBy(key).agg(F.sum("_tf").cast("int").alias("n_known_tokens"))
+
+    def run(own: features.Met) -> Mapping[str, pa.Array]:
+        known = np.bincount(own.order[0], minlength=len(own.keys))
+        there = np.flatnonzero(known)
+        return {key: own.keys.take(pa.array(there)), "n_known_tokens": pa.array(known[there], pa.int32())}
+
+    single = terms.select("feature").where(~F.col("feature").contains(" "))
+    hits = features.met(df.where(F.col(key).isNotNull()), key, text_col, Features("count"), single, run, f"`{key}` {dict(df.dtypes)[key]}, n_known_tokens int")
     out = df.withColumn("n_tokens", F.size(N.tokenize(F.col(text_col)))).join(hits, key, "left").withColumn("n_known_tokens", F.coalesce("n_known_tokens", F.lit(0)))
     return out.withColumn("known_share", share(F.col("n_known_tokens"), F.col("n_tokens")))
 
@@ -73,27 +91,46 @@ class TableModel:
     temperature: float = 1.0
 
     def sums(self, df: DataFrame, key: str, text_col: str) -> DataFrame:
-        """key, _s (the weights' sum by class), _known (known terms), _words (single ones among them), _square."""
-        n = len(self.prior)
-        wide = min(BLOCK, n)
-        met = features.term_counts(df, key, text_col, self.how).join(self.weights, "feature")
-        own = F.col("block") == KNOWN
-        tf = F.col("tf").cast("double")
-        parts = met.groupBy(key, "block").agg(
-            F.array(*[F.sum(F.get("w", k) * tf) for k in range(wide)]).alias("_s"), F.sum(F.when(own, tf)).alias("_known"),
-            F.sum(F.when(own & ~F.col("feature").contains(" "), tf)).alias("_words"), F.sum(F.when(own, tf * tf)).alias("_square"),
-        )
-        blocks = F.map_from_entries(F.collect_list(F.when(~own, F.struct("block", "_s"))))
-        out = parts.groupBy(key).agg(blocks.alias("_b"), *[F.max(c).alias(c) for c in ("_known", "_words", "_square")])
-        zeros = F.array_repeat(F.lit(0.0), wide)
-        whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-n // BLOCK) - 1)), lambda b: F.coalesce(F.col("_b")[b], zeros)))
-        return out.select(key, F.slice(whole, 1, n).alias("_s"), "_known", "_words", "_square")
-
-    def probabilities(self, df: DataFrame, key: str, text_col: str) -> tuple[DataFrame, list[str]]:
-        """df with an array column p_<level> a level, n_tokens, n_known_tokens and known_share."""
+        """key, _s (the weights' sum by class), _known (known terms), _words (single ones among them), _square. Texts without
+        known terms have no row."""
+        n, wide = len(self.prior), min(BLOCK, len(self.prior))
+
+        def run(own: features.Met) -> Mapping[str, pa.Array]:
+            many = len(own.keys)
+            block = own.table.column("block").to_numpy()
+            w = features.whole(own.table.column("w"))
+            known = np.zeros(len(own.names))
+            known[own.at[block == KNOWN]] = 1
+            single = pc.invert(pc.match_substring(own.names, " ")).to_numpy(zero_copy_only=False)
+            tf = own.tf * known[own.term]
+            out = np.zeros((many, n if n <= BLOCK else -(-n // BLOCK) * BLOCK))
+            for b in np.unique(block[block != KNOWN]):
+                of = np.flatnonzero(block == b)
+                place = np.full(len(own.names), -1)
+                place[own.at[of]] = np.arange(len(of))
+                weights = w.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), wide)
+                hit = np.flatnonzero(place[own.term] >= 0)
+                for a in range(0, len(hit), features.PAIRS):  # some pairs at a time: a term's weights are a row of numbers
+                    part = hit[a : a + features.PAIRS]
+                    row = own.row[part]
+                    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    out[row[first], b * BLOCK : b * BLOCK + wide] += np.add.reduceat(weights[place[own.term[part]]] * own.tf[part][:, None], first)
+            there = np.flatnonzero(np.bincount(own.row, tf, many))
+            numbers = {"_known": tf, "_words": tf * single[own.term], "_square": tf * tf}
+            flat = pa.array(out[there, :n].ravel(), pa.float64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1) * n, pa.int32()), flat)
+            return {key: own.keys.take(pa.array(there)), "_s": lists, **{c: pa.array(np.bincount(own.row, x, many)[there], pa.float64()) for c, x in numbers.items()}}
+
+        return features.met(df.where(F.col(key).isNotNull()), key, text_col, self.how, self.weights, run, f"`{key}` {dict(df.dtypes)[key]}, _s array<double>, _known double, _words double, _square double", small=bool(self.how.most) and self.how.most * n <= NUMBERS)
+
+    def probabilities(self, df: DataFrame, key: str, text_col: str, sums: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+        """df with an array column p_<level> a level, n_tokens, n_known_tokens and known_share. sums: those of the texts, if
+        they are there already."""
         zero = F.lit(0.0)
         n = len(self.prior)
-        out = df.join(self.sums(df, key, text_col), key, "left").withColumns({"_s": F.coalesce("_s", F.array_repeat(zero, n)), **{c: F.coalesce(c, zero) for c in ("_known", "_words", "_square")}})
+        sums = self.sums(df, key, text_col) if sums is None else sums
+        counted = df.withColumn("n_tokens", F.size(N.tokenize(F.col(text_col))))  # before the join, which then need not move the text for it
+        out = counted.join(sums, key, "left").withColumns({"_s": F.coalesce("_s", F.array_repeat(zero, n)), **{c: F.coalesce(c, zero) for c in ("_known", "_words", "_square")}})
         names, start = [], 1
         for level, size in zip(self.tree.levels, self.tree.sizes, strict=True):
             own = F.struct(F.slice("_s", start, size).alias("s"), "_known", F.sqrt("_square").alias("norm"))
@@ -101,7 +138,7 @@ class TableModel:
             out = out.withColumn(f"p_{level}", A.softmax(A.bind(own, self._margins(prior, low)), self.temperature))
             names.append(f"p_{level}")
             start += size
-        out = out.withColumns({"n_tokens": F.size(N.tokenize(F.col(text_col))), "n_known_tokens": F.col("_words").cast("int")})
+        out = out.withColumn("n_known_tokens", F.col("_words").cast("int"))
         return out.withColumn("known_share", share(F.col("n_known_tokens"), F.col("n_tokens"))).drop("_s", "_known", "_words", "_square"), names
 
     def _margins(self, prior: Column, low: Column):
@@ -111,16 +148,16 @@ class TableModel:
 
 
 def fit_table(df: DataFrame, key: str, text_col: str, tree: Tree, how: Features, kind: str = "bayes", temperature: float | None = None) -> TableModel:
-    """Counts by term and class, from one pass over the texts; the driver gets a few numbers a class. Rows whose labels the
+    """Counts by term and classes, from one pass over the texts and summed before they move; the driver gets a few numbers a class. Rows whose labels the
     tree lacks help to choose the terms, and no class."""
     codes = [f"code_{c}" for c in tree.levels]
     coded = tree.encode(df).select(key, *codes, text_col)
-    counts = coded.repartition(key).select(key, *codes, F.explode(how.grams(F.col(text_col))).alias("feature")).groupBy(key, *codes, "feature").agg((F.lit(1) if how.binary else F.count("*")).cast("long").alias("tf"))
-    counts = stored(counts, "counts")
-    chosen = stored(features.selected(counts, df.count(), how).select("feature"), "terms")
+    counts = features.term_counts(coded, key, text_col, how, codes).groupBy("feature", *codes).agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    counts = stored(counts, "counts")  # terms by classes: summed in the tasks before they move
+    chosen = stored(features.within(counts.groupBy("feature").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), df.count(), how).select("feature"), "terms")
     starts = [sum(tree.sizes[:k]) for k in range(len(tree.levels))]
     classes = F.array(*[F.when(F.col(c) >= 0, F.col(c) + s) for c, s in zip(codes, starts, strict=True)])
-    cells = counts.join(chosen, "feature", "left_semi").select("feature", F.explode(classes).alias("class"), "tf").where("class is not null").groupBy("feature", "class").agg(F.sum("tf").alias("n"))
+    cells = counts.join(chosen, "feature", "left_semi").select("feature", F.explode(classes).alias("class"), "total").where("class is not null").groupBy("feature", "class").agg(F.sum("total").alias("n"))
     cells = stored(cells, "cells")
     n = sum(tree.sizes)
     rows, total, square = [0] * n, [0] * n, [0.0] * n

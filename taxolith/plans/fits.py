@@ -58,9 +58,10 @@ def sparse_centroids(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang", F.concat_ws("/", "lang", "source").alias("both"))
     tree = hierarchy.Tree.fit(docs, ["lang", "both"])
     own = sparse.fit_table(docs, "doc_id", "text", tree, features.Features("count", min_df=3, max_df=1.0, most=None), "cosine")
-    df, probs = own.probabilities(docs, "doc_id", "text")
+    sums = io.stored(own.sums(docs, "doc_id", "text"), "sums")
+    df, probs = own.probabilities(docs, "doc_id", "text", sums)
     top, total = F.array_max(probs[1]), A.total(F.transform(probs[1], lambda p: p * 0 + 1))
-    by_cosine = own.sums(docs, "doc_id", "text").select("doc_id", (F.array_max(F.slice("_s", tree.sizes[0] + 1, tree.sizes[1])) / F.sqrt("_square")).alias("cosine"))
+    by_cosine = sums.select("doc_id", (F.array_max(F.slice("_s", tree.sizes[0] + 1, tree.sizes[1])) / F.sqrt("_square")).alias("cosine"))
     out = df.select("doc_id", top.alias("top"), total.cast("int").alias("classes")).join(by_cosine, "doc_id", "left")
     return rounded(out.withColumn("cosine", F.coalesce("cosine", F.lit(0.0))), 5)
 
