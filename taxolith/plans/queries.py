@@ -210,7 +210,7 @@ _FOLD = f"(SELECT doc_id, CASE WHEN contains(x, ' ') THEN array_to_string(list_s
 def top_folded_bigrams(spark, sf):
     docs = read(spark, sf, "documents")
     how = features.Features("count", 1, 2, min_df=3, max_df=1.0, most=None, binary=True, fold=True)
-    return rounded(features.top_features(features.fit_transform(docs, [], "doc_id", "text", how)[0], 50, docs.count()))
+    return rounded(features.top_chosen(features.fit_transform(docs, [], "doc_id", "text", how)[2], 50, docs.count()))
 
 
 @query(f"WITH k AS (SELECT feature, count(DISTINCT doc_id) AS df FROM {_FOLD} GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3) SELECT 'folded' AS name, count(*) AS features, round(sum(df) / (count(*) * (SELECT count(*) FROM documents)), 6) AS density, round(sum(df) / (SELECT count(*) FROM documents), 6) AS mean_nnz FROM k")
