@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taxolith.functions import tokens as N
+from taxolith.operators import features
+from taxolith.sources.io import stored
 
 
 def ngram_counts(df: DataFrame, text_col: str, label: str | None = None, low: int = 1, high: int = 1, min_count: int = 1, min_classes: int = 0) -> DataFrame:
@@ -37,16 +42,24 @@ def keep_vocabulary(train: DataFrame, text_col: str, min_count: int, min_classes
 
 def pruned(df: DataFrame, key: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
     """Texts reduced to the vocabulary's tokens, in order; all rows stay. For key values that are unique."""
-    tokens = df.select(key, F.posexplode(N.tokenize(F.col(text_col))).alias("_p", "token"))
-    kept = tokens.join(vocabulary, "token", "left_semi").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "token"))), lambda x: x["token"]), " ").alias("_kept"))
-    return df.join(kept, key, "left").withColumn(text_col, F.coalesce("_kept", F.lit(""))).drop("_kept")
+
+    def run(own: features.Met) -> Mapping[str, pa.Array]:
+        order = np.argsort(own.order[0], kind="stable")
+        there, first = np.unique(own.order[0][order], return_index=True)
+        words = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), own.names.take(pa.array(own.order[1][order])))
+        return {key: own.keys.take(pa.array(there)), "_kept": pc.binary_join(words, " ")}
+
+    known = vocabulary.select(F.col("token").alias("feature"))
+    kept = features.met(df.where(F.col(key).isNotNull()), key, text_col, features.Features("count"), known, run, f"`{key}` {dict(df.dtypes)[key]}, _kept string")
+    out = df.drop(text_col).join(kept, key, "left").withColumn(text_col, F.coalesce("_kept", F.lit("")))
+    return out.select(*[f"`{c}`" for c in df.columns])
 
 
 def drop_rare_tokens(train: DataFrame, others: Sequence[DataFrame], key: str, text_col: str, min_count: int, min_classes: int = 0, label: str | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
     """All splits pruned by the training rows' counts; untouched if nothing is asked for."""
     if min_count <= 1 and min_classes <= 0:
         return train, list(others), None
-    vocabulary = keep_vocabulary(train, text_col, min_count, min_classes, label)
+    vocabulary = stored(keep_vocabulary(train, text_col, min_count, min_classes, label), "vocabulary")
     return pruned(train, key, text_col, vocabulary), [pruned(o, key, text_col, vocabulary) for o in others], vocabulary
 
 
