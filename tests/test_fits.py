@@ -237,3 +237,25 @@ def test_word_vectors_are_read_again_or_trained_anew(spark, tmp_path):
         again = features.saved_or_trained(df, "tokens", path, 3, min_count=1, epochs=1).collect()
     assert {len(r.vector) for r in again} == {3}
     assert [r.k for r in filters.sampled(spark.range(50).withColumnRenamed("id", "k").repartition(7), "k", 5).collect()] == [r.k for r in filters.sampled(spark.range(50).withColumnRenamed("id", "k"), "k", 5).collect()]
+
+
+def test_steps_scaled_by_the_diagonal_are_fewer(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 40)) < np.geomspace(0.9, 0.01, 40)) * np.geomspace(30, 1, 40)
+    matrix, right, taken = x.T @ x + np.eye(40), rng.normal(size=(40, 3)), []
+
+    def product(p):
+        taken.append(1)
+        return matrix @ p
+
+    plain, steps = gradients.solved(product, right, 400), len(taken)
+    scaled = gradients.solved(product, right, 400, diagonal=np.diag(matrix))
+    assert np.allclose(plain, np.linalg.solve(matrix, right), atol=1e-5) and np.allclose(scaled, plain, atol=1e-5) and len(taken) - steps < steps / 2
+    row, place, value = np.array([0, 0, 1, 3]), np.array([2, 5, 2, 0]), np.array([1.0, 2.0, 3.0, 4.0])
+    want, right = np.zeros((6, 2)), rng.normal(size=(4, 2))
+    np.add.at(want, place, right[row] * value[:, None])
+    for few in (0, 16):  # sorted by place, and column by column
+        out = np.zeros((6, 2))
+        monkeypatch.setattr(gradients, "FEW", few)
+        gradients.turned((row, place, value), right, out)
+        assert np.allclose(out, want)
