@@ -102,7 +102,8 @@ def met(df: DataFrame, key: str, text_col: str, how: Features, table: DataFrame,
     texts = df.select(key, F.col(text_col).alias("_text"))
     size = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
     n = max(1, -(-size // BUCKET))
-    dealt = texts.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition(n, "_bucket")
+    bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    dealt = texts.repartition(n, bucket).withColumn("_bucket", bucket)  # worked out behind the exchange: both readers then need the same columns, and share it
     asked = dealt.select(F.col("_bucket").alias("_for"), F.explode(F.array_distinct(how.grams(F.col("_text")))).alias("feature")).distinct()
     found = asked.join(F.broadcast(table) if small else table.hint("shuffle_hash"), "feature").repartition(n, "_for")
 
