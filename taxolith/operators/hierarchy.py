@@ -86,7 +86,10 @@ class Tree:
 
     def encode(self, df: DataFrame) -> DataFrame:
         """df with code_<level>: place in the sorted classes, -1 for classes not in the tree and nulls."""
-        return df.withColumns({f"code_{c}": F.coalesce(F.array_position(F.lit(list(own)), F.col(c).cast("string")).cast("int") - 1, F.lit(-1)) for c, own in zip(self.levels, self.classes, strict=True)})
+        return df.withColumns({f"code_{c}": self.code(F.col(c), k) for k, c in enumerate(self.levels)})
+
+    def code(self, label: Column, level: int) -> Column:
+        return F.coalesce(F.array_position(F.lit(list(self.classes[level])), label.cast("string")).cast("int") - 1, F.lit(-1))
 
     def decode(self, code: Column, level: int) -> Column:
         return F.when(code >= 0, F.get(F.lit(list(self.classes[level])), code))

@@ -9,7 +9,7 @@ written where all tasks can read them. Texts are dealt by key to buckets, a buck
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,8 @@ from taxolith.sources.io import stored
 BLOCK = 64
 #: Weights that are sent whole to every task, at most.
 NUMBERS = 1 << 21
+#: Rows of weights that are written at a time.
+ROWS = 1 << 14
 #: The block of a term's own row: that it is known, whatever class has it.
 KNOWN = -1
 EMPTY = "struct(cast(array() as array<int>) as places, cast(array() as array<double>) as values)"
@@ -147,33 +149,88 @@ class TableModel:
         return lambda v: F.transform(v["s"], lambda s: F.when(v["norm"] > 0, s / v["norm"]).otherwise(0.0))
 
 
-def fit_table(df: DataFrame, key: str, text_col: str, tree: Tree, how: Features, kind: str = "bayes", temperature: float | None = None) -> TableModel:
+def class_counts(df: DataFrame, key: str, text_col: str, labels: Sequence[str], how: Features) -> DataFrame:
+    """feature, cells: a term's occurrences (total) and rows (df) by the rows' labels. Summed in the tasks before they move; a
+    term's cells are one row, so that what is learned from them, or from some of them, is worked out where they lie."""
+    counts = features.term_counts(df.select(key, *labels, text_col), key, text_col, how, labels)
+    counts = counts.groupBy("feature", *labels).agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    return counts.groupBy("feature").agg(F.collect_list(F.struct(*labels, "total", "df")).alias("cells"))
+
+
+def _by_class(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, class and occurrences, summed, of rows feature, classes, totals; a total belongs to one class a level, -1 is none."""
+    classes, totals = batch.column("classes"), batch.column("totals")
+    cells = totals.value_lengths().to_numpy(zero_copy_only=False)
+    label, total = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (classes, totals))
+    levels = len(label) // max(len(total), 1)
+    row, total = (np.repeat(x, levels) for x in (np.repeat(np.arange(len(cells)), cells), total))
+    known = label >= 0
+    many = int(label.max(initial=0)) + 1
+    pairs, place = np.unique(row[known] * many + label[known], return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, place, total[known])
+    return pairs // many, pairs % many, n
+
+
+def fit_table(df: DataFrame, key: str, text_col: str, tree: Tree, how: Features, kind: str = "bayes", temperature: float | None = None, counted: DataFrame | None = None) -> TableModel:
     """Counts by term and classes, from one pass over the texts and summed before they move; the driver gets a few numbers a class. Rows whose labels the
-    tree lacks help to choose the terms, and no class."""
+    tree lacks help to choose the terms, and no class. counted: these rows' `class_counts` by the tree's levels, if they are there already."""
     codes = [f"code_{c}" for c in tree.levels]
     coded = tree.encode(df).select(key, *codes, text_col)
-    counts = features.term_counts(coded, key, text_col, how, codes).groupBy("feature", *codes).agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    counts = stored(counts, "counts")  # terms by classes: summed in the tasks before they move
-    chosen = stored(features.within(counts.groupBy("feature").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), df.count(), how).select("feature"), "terms")
     starts = [sum(tree.sizes[:k]) for k in range(len(tree.levels))]
-    classes = F.array(*[F.when(F.col(c) >= 0, F.col(c) + s) for c, s in zip(codes, starts, strict=True)])
-    cells = counts.join(chosen, "feature", "left_semi").select("feature", F.explode(classes).alias("class"), "total").where("class is not null").groupBy("feature", "class").agg(F.sum("total").alias("n"))
-    cells = stored(cells, "cells")
+    if counted is None:
+        counts = stored(class_counts(coded, key, text_col, codes, how), "counts")
+        found = lambda x: [x[c] for c in codes]
+    else:
+        counts = counted
+        found = lambda x: [tree.code(x[c], k) for k, c in enumerate(tree.levels)]
+    classes = F.flatten(F.transform("cells", lambda x: F.array(*[F.when(c >= 0, c + s).otherwise(-1) for c, s in zip(found(x), starts, strict=True)])))
+    add = lambda c: F.aggregate(F.transform("cells", lambda x: x[c]), F.lit(0).cast("long"), lambda a, x: a + x).alias(c)
+    terms = counts.select("feature", add("df"), add("total"), classes.alias("classes"), F.transform("cells", lambda x: x["total"]).alias("totals")).where("df > 0")
+    n_rows = df.count()
+    if how.most:  # the choice moves names alone
+        terms = terms.join(features.within(terms.select("feature", "df", "total"), n_rows, how).select("feature"), "feature", "left_semi")
+    else:
+        terms = features.within(terms, n_rows, how)
+    terms = stored(terms.select("feature", "classes", "totals"), "terms")
     n = sum(tree.sizes)
+    wide = min(BLOCK, n)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, square = np.zeros(n, np.int64), np.zeros(n)
+        for batch in batches:
+            _, label, times = _by_class(batch)
+            np.add.at(total, label, times)
+            np.add.at(square, label, times.astype(float) ** 2)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there]), pa.array(square[there])], ["class", "n", "square"])
+
     rows, total, square = [0] * n, [0] * n, [0.0] * n
-    for r in coded.select(F.explode(classes).alias("class")).where("class is not null").groupBy("class").count().collect():  # one row a class
+    own = F.array(*[F.when(F.col(c) >= 0, F.col(c) + s) for c, s in zip(codes, starts, strict=True)])
+    for r in coded.select(F.explode(own).alias("class")).where("class is not null").groupBy("class").count().collect():  # one row a class
         rows[r["class"]] = r["count"]
-    for r in cells.groupBy("class").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("square")).collect():  # one row a class
+    for r in terms.mapInArrow(numbers, "class int, n long, square double").groupBy("class").agg(F.sum("n").alias("n"), F.sum("square").alias("square")).collect():  # one row a class
         total[r["class"]], square[r["class"]] = r.n, r.square
-    n_terms = chosen.count()
-    norms = F.lit([math.sqrt(x) or 1.0 for x in square])
-    weight = F.log1p("n") if kind == "bayes" else F.col("n") / F.get(norms, F.col("class"))
-    entries = cells.select("feature", F.expr(f"cast(class div {BLOCK} as int)").alias("block"), F.expr(f"cast(class % {BLOCK} as int)").alias("place"), weight.alias("weight"))
-    there = F.map_from_entries(F.collect_list(F.struct("place", "weight")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(min(BLOCK, n) - 1)), lambda k: F.coalesce(F.col("_m")[k], F.lit(0.0)))
-    weights = entries.groupBy("feature", "block").agg(there.alias("_m")).select("feature", "block", dense.alias("w"))
-    known = chosen.select("feature", F.lit(KNOWN).alias("block"), F.expr("cast(array() as array<double>)").alias("w"))
-    weights = stored(weights.unionByName(known), "weights")
+    n_terms = terms.count()
+    norms = np.array([math.sqrt(x) or 1.0 for x in square])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("feature")
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(names) + 1), pa.int32()), pa.array([], pa.float64()))
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), KNOWN), pa.int32()), empty], ["feature", "block", "w"])
+            row, label, times = _by_class(batch)
+            weight = np.log1p(times) if kind == "bayes" else times / norms[label]
+            many = n // BLOCK + 1
+            blocks, place = np.unique(row * many + label // BLOCK, return_inverse=True)
+            for a in range(0, len(blocks), ROWS):  # some rows at a time: each is a block of numbers
+                part = blocks[a : a + ROWS]
+                w, (first, last) = np.zeros((len(part), wide)), np.searchsorted(place, [a, a + ROWS])
+                w[place[first:last] - a, label[first:last] % BLOCK] = weight[first:last]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * wide, pa.int32()), pa.array(w.ravel()))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part // many)), pa.array(part % many, pa.int32()), lists], ["feature", "block", "w"])
+
+    weights = stored(terms.mapInArrow(weigh, "feature string, block int, w array<double>"), "weights")
     prior, low = [0.0] * n, [0.0] * n
     if kind == "bayes":
         for s, size in zip(starts, tree.sizes, strict=True):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from taxolith.operators import evaluation, features, filters, hierarchy, models, sparse, splits, tokens
 from taxolith.sources.bundle import read_text, there, write_text
+from taxolith.sources.io import stored
 
 #: Settings that may differ when a run goes on.
 VOLATILE = ("path", "partitions", "comment")
@@ -34,12 +35,13 @@ def out_of_fold(df: DataFrame, key: str, column: str, levels: Sequence[str], k:
 
 def recipe_fold(
     rows: DataFrame, held: int, key: str, text_col: str, levels: Sequence[str], how: features.Features, model: str = "multinomial_nb", blacklist: DataFrame | None = None, scope: str = "train",
-    min_count: int = 1, keep_unwinnable: bool = True, fold: str = "fold",
+    min_count: int = 1, keep_unwinnable: bool = True, fold: str = "fold", counted: DataFrame | None = None,
 ) -> tuple[DataFrame, models.LevelModels | sparse.TableModel, dict]:
     """One fold's whole recipe: excluded keys, rare tokens, the tree, the vectorizer and the models are all learned from the
     other folds' rows alone; then the held-out rows are scored. Returns their scores, the models, and what was learned.
 
-    Held-out rows of a class that the training rows lack can't be won: they stay, marked `winnable`, or go."""
+    Held-out rows of a class that the training rows lack can't be won: they stay, marked `winnable`, or go. counted: the rows'
+    `counted_by_fold`, from which those of the other folds are summed; without it the training rows' terms are counted here."""
     train, own = rows.where(F.col(fold) != held), rows.where(F.col(fold) == held)
     if blacklist is not None:
         train, own = filters.scoped(train, own, blacklist, key, scope)
@@ -50,7 +52,8 @@ def recipe_fold(
     if not keep_unwinnable:
         own = own.where("winnable")
     if how.most is None and model in BY_TABLE:  # a vocabulary without a cap stays a table
-        fitted = sparse.fit_table(train, key, text_col, tree, how, BY_TABLE[model])
+        others = None if counted is None else counted.withColumn("cells", F.filter("cells", lambda x: x[fold] != held))
+        fitted = sparse.fit_table(train, key, text_col, tree, how, BY_TABLE[model], counted=others)
         scored, probs = fitted.probabilities(own, key, text_col)
         scored, n_features = scored.drop("n_tokens", "n_known_tokens", "known_share"), fitted.n_terms
     else:
@@ -62,6 +65,12 @@ def recipe_fold(
     return out, fitted, {"features": n_features, "paths": len(tree.paths)}
 
 
+def counted_by_fold(rows: DataFrame, key: str, text_col: str, levels: Sequence[str], how: features.Features, blacklist: DataFrame | None = None, fold: str = "fold") -> DataFrame:
+    """Each term's counts by fold and labels, written: the texts are read once for all folds, of which each sums the others'."""
+    train = rows if blacklist is None else filters.drop_ids(rows, blacklist, key)
+    return stored(sparse.class_counts(train, key, text_col, [fold, *levels], how), "folds")
+
+
 def run_recipe(
     spark: SparkSession, df: DataFrame, path: str, key: str, text_col: str, levels: Sequence[str], how: features.Features, k: int = 5, seed: int = 0, only: Sequence[int] | None = None,
     blacklist: DataFrame | None = None, config: Mapping | None = None, **recipe,
@@ -70,10 +79,11 @@ def run_recipe(
     settings = {"k": k, "seed": seed, "levels": list(levels), "text": text_col, "features": dataclasses.asdict(how), **{n: v for n, v in recipe.items() if isinstance(v, str | int | float | bool)}, **(config or {})}
     started(spark, df, path, key, identity(df, key, [text_col, *levels], settings, blacklist))
     rows = splits.id_hash_fold(df, key, k, seed)
-    for f in only if only is not None else range(k):
-        if there(spark, f"{path}/done_{f}.json"):
-            continue
-        scored, _, learned = recipe_fold(rows, f, key, text_col, levels, how, blacklist=blacklist, **recipe)
+    due = [f for f in (only if only is not None else range(k)) if not there(spark, f"{path}/done_{f}.json")]
+    by_table = how.most is None and recipe.get("model", "multinomial_nb") in BY_TABLE and recipe.get("min_count", 1) <= 1  # else a fold has texts or features of its own
+    counted = counted_by_fold(rows, key, text_col, levels, how, blacklist) if by_table and len(due) > 1 else None
+    for f in due:
+        scored, _, learned = recipe_fold(rows, f, key, text_col, levels, how, blacklist=blacklist, counted=counted, **recipe)
         scored.drop("fold").write.mode("overwrite").parquet(f"{path}/fold={f}")
         done = spark.read.parquet(f"{path}/fold={f}")
         stats = done.agg(F.count("*").alias("rows"), F.avg((~F.col("winnable")).cast("int")).alias("unseen_share")).first().asDict()

@@ -1,6 +1,12 @@
 """What several readers or folds need is moved, or counted, once."""
 
-from taxolith.operators import features, sparse
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from taxolith.operators import features, hierarchy, sparse, splits
+from taxolith.plans import crossval
 
 ROWS = [(1, "aa bb aa cc", "x"), (2, "bb cc zz", "x"), (3, "dd dd cc", "y"), (4, None, "y"), (5, "", "x"), (6, "bb aa bb", "x"), (7, "cc dd ee", "z")]
 
@@ -12,3 +18,41 @@ def test_texts_move_once_to_meet_a_table(spark, monkeypatch):
     out = sparse.known_tokens(docs, "id", "t", terms)
     assert {r.id: (r.n_tokens, r.n_known_tokens) for r in out.collect()} == {1: (4, 3), 2: (3, 1), 3: (3, 2), 4: (0, 0), 5: (0, 0), 6: (3, 3), 7: (3, 1)}
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_sum_counts_that_are_taken_once(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame(ROWS * 3, "id long, t string, l string").withColumn("id", F.monotonically_increasing_id())
+    bad = docs.where("id % 4 = 1").select("id")
+    how = features.Features("count", 1, 2, min_df=2, max_df=1.0, most=None)
+    calls, plain = [], features.term_counts
+    monkeypatch.setattr(features, "term_counts", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    for model, listed in (("multinomial_nb", None), ("centroid", bad)):
+        calls.clear()
+        path = f"file://{tmp_path}/{model}"
+        crossval.run_recipe(spark, docs, path, "id", "t", ["l"], how, k=3, blacklist=listed, model=model)
+        assert len(calls) == 1  # and not one a fold
+        rows = splits.id_hash_fold(docs, "id", 3)
+        got = crossval.status(spark, path, 3).collect()
+        for f in range(3):
+            want, _, learned = crossval.recipe_fold(rows, f, "id", "t", ["l"], how, model, listed)
+            assert (got[f].features, got[f].paths) == (learned["features"], learned["paths"])
+            done = spark.read.parquet(f"{path}/fold={f}")
+            columns = [c for c in done.columns if c.startswith(("id", "pred", "conf", "winnable"))]
+            assert done.select(columns).orderBy("id").collect() == want.select(columns).orderBy("id").collect()
+
+
+def test_weights_lie_in_blocks(spark):
+    rows = [(i, f"aa w{i % 3} w{i % 3}", f"c{i:03d}") for i in range(150)] + [(200, "aa aa", None), (201, "alone", None)]
+    docs = spark.createDataFrame(rows, "id long, t string, l string")
+    tree = hierarchy.Tree.fit(docs, ["l"])
+    for most, terms in ((None, {"aa", "w0", "w1", "w2", "alone"}), (2, {"aa", "w0"})):
+        own = sparse.fit_table(docs, "id", "t", tree, features.Features("count", min_df=1, max_df=1.0, most=most))
+        weights = {(r.feature, r.block): r.w for r in own.weights.collect()}
+        assert {t for t, b in weights if b == sparse.KNOWN} == terms and own.n_terms == len(terms)
+        assert sorted(b for t, b in weights if t == "aa") == [-1, 0, 1, 2] and not [b for t, b in weights if t == "alone" and b >= 0]
+        assert all(len(w) == sparse.BLOCK for (_, b), w in weights.items() if b >= 0)
+        for i, text, label in rows[:150]:
+            k = tree.classes[0].index(label)
+            assert weights["aa", k // 64][k % 64] == pytest.approx(math.log(2))
+            if f"w{i % 3}" in terms:
+                assert weights[f"w{i % 3}", k // 64][k % 64] == pytest.approx(math.log(3)) and weights["w0", 0][1] == 0
