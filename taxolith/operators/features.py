@@ -94,14 +94,19 @@ class Met:
         return out
 
 
+def buckets(df: DataFrame, text_col: str) -> int:
+    """How many buckets of `BUCKET` bytes the texts fill."""
+    size = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
+    return max(1, -(-size // BUCKET))
+
+
 def met(df: DataFrame, key: str, text_col: str, how: Features, table: DataFrame, run: Callable[[Met], Mapping[str, pa.Array]], schema: str, small: bool = False) -> DataFrame:
     """What `run` gives for the texts of each bucket beside the rows of `table` (feature, ...) that have one of their terms.
 
     Texts are dealt by key to buckets of about `BUCKET` bytes, and each bucket asks for each of its terms once: the texts
     move, and a bucket's distinct terms, but no single occurrence. The texts of a key are one. A small table goes to every task."""
     texts = df.select(key, F.col(text_col).alias("_text"))
-    size = texts.agg(F.sum(F.octet_length("_text")).alias("n")).first().n or 0
-    n = max(1, -(-size // BUCKET))
+    n = buckets(texts, "_text")
     bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     dealt = texts.repartition(n, bucket).withColumn("_bucket", bucket)  # worked out behind the exchange: both readers then need the same columns, and share it
     asked = dealt.select(F.col("_bucket").alias("_for"), F.explode(F.array_distinct(how.grams(F.col("_text")))).alias("feature")).distinct()

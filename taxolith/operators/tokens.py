@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +15,78 @@ from taxolith.functions import tokens as N
 from taxolith.operators import features
 from taxolith.sources.io import stored
 
+#: Tokens whose n-grams are counted at a time, and rows that are given back at a time.
+SLICE, ROWS = 1 << 20, 1 << 16
+
 
 def ngram_counts(df: DataFrame, text_col: str, label: str | None = None, low: int = 1, high: int = 1, min_count: int = 1, min_classes: int = 0) -> DataFrame:
     """ngram, n, doc_count, n_classes. A null label counts as a class of its own.
 
-    Rows are summed by n-gram and label first: partial sums shrink frequent n-grams before they move, and distinct
-    labels are then plain rows."""
-    own = df.select(F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("_l") if label else F.lit("").alias("_l"), F.explode(F.array_distinct(N.ngrams(N.tokenize(F.col(text_col)), low, high))).alias("ngram"))
-    pairs = own.groupBy("ngram", "_l").agg(F.count("*").alias("_n"))
+    A task counts the n-grams of `SLICE` tokens at a time as numbers, so that what moves is a row per n-gram and label of
+    these texts, not one per text. It moves once: rows meet by n-gram, whose labels are then counted where they lie, in as
+    many tasks as the texts have buckets of `features.BUCKET` bytes, so that a task's table does not grow with the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for labels, texts in _slices(batches):
+            yield from _counted(labels, texts, low, high)
+
+    own = df.select(F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("_l") if label else F.lit("").alias("_l"), N.tokenize(F.col(text_col)).alias("_t"))
+    pairs = own.mapInArrow(run, "ngram string, _l string, _n long").repartition(features.buckets(df, text_col), "ngram").groupBy("ngram", "_l").agg(F.sum("_n").alias("_n"))
     out = pairs.groupBy("ngram").agg(F.sum("_n").alias("doc_count"), F.count("*").alias("n_classes"))
     out = out.select("ngram", (F.size(F.split("ngram", " "))).alias("n"), "doc_count", "n_classes" if label else F.lit(0).cast("long").alias("n_classes"))
     return out.where((F.col("doc_count") >= min_count) & (F.col("n_classes") >= min_classes))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Labels and token lists of whole texts that hold about `SLICE` tokens; a longer text is a slice of its own."""
+    held, n = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(int(np.searchsorted(ends, before + SLICE - n, "right")), start + (not held))
+            if end > start:
+                held.append(batch.slice(start, end - start))
+                n += int(ends[end - 1] - before)
+            if end < batch.num_rows:
+                yield _joined(held)
+                held, n = [], 0
+            start = end
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    return pa.concat_arrays([p.column(0) for p in parts]), pa.concat_arrays([p.column(1) for p in parts])
+
+
+def _counted(labels: pa.Array, texts: pa.Array, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """ngram, _l, _n: how many of the texts of a label have an n-gram."""
+    label = labels.dictionary_encode()
+    count = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(count)), count)
+    left = np.repeat(np.cumsum(count), count) - np.arange(len(text))  # tokens from here to the text's end
+    tokens = texts.flatten().dictionary_encode()
+    token, words = tokens.indices.to_numpy().astype(np.int64), tokens.dictionary
+    gram, names = token, words
+    for n in range(1, high + 1):
+        if n > 1:  # each shorter n-gram with the token after it
+            at = np.flatnonzero(left >= n)
+            both = pa.array(gram[at] * max(len(words), 1) + token[at + n - 1]).dictionary_encode()
+            first, last = np.divmod(both.dictionary.to_numpy(), max(len(words), 1))
+            names = pc.binary_join_element_wise(names.take(pa.array(first)), words.take(pa.array(last)), " ")
+            gram = np.full(len(text), -1)
+            gram[at] = both.indices.to_numpy()
+        if n >= low:
+            own = np.flatnonzero(left >= n)
+            row, place = np.divmod(np.unique(text[own] * max(len(names), 1) + gram[own]), max(len(names), 1))
+            pairs, times = np.unique(place * max(len(label.dictionary), 1) + label.indices.to_numpy()[row], return_counts=True)
+            for a in range(0, len(pairs), ROWS):
+                place, of = np.divmod(pairs[a : a + ROWS], len(label.dictionary))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(place)), label.dictionary.take(pa.array(of)), pa.array(times[a : a + ROWS])], ["ngram", "_l", "_n"])
+
+
 def token_report(counts: DataFrame, thresholds: Sequence[int]) -> DataFrame:
     """threshold, kept, share, median_classes: what stays of ngram_counts by least document count."""
     aggs = [F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("doc_count") >= t).alias("kept"), F.percentile(F.when(F.col("doc_count") >= t, F.col("n_classes")), F.lit(0.5)).alias("median_classes")) for t in thresholds]

@@ -2,10 +2,11 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from taxolith.operators import features, hierarchy, sparse, splits
+from taxolith.operators import features, hierarchy, sparse, splits, tokens
 from taxolith.plans import crossval
 
 ROWS = [(1, "aa bb aa cc", "x"), (2, "bb cc zz", "x"), (3, "dd dd cc", "y"), (4, None, "y"), (5, "", "x"), (6, "bb aa bb", "x"), (7, "cc dd ee", "z")]
@@ -56,3 +57,33 @@ def test_weights_lie_in_blocks(spark):
             assert weights["aa", k // 64][k % 64] == pytest.approx(math.log(2))
             if f"w{i % 3}" in terms:
                 assert weights[f"w{i % 3}", k // 64][k % 64] == pytest.approx(math.log(3)) and weights["w0", 0][1] == 0
+
+
+def test_ngrams_move_once_and_are_counted_in_slices(spark, monkeypatch):
+    rows = [("aa bb aa bb aa", "x"), ("bb cc", None), (None, "y"), ("", "y"), ("aa bb", "y"), ("cc", None), ("bb cc dd ee ff", "x"), ("aa bb", "x")]
+    docs = spark.createDataFrame(rows, "t string, l string")
+    want = {}
+    for t, label in rows:
+        words = (t or "").split()
+        for g in {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}:
+            want.setdefault(g, []).append(label)
+    want = {g: (len(g.split()), len(c), len(set(c))) for g, c in want.items()}
+    out = tokens.ngram_counts(docs, "t", "l", 1, 3)
+    assert {r.ngram: (r.n, r.doc_count, r.n_classes) for r in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+    assert {r.ngram: (r.n, r.doc_count, r.n_classes) for r in tokens.ngram_counts(docs, "t", None, 2, 3, min_count=2).collect()} == {g: (n, c, 0) for g, (n, c, _) in want.items() if n > 1 and c > 1}
+    none = docs.where("t is null")
+    assert not tokens.ngram_counts(none, "t", "l", 1, 2).collect() and not tokens.ngram_counts(docs.where("false"), "t", "l").collect()
+    whole = pa.RecordBatch.from_arrays([pa.array([r[1] or "\0" for r in rows]), pa.array([(r[0] or "").split() for r in rows])], ["_l", "_t"])
+    for most in (1, 4, 100):
+        monkeypatch.setattr(tokens, "SLICE", most)
+        for batches in ([whole], [whole.slice(0, 3), whole.slice(3, 0), whole.slice(3)]):
+            parts = list(tokens._slices(iter(batches)))
+            assert [x for p in parts for x in p[1].to_pylist()] == whole.column(1).to_pylist()
+            assert all(len(p[1].flatten()) <= max(most, max(map(len, p[1].to_pylist()))) for p in parts)
+            got = {}
+            for p in parts:
+                for b in tokens._counted(*p, 1, 3):
+                    for r in b.to_pylist():
+                        got.setdefault(r["ngram"], []).append((r["_l"], r["_n"]))
+            assert {g: (len(g.split()), sum(n for _, n in c), len({x for x, _ in c})) for g, c in got.items()} == want
