@@ -16,22 +16,23 @@ from taxolith.operators import features
 from taxolith.sources.io import stored
 
 #: Tokens whose n-grams are counted at a time, and rows that are given back at a time.
-SLICE, ROWS = 1 << 20, 1 << 16
+SLICE, ROWS = 3 << 19, 1 << 16
 
 
 def ngram_counts(df: DataFrame, text_col: str, label: str | None = None, low: int = 1, high: int = 1, min_count: int = 1, min_classes: int = 0) -> DataFrame:
     """ngram, n, doc_count, n_classes. A null label counts as a class of its own.
 
-    A task counts the n-grams of `SLICE` tokens at a time as numbers, so that what moves is a row per n-gram and label of
-    these texts, not one per text. It moves once: rows meet by n-gram, whose labels are then counted where they lie, in as
-    many tasks as the texts have buckets of `features.BUCKET` bytes, so that a task's table does not grow with the texts."""
+    Texts are dealt to as many tasks as they fill buckets of `features.BUCKET` bytes, which count n-grams as numbers: what
+    moves is a row per n-gram and label of a task's texts, not one per text. These rows meet by n-gram, in as many tasks, and
+    labels are counted where they lie. So no task's table or output grows with the texts, however large the files' parts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for labels, texts in _slices(batches):
             yield from _counted(labels, texts, low, high)
 
-    own = df.select(F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("_l") if label else F.lit("").alias("_l"), N.tokenize(F.col(text_col)).alias("_t"))
-    pairs = own.mapInArrow(run, "ngram string, _l string, _n long").repartition(features.buckets(df, text_col), "ngram").groupBy("ngram", "_l").agg(F.sum("_n").alias("_n"))
+    n = features.buckets(df, text_col)
+    texts = df.select(F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("_l") if label else F.lit("").alias("_l"), F.col(text_col).alias("_t")).repartition(n)
+    pairs = texts.withColumn("_t", N.tokenize(F.col("_t"))).mapInArrow(run, "ngram string, _l string, _n long").repartition(n, "ngram").groupBy("ngram", "_l").agg(F.sum("_n").alias("_n"))
     out = pairs.groupBy("ngram").agg(F.sum("_n").alias("doc_count"), F.count("*").alias("n_classes"))
     out = out.select("ngram", (F.size(F.split("ngram", " "))).alias("n"), "doc_count", "n_classes" if label else F.lit(0).cast("long").alias("n_classes"))
     return out.where((F.col("doc_count") >= min_count) & (F.col("n_classes") >= min_classes))
