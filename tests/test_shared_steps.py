@@ -1,6 +1,7 @@
 """What several readers or folds need is moved, or counted, once."""
 
 import math
+import re
 
 import pyarrow as pa
 import pytest
@@ -21,6 +22,19 @@ def test_texts_move_once_to_meet_a_table(spark, monkeypatch):
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_are_looked_up_in_as_many_tasks_as_the_texts_need(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"aa w{k}") for k in range(50)], "id long, t string")
+    terms = spark.createDataFrame([("aa",), ("w7",)], "feature string")
+    for bucket, tasks in ((5, 15), (8, 10), (1000, 1)):
+        monkeypatch.setattr(features, "BUCKET", bucket)
+        assert features.buckets(docs, "t") == -(-290 // bucket)
+        out = sparse.known_tokens(docs, "id", "t", terms)
+        assert {r.id: r.n_known_tokens for r in out.collect()} == {k: 1 + (k == 7) for k in range(50)}
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        if tasks > 1:  # whatever the session's number of partitions
+            assert set(re.findall(r"hashpartitioning\(feature#\d+, (\d+)\)", plan)) == {str(tasks)}
+
+
 def test_folds_sum_counts_that_are_taken_once(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame(ROWS * 3, "id long, t string, l string").withColumn("id", F.monotonically_increasing_id())
     bad = docs.where("id % 4 = 1").select("id")
