@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ BUCKET = 8 << 20
 ASKED = 4
 #: Pairs of a text and a term whose numbers are multiplied at a time.
 PAIRS = 1 << 15
+#: Terms of texts that are met with a small table at a time, and rows that are given back at a time.
+SLICE, ROWS = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -53,13 +55,17 @@ def term_counts(df: DataFrame, key: str, text_col: str, how: Features, labels: S
     """key, labels, feature, tf, counted within a text: no table of all texts' terms is held or moved. Only where keys
     repeat are the texts of a key (and labels) brought together first."""
     own = [key, *labels]
-    if df.groupBy(*own).count().where("count > 1").isEmpty():
+    if unique(df, *own):
         grams = how.grams(F.col(text_col))
         return df.select(*own, F.inline(N.counted(grams, how.binary)))
     texts = df.groupBy(*own).agg(F.collect_list(text_col).alias("_texts"))
     return texts.select(*own, F.inline(N.counted(F.flatten(F.transform("_texts", how.grams)), how.binary)))
 
 
+def unique(df: DataFrame, *keys: str) -> bool:
+    return df.groupBy(*keys).count().where("count > 1").isEmpty()
+
+
 def selected(counts: DataFrame, n_rows: int, how: Features) -> DataFrame:
     """feature, df, total: those within the document frequency limits, the most frequent terms if there is a cap."""
     return within(counts.groupBy("feature").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), n_rows, how)
@@ -106,9 +112,12 @@ def met(df: DataFrame, key: str, text_col: str, how: Features, table: DataFrame,
     """What `run` gives for the texts of each bucket beside the rows of `table` (feature, ...) that have one of their terms.
 
     Texts are dealt by key to buckets of about `BUCKET` bytes, and each bucket asks for each of its terms once: the texts
-    move, and a bucket's distinct terms, but no single occurrence. The texts of a key are one. A small table goes to every task;
-    another is dealt by term to at least a task for every `ASKED` buckets, so that what a task looks up does not grow."""
+    move, and a bucket's distinct terms, but no single occurrence. The texts of a key are one. The table is dealt by term to at
+    least a task for every `ASKED` buckets, so that what a task looks up does not grow. A small table goes to every task, where
+    texts whose keys are unique meet it as they are read, some at a time: then no text moves, and none asks for its terms."""
     texts = df.select(key, F.col(text_col).alias("_text"))
+    if small and unique(texts, key):
+        return _met_as_read(texts.select(key, how.grams(F.col("_text")).alias("_grams")), table, run, schema, how.binary)
     n = buckets(texts, "_text")
     bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     dealt = texts.repartition(n, bucket).withColumn("_bucket", bucket)  # worked out behind the exchange: both readers then need the same columns, and share it
@@ -117,19 +126,47 @@ def met(df: DataFrame, key: str, text_col: str, how: Features, table: DataFrame,
     found = asked.join(F.broadcast(table) if small else table.hint("shuffle_hash"), "feature").repartition(n, "_for")
 
     def task(texts: pa.Table, table: pa.Table) -> pa.Table:
-        return pa.table(run(_met(texts.column(key), texts.column("_grams"), table, how.binary)))
+        return pa.table(run(_met(texts.column(key), texts.column("_grams"), table, _coded(table), how.binary)))
 
     rows = dealt.select("_bucket", key, how.grams(F.col("_text")).alias("_grams"))
     return rows.groupBy("_bucket").cogroup(found.groupBy("_for")).applyInArrow(task, schema)
 
 
+def _met_as_read(rows: DataFrame, table: DataFrame, run: Callable[[Met], Mapping[str, pa.Array]], schema: str, binary: bool) -> DataFrame:
+    """The same for rows of unique keys and their terms, and a table that the driver sends to every task."""
+    sent = rows.sparkSession.sparkContext.broadcast(table.toArrow())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        feature = _coded(own)
+        for batch in batches:
+            for part in _slices(batch):
+                keys, grams = (pa.chunked_array([part.column(k)]) for k in (0, 1))
+                yield from pa.table(run(_met(keys, grams, own, feature, binary))).to_batches(max_chunksize=ROWS)
+
+    return rows.mapInArrow(task, schema)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose terms are about `SLICE`; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.list_value_length(batch.column("_grams")).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")), start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _coded(table: pa.Table) -> pa.DictionaryArray:
+    return whole(table.column("feature")).dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+
+
 def whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _met(keys: pa.ChunkedArray, grams: pa.ChunkedArray, table: pa.Table, binary: bool) -> Met:
+def _met(keys: pa.ChunkedArray, grams: pa.ChunkedArray, table: pa.Table, feature: pa.DictionaryArray, binary: bool) -> Met:
     coded = whole(keys).dictionary_encode("encode")
-    feature = whole(table.column("feature")).dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
     rows, terms, start = [], [], 0
     for part in grams.chunks:
         count = part.value_lengths().to_numpy(zero_copy_only=False)
