@@ -27,3 +27,10 @@ def test_texts_of_unique_keys_do_not_move(spark, monkeypatch, terms):
         assert own.count() and own.orderBy("id", "feature").collect() == dealt.orderBy("id", "feature").collect()
     none = features.weighted(docs.where("id > 3"), chosen.where("false"), 7, "id", "t", how)
     assert not none.collect() and not features.weighted(docs.where("false"), chosen, 7, "id", "t", how).collect()
+
+
+def test_repeated_keys_are_one_text(spark):
+    docs = spark.createDataFrame([*ROWS, (3, "ee cc", "y")], "id long, t string, l string")
+    how = features.Features("count", min_df=1, max_df=1.0)
+    weights, _, _ = features.fit_transform(docs, [], "id", "t", how)
+    assert {r.feature: r.weight for r in weights.where("id = 3").collect()} == {"cc": 2.0, "dd": 2.0, "ee": 1.0}
