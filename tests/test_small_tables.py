@@ -1,8 +1,9 @@
 """Texts of unique keys meet a small table where they are read: nothing moves for it."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from taxolith.operators import features
+from taxolith.operators import features, hierarchy, sparse
 
 ROWS = [(1, "aa bb aa cc", "x"), (2, "bb cc zz", "x"), (3, "dd dd cc", "y"), (None, "aa bb", "y"), (4, None, "y"), (5, "", "x"), (6, "bb aa bb", "x")]
 
@@ -34,3 +35,13 @@ def test_repeated_keys_are_one_text(spark):
     how = features.Features("count", min_df=1, max_df=1.0)
     weights, _, _ = features.fit_transform(docs, [], "id", "t", how)
     assert {r.feature: r.weight for r in weights.where("id = 3").collect()} == {"cc": 2.0, "dd": 2.0, "ee": 1.0}
+
+
+def test_a_capped_model_sums_where_texts_are_read(spark):
+    docs = spark.createDataFrame(ROWS, "id long, t string, l string")
+    own = sparse.fit_table(docs, "id", "t", hierarchy.Tree.fit(docs, ["l"]), features.Features("count", min_df=2, max_df=1.0, most=3))
+    sums = own.sums(docs, "id", "t")
+    assert not any(x in plan(sums) for x in ("Repartition", "Join", "CoGroup"))
+    twice = own.sums(docs.union(docs.where("id = 5")), "id", "t")  # a key that repeats: by buckets, the same sums
+    assert "CoGroup" in plan(twice) and sums.orderBy("id").collect() == twice.orderBy("id").collect()
+    assert {r.id: r["_known"] for r in sums.select("id", F.round("_known").alias("_known")).collect()} == {1: 4.0, 2: 2.0, 3: 1.0, 6: 3.0}
