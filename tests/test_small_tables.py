@@ -45,3 +45,14 @@ def test_a_capped_model_sums_where_texts_are_read(spark):
     twice = own.sums(docs.union(docs.where("id = 5")), "id", "t")  # a key that repeats: by buckets, the same sums
     assert "CoGroup" in plan(twice) and sums.orderBy("id").collect() == twice.orderBy("id").collect()
     assert {r.id: r["_known"] for r in sums.select("id", F.round("_known").alias("_known")).collect()} == {1: 4.0, 2: 2.0, 3: 1.0, 6: 3.0}
+
+
+def test_a_known_term_is_a_row_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([*ROWS, (7, "alone bb", None)], "id long, t string, l string")
+    own = sparse.fit_table(docs, "id", "t", hierarchy.Tree.fit(docs, ["l"]), features.Features("count", min_df=1, max_df=1.0, most=None))
+    tables, plain = [], features.met
+    monkeypatch.setattr(features, "met", lambda *a, **b: tables.append(a[4]) or plain(*a, **b))
+    sums = own.sums(docs, "id", "t")
+    assert sorted((r.feature, r.block) for r in tables[0].collect()) == [("aa", 0), ("alone", sparse.KNOWN), ("bb", 0), ("cc", 0), ("dd", 0), ("zz", 0)]
+    assert {r.id: (r["_known"], r["_words"], r["_square"]) for r in sums.collect()} == {1: (4, 4, 6), 2: (3, 3, 3), 3: (3, 3, 5), 6: (3, 3, 5), 7: (2, 2, 2)}
+    assert {r.feature for r in own.weights.where("block < 0").collect()} == {"aa", "alone", "bb", "cc", "dd", "zz"}
