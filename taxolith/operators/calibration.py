@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -15,6 +16,8 @@ from taxolith.operators import evaluation as E
 
 GRID = [round(0.05 + 0.01 * k, 3) for k in range(95)]
 TARGET = 0.95
+#: Temperatures of a grid that are tried on each side of the best known one.
+AROUND = 2
 
 
 def fit_temperature(df: DataFrame, logits: str, code: str, steps: int = 25) -> float:
@@ -37,6 +40,26 @@ def fit_temperature(df: DataFrame, logits: str, code: str, steps: int = 25) -> f
     return math.exp(log_t)
 
 
+def fit_temperature_on(df: DataFrame, logits: str, code: str, grid: Sequence[float]) -> tuple[float, float] | None:
+    """The temperature of an ascending grid with the least mean cross-entropy, and that mean. The mean is convex in 1 / temperature,
+    so the grid's best lies next to the free fit, or is the grid's end on its side; what is tried moves on if its edge is its best."""
+    rows = df.where(F.col(code) >= 0).select(F.transform(logits, lambda x: x.cast("double")).alias("z"), F.col(code).alias("y"))
+    best = min(bisect(grid, fit_temperature(df, logits, code)), len(grid) - 1)
+    loss: dict[int, float] = {}
+
+    def entropy(t: float) -> Column:
+        return A.log_sum_exp(F.transform("z", lambda x: x / t)) - F.get("z", F.col("y")) / t
+
+    while not {max(best - 1, 0), best, min(best + 1, len(grid) - 1)} <= loss.keys():
+        near = range(max(best - AROUND, 0), min(best + AROUND + 1, len(grid)))
+        found = rows.agg(*[F.avg(entropy(grid[k])) for k in near]).first()
+        if found[0] is None:
+            return None
+        loss |= dict(zip(near, found, strict=True))
+        best = min(loss, key=lambda k: (loss[k], k))
+    return grid[best], loss[best]
+
+
 def with_temperature(df: DataFrame, logits: str, temperature: float, out: str) -> DataFrame:
     return df.withColumn(out, A.softmax(F.col(logits), temperature))
 
